@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as sc
-from quillgraph.operators.skew import salted_join
+from quillgraph.operators.skew import lookup_join, salted_join
+from quillgraph.session import durable
 
 
 def leaderboard(rows: DataFrame, key: str, k: int | None = None) -> DataFrame:
@@ -30,7 +31,8 @@ def attendance(listing: DataFrame, meta: DataFrame) -> DataFrame:
         .groupBy("base_url", "city")
         .agg(F.sum("reg").alias("_reg"), F.count(F.lit(1)).alias("_num"))
     )
-    joined = salted_join(per_group, meta.select("base_url", "region", "contact", "email"), ["base_url"], "left", by=["base_url", "city"])
+    contacts = meta.select("base_url", "region", "contact", "email")
+    joined = lookup_join(per_group, contacts, ["base_url"], "left", by=["city"])
     return (
         joined.groupBy("base_url", "region", "city", "contact", "email")
         .agg(F.sum("_reg").alias("attendance"), F.sum("_num").alias("num"))
@@ -74,8 +76,8 @@ def unit_value(*columns: str, seed: int = 42) -> Column:
 
 def stratified_sample(rows: DataFrame, key: str, id_column: str, num: int, seed: int = 42) -> DataFrame:
     """About ``num`` rows of each stratum; smaller strata stay whole.  The same rows each run."""
-    fractions = stratum_fractions(rows, key, num)
-    joined = salted_join(
+    fractions = durable(stratum_fractions(rows, key, num))
+    joined = lookup_join(
         rows, fractions.select(key, "fraction"), [key], by=[id_column], counts=fractions.select(key, "n")
     )
     return joined.filter(unit_value(id_column, seed=seed) < F.col("fraction")).drop("fraction")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as sc
 from quillgraph.operators.ids import dense_ids
-from quillgraph.operators.skew import salted_join
+from quillgraph.operators.skew import count_keys, salted_join
+from quillgraph.session import durable
 
 
 def top_senders(msg: DataFrame, k: int | None = None) -> DataFrame:
@@ -91,7 +92,7 @@ def conversations(msg: DataFrame, *, dedup: bool = True) -> DataFrame:
     asked = msg.select("id", "sender")
     if dedup:
         pairs, asked = pairs.withColumn("n", F.lit(1).cast("long")), asked.distinct()
-    met = salted_join(pairs, asked, ["id"], by=["id", "replier"]).filter(F.col("replier") != F.col("sender"))
+    met = salted_join(pairs, asked, ["id"], by=["replier"], counts=count_keys(_answers(msg), ["id"])).filter(F.col("replier") != F.col("sender"))
     return met.groupBy("replier", "sender").agg(F.sum("n").alias("num"))
 
 
@@ -124,13 +125,17 @@ def reply_nodes(ids: DataFrame) -> DataFrame:
 
 def reply_edges(msg: DataFrame, ids: DataFrame, *, dedup: bool = True) -> DataFrame:
     """(replier, sender, num) with ids in place of names."""
-    pairs = conversations(msg, dedup=dedup)
+    pairs = durable(conversations(msg, dedup=dedup))
     names = ids.select("id", F.col("sender").alias("name"))
     as_replier = salted_join(
-        pairs.withColumnRenamed("replier", "name"), names, ["name"], by=["name", "sender"]
+        pairs.withColumnRenamed("replier", "name"), names, ["name"], by=["sender"]
     ).select(F.col("id").alias("replier"), "sender", "num")
     return salted_join(
-        as_replier.withColumnRenamed("sender", "name"), names, ["name"], by=["name", "replier"]
+        as_replier.withColumnRenamed("sender", "name"),
+        names,
+        ["name"],
+        by=["replier"],
+        counts=count_keys(pairs.withColumnRenamed("sender", "name"), ["name"]),
     ).select("replier", F.col("id").alias("sender"), "num")
 
 

@@ -1,9 +1,12 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is *hot* when it owns more than one ``MAX_SHARE``-th of all rows, so there
-are never more than ``MAX_SHARE`` hot keys and their table has a size bound that
-does not grow with the data.  Only hot keys are split: their fact rows get a part
-number, and the matching lookup rows are copied once per part.  No row is lost.
+A key is *hot* when it owns more than one ``MAX_SHARE``-th of all rows, so there are
+never more than ``MAX_SHARE`` hot keys: their list has a size bound that does not grow
+with the data.  Only hot keys are split: their fact rows get a part number, and the
+matching lookup rows are copied once per part.  No row is lost.
+
+Hot keys are found by one counting job before the join is planned.  Where none is hot
+the join is plain, and adaptive execution picks its kind.
 """
 
 from __future__ import annotations
@@ -15,47 +18,67 @@ from pyspark.sql import functions as F
 
 MAX_SHARE = 1024
 MIN_ROWS = 100_000
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 PART = "_part"
 PARTS = "_parts"
 
 
-def hot_keys(
-    counts: DataFrame, keys: Sequence[str], n: str = "n", *, max_share: int = MAX_SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """Hot keys with the number of parts each is split into; at most ``max_share`` rows.
-
-    ``counts`` holds one row per key with its row count ``n``.
-    """
-    limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum(n) / max_share).alias("rows")).scalar()
-    return counts.filter(F.col(n) > limit).select(
-        *keys, F.ceil(F.col(n) / F.greatest(limit, F.lit(1.0))).cast("int").alias(PARTS)
-    )
-
-
 def count_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(facts: DataFrame, hot: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Add the part number of each fact row; rows without a key are spread too.
+class HotKeys:
+    """The hot keys of a fact table, found once; serves any number of joins.
 
-    ``by`` must tell the rows of one hot key apart, and the part must be the same
-    when a lost task runs again, hence a hash and not a random number.
+    ``counts`` holds one row per key with its row count ``n``.
     """
-    row_hash = F.xxhash64(*by)
-    no_key = _any_null(keys)
-    part = (
-        F.when(no_key, F.pmod(row_hash, F.lit(MAX_SHARE)))
-        .when(F.col(PARTS).isNotNull(), F.pmod(row_hash, F.col(PARTS)))
-        .otherwise(F.lit(0))
-    )
-    return facts.join(F.broadcast(hot), list(keys), "left").withColumn(PART, part.cast("int")).drop(PARTS)
-
 
-def replicate(lookup: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy each lookup row of a hot key once per part."""
-    parts = F.sequence(F.lit(0), F.coalesce(F.col(PARTS), F.lit(1)) - 1)
-    return lookup.join(F.broadcast(hot), list(keys), "left").withColumn(PART, F.explode(parts)).drop(PARTS)
+    def __init__(
+        self, counts: DataFrame, keys: Sequence[str], *, max_share: int = MAX_SHARE, min_rows: int = MIN_ROWS
+    ) -> None:
+        self.keys = list(keys)
+        limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum("n") / max_share, F.lit(1.0))).scalar()
+        hot = counts.filter(F.col("n") > limit).select(*self.keys, F.ceil(F.col("n") / limit).cast("int").alias(PARTS))
+        rows = hot.collect()  # at most max_share rows
+        self.any = bool(rows)
+        self.table = counts.sparkSession.createDataFrame(rows, hot.schema)
+
+    def spread(self, facts: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+        """Add the part number of each fact row.
+
+        ``by`` must tell the rows of one hot key apart, and the part must be the same
+        when a lost task runs again, hence a hash and not a random number.  A left join
+        keeps rows without a key, which would all meet in one task: they are spread too.
+        """
+        if not self._parted(how):
+            return facts
+        row_hash = F.xxhash64(*by)
+        part = (
+            F.when(_any_null(self.keys), F.pmod(row_hash, F.lit(MAX_SHARE)))
+            .when(F.col(PARTS).isNotNull(), F.pmod(row_hash, F.col(PARTS)))
+            .otherwise(F.lit(0))
+        )
+        marked = facts.join(F.broadcast(self.table), self.keys, "left")
+        return marked.withColumn(PART, part.cast("int")).drop(PARTS)
+
+    def replicate(self, lookup: DataFrame) -> DataFrame:
+        """Copy each lookup row of a hot key once per part."""
+        parts = F.sequence(F.lit(0), F.coalesce(F.col(PARTS), F.lit(1)) - 1)
+        marked = lookup.join(F.broadcast(self.table), self.keys, "left")
+        return marked.withColumn(PART, F.explode(parts)).drop(PARTS)
+
+    def join_spread(self, spread_facts: DataFrame, lookup: DataFrame, how: str = "inner") -> DataFrame:
+        """Join facts that went through ``spread`` before."""
+        if not self._parted(how):
+            return spread_facts.join(lookup, self.keys, how)
+        return spread_facts.join(self.replicate(lookup), [*self.keys, PART], how).drop(PART)
+
+    def join(self, facts: DataFrame, lookup: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+        return self.join_spread(self.spread(facts, by, how), lookup, how)
+
+    def _parted(self, how: str) -> bool:
+        return self.any or how == "left"
 
 
 def salted_join(
@@ -72,17 +95,29 @@ def salted_join(
     """Equi-join of a fact table with a lookup table, hot fact keys split.
 
     Both tables name the keys alike.  ``how`` is ``inner`` or ``left``.  ``counts``
-    (keys, n) saves the counting pass when the caller already has it.
+    (keys, n) spares the facts a counting pass; counts that are too high do no harm.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    keys = list(keys)
-    if counts is None:
-        counts = count_keys(facts, keys)
-    hot = hot_keys(counts, keys, max_share=max_share, min_rows=min_rows)
-    left = spread(facts, hot, keys, by or facts.columns)
-    right = replicate(lookup, hot, keys)
-    return left.join(right, [*keys, PART], how).drop(PART)
+    hot = HotKeys(count_keys(facts, keys) if counts is None else counts, keys, max_share=max_share, min_rows=min_rows)
+    return hot.join(facts, lookup, by or facts.columns, how)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to send to every executor, by looking at its rows."""
+    size = F.length(F.to_json(F.struct(*df.columns)))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return seen["rows"] <= max_rows and seen["bytes"] <= max_bytes
+
+
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", *,
+    by: Sequence[str] | None = None, counts: DataFrame | None = None,
+) -> DataFrame:
+    """As ``salted_join``, but a lookup table of checked small size is broadcast."""
+    if fits_broadcast(lookup):
+        return facts.join(F.broadcast(lookup), list(keys), how)
+    return salted_join(facts, lookup, keys, how, by=by, counts=counts)
 
 
 def _any_null(keys: Sequence[str]) -> Column:

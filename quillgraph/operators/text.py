@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from quillgraph.functions import text as tx
 from quillgraph.operators.ids import dense_ids
-from quillgraph.operators.skew import salted_join
+from quillgraph.operators.skew import lookup_join, salted_join
 
 
 def explode_rows(df: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
@@ -121,26 +121,30 @@ def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def word_table(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The small script's word table: (doc, id, index, word, stem, tag).
+    """The small script's word table: (doc, sent, id, index, word, stem, tag).
 
     ``id`` is a dense id of the stem, joined on.
     """
     rows = token_rows(tokened, doc).select(
-        doc, F.col("num").alias("index"), F.lower("raw").alias("word"), F.col("root").alias("stem"), F.col("pos").alias("tag")
+        doc, "sent", F.col("num").alias("index"), F.lower("raw").alias("word"), F.col("root").alias("stem"), F.col("pos").alias("tag")
     )
     stems = explode_rows(tokened, [doc], F.transform("toks", lambda t: t["root"]), "stem")
     uniq = dense_ids(stems, "stem")
     joined = salted_join(rows, uniq.drop("n"), ["stem"], by=[doc, "index"], counts=uniq.select("stem", "n"))
-    return joined.select(doc, "id", "index", "word", "stem", "tag")
+    return joined.select(doc, "sent", "id", "index", "word", "stem", "tag")
 
 
-def link_edges(tokened: DataFrame, words: DataFrame, doc: str = "doc_id") -> DataFrame:
+def link_edges(words: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The small script's edge table: window links as stem-id pairs in both directions."""
-    links = window_link_rows(tokened, doc).select(doc, "num0", "num1")
-    at = words.select(doc, F.col("index"), "id")
-    one = links.join(at.select(doc, F.col("index").alias("num0"), F.col("id").alias("n0")), [doc, "num0"])
-    two = one.join(at.select(doc, F.col("index").alias("num1"), F.col("id").alias("n1")), [doc, "num1"])
-    return both_ways(two.select(doc, "n0", "n1"), "n0", "n1")
+    order = W.partitionBy(doc, "sent").orderBy("index")
+    word = F.struct("id", "word", F.col("tag").isin(tx.SMALL_KEEP_TAGS).alias("keep"))
+    windows = words.select(
+        doc, word.alias("a"), F.lead(word, 1).over(order).alias("b"), F.lead(word, 2).over(order).alias("c")
+    ).filter(F.col("c").isNotNull() & F.col("a.keep"))
+    links = windows.select(doc, "a", F.explode(F.array("b", "c")).alias("b")).filter(
+        F.col("b.keep") & (F.col("a.word") != F.col("b.word"))
+    )
+    return both_ways(links.select(doc, F.col("a.id").alias("n0"), F.col("b.id").alias("n1")), "n0", "n1")
 
 
 def sentiment(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -148,7 +152,7 @@ def sentiment(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> Da
 
     ``lexicon`` is (word, polr, subj).  Sentences without a scored word are absent.
     """
-    scored = salted_join(
+    scored = lookup_join(
         token_rows(tokened, doc).select(doc, "sent", "num", F.lower("raw").alias("word")),
         lexicon.select("word", "polr", "subj"),
         ["word"],

@@ -56,7 +56,8 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
                 a, b, share = a[edge_live], b[edge_live], share[edge_live]
         seen_first = np.zeros(len(words), dtype=bool)
         seen_first[first] = True
-        return rank[vertex], seen_first
+        # words that tie stay tied whatever the order of the sums
+        return np.round(rank, 9)[vertex], seen_first
 
     @F.arrow_udf("array<struct<rank:double,first:boolean>>")
     def rank_tokens(roots: pa.Array, pairs: pa.Array) -> pa.Array:
@@ -138,7 +139,7 @@ def _spans(ranked: Column, flags: Column) -> Column:
             lambda part: F.struct(
                 F.array_join(F.transform(part, lambda t: t["raw"]), " ").alias("phrase"),
                 run["start"].alias("start"),
-                F.aggregate(F.transform(part, lambda t: t["rank"]), F.lit(0.0), lambda s, r: s + r).alias("rank"),
+                F.round(F.aggregate(F.transform(part, lambda t: t["rank"]), F.lit(0.0), lambda s, r: s + r), 9).alias("rank"),
                 F.exists(part, lambda t: t["pos"].startswith("N")).alias("noun"),
             ),
         )
