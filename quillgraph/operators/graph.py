@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import HotKeys, count_keys, salted_join
+from quillgraph.operators.skew import PART, HotKeys, count_keys, salted_join
 from quillgraph.session import durable
 
 CHANGED = "changed"
@@ -59,22 +60,33 @@ def max_degrees(degree_rows: DataFrame) -> DataFrame:
 
 
 class SplitEdges:
-    """An edge table made ready for rounds: hot senders split, the table durable."""
+    """An edge table made ready for rounds: hot senders split, laid out by sender once.
+
+    Rounds then move vertex states and combined messages, never the edges.  The layout is
+    cached over a durable table, so a lost executor rebuilds its share from files.
+    """
 
     def __init__(self, edges: DataFrame, hot: HotKeys | None = None, **bounds: int) -> None:
-        keyed = edges.withColumnRenamed("src", "id")
+        keyed = durable(edges.withColumnRenamed("src", "id"))
         self.hot = hot or HotKeys(count_keys(keyed, ["id"]), ["id"], **bounds)
-        self.edges = durable(self.hot.spread(keyed, by=["dst"]))
+        by = ["id", PART] if self.hot.any else ["id"]
+        partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid_out = self.hot.spread(keyed, by=["dst"]).repartition(partitions, *by).sortWithinPartitions(*by)
+        self.edges = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
 
     def meet(self, state: DataFrame) -> DataFrame:
         """Every edge with the state of its source; the source id is ``id``."""
         return self.hot.join_spread(self.edges, state)
 
+    def release(self) -> None:
+        self.edges.unpersist()
+
 
 def pregel(
     vertices: DataFrame,
-    edges: DataFrame | SplitEdges,
+    edges: DataFrame,
     *,
+    hot: HotKeys | None = None,
     send: Mapping[str, Column],
     merge: Mapping[str, Column],
     update: Mapping[str, Column],
@@ -94,10 +106,11 @@ def pregel(
     or those where ``send_when`` holds.
 
     State is made durable and tested for changes every ``rounds_per_stage`` rounds.
-    Returns the final state and the number of rounds run.
+    ``hot`` are the hot senders if already known.  Returns the final state and the number
+    of rounds run.
     """
     state_columns = list(update)
-    split = edges if isinstance(edges, SplitEdges) else SplitEdges(edges)
+    split = SplitEdges(edges, hot)
     first = F.lit(True) if send_when is None else send_when
     state = vertices.select("id", *state_columns, first.alias(CHANGED))
     done = 0
@@ -119,6 +132,7 @@ def pregel(
         done += steps
         if state.filter(CHANGED).isEmpty():
             break
+    split.release()
     return state.drop(CHANGED), done
 
 
@@ -134,7 +148,7 @@ def pagerank(
 ) -> DataFrame:
     """(id, rank) with rank = 0.15 + 0.85 * sum(rank_src / out_degree_src).
 
-    Runs ``rounds`` rounds if given, else until no rank moves by more than ``tol`` (looked
+    Ranks start at 1, close to the fixed point.  Runs ``rounds`` rounds if given, else until no rank moves by more than ``tol`` (looked
     at every ``rounds_per_stage`` rounds).  Parallel edges count each.  ``normalize``
     scales the ranks to sum to the number of vertices.
     """
@@ -142,7 +156,7 @@ def pagerank(
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     # out-degree is one more column of the sender's state, not a join with the edges
     start = vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select(
-        "id", F.coalesce("out", F.lit(1)).alias("out"), F.lit(0.15).alias("rank")
+        "id", F.coalesce("out", F.lit(1)).alias("out"), F.lit(1.0).alias("rank")
     )
     state, _ = pregel(
         start,
@@ -241,7 +255,8 @@ def strongly_connected_components(
         # 2. colour forward
         colour, _ = pregel(
             rest.select("id", F.col("own").alias("colour")),
-            SplitEdges(links, out_hot),
+            links,
+            hot=out_hot,
             send={"c": F.col("colour")},
             merge={"best": F.min("c")},
             update={"colour": F.least(F.col("colour"), F.col("best"))},
@@ -255,7 +270,8 @@ def strongly_connected_components(
         backward = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reached, _ = pregel(
             colour.select("id", "colour", (F.col("colour.v") == F.col("id")).alias("hit")),
-            SplitEdges(backward, in_hot),
+            backward,
+            hot=in_hot,
             send={"h": F.lit(True)},
             merge={"any": F.max("h")},
             update={"hit": F.col("hit") | F.coalesce("any", F.lit(False)), "colour": F.col("colour")},

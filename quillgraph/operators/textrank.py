@@ -17,6 +17,7 @@ from quillgraph.functions import text as tx
 TOLERANCE = 1e-4
 DAMPING = 0.85
 MAX_ROUNDS = 200
+LEVEL_PLACES = 9
 _CHUNK_TOKENS = 400_000
 
 
@@ -40,7 +41,7 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
         if distinct and len(a):
             a, b = np.divmod(np.unique(a * n + b), n)
         share = DAMPING / np.maximum(np.bincount(a, minlength=n), 1)[a]
-        rank = np.full(n, 1 - DAMPING)
+        rank = np.ones(n)
         live = np.ones(n_docs, dtype=bool)
         for _ in range(max_rounds):
             fresh = (1 - DAMPING) + np.bincount(b, weights=rank[a] * share, minlength=n)
@@ -56,10 +57,9 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
                 a, b, share = a[edge_live], b[edge_live], share[edge_live]
         seen_first = np.zeros(len(words), dtype=bool)
         seen_first[first] = True
-        # words that tie stay tied whatever the order of the sums
-        return np.round(rank, 9)[vertex], seen_first
+        return rank[vertex], seen_first
 
-    @F.arrow_udf("array<struct<rank:double,first:boolean>>")
+    @F.arrow_udf("array<struct<rank:double,level:double,first:boolean>>")
     def rank_tokens(roots: pa.Array, pairs: pa.Array) -> pa.Array:
         flat, ends = roots.flatten(), roots.offsets.to_numpy().astype(np.int64)
         codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,7 +76,9 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
                 codes[t], np.diff(ends[lo : hi + 1]), src[p], dst[p], np.diff(pair_ends[lo : hi + 1])
             )
             lo = hi
-        values = pa.StructArray.from_arrays([pa.array(rank), pa.array(seen_first)], names=["rank", "first"])
+        # level is for comparing: words that tie stay tied whatever the order of the sums
+        columns = {"rank": rank, "level": np.round(rank, LEVEL_PLACES), "first": seen_first}
+        values = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
         return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
 
     return rank_tokens
@@ -115,6 +117,7 @@ def ranked_tokens(
             t["pos"].alias("pos"),
             kept(t).alias("kept"),
             F.when(kept(t), r["rank"]).otherwise(F.lit(0.0)).alias("rank"),
+            F.when(kept(t), r["level"]).otherwise(F.lit(0.0)).alias("level"),
             (kept(t) & r["first"]).alias("first"),
         )
 
@@ -139,7 +142,7 @@ def _spans(ranked: Column, flags: Column) -> Column:
             lambda part: F.struct(
                 F.array_join(F.transform(part, lambda t: t["raw"]), " ").alias("phrase"),
                 run["start"].alias("start"),
-                F.round(F.aggregate(F.transform(part, lambda t: t["rank"]), F.lit(0.0), lambda s, r: s + r), 9).alias("rank"),
+                F.round(F.aggregate(F.transform(part, lambda t: t["rank"]), F.lit(0.0), lambda s, r: s + r), LEVEL_PLACES).alias("rank"),
                 F.exists(part, lambda t: t["pos"].startswith("N")).alias("noun"),
             ),
         )
@@ -194,9 +197,9 @@ def noun_phrases(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def summary_phrases(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Runs of words ranked at or above the document's median; of those the upper half."""
-    floor = tx.median(F.transform(F.filter("ranked", lambda t: t["first"]), lambda t: t["rank"]))
+    floor = tx.median(F.transform(F.filter("ranked", lambda t: t["first"]), lambda t: t["level"]))
     with_floor = ranked.withColumn("_floor", floor)
-    flags = F.transform("ranked", lambda t: t["kept"] & (t["rank"] >= F.col("_floor")))
+    flags = F.transform("ranked", lambda t: t["kept"] & (t["level"] >= F.col("_floor")))
     plain = F.transform(
         _spans(F.col("ranked"), flags),
         lambda s: F.struct(s["phrase"].alias("phrase"), s["start"].alias("start"), s["rank"].alias("rank")),

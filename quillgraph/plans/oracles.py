@@ -326,7 +326,7 @@ RANK = """
 outs AS (SELECT replier, 0.85::DOUBLE / count(*) AS w FROM edges GROUP BY replier),
 links AS (SELECT e.replier AS src, e.sender AS dst, w FROM edges e JOIN outs USING (replier)),
 steps AS (
-  SELECT id, 0.15::DOUBLE AS rank, 1.0::DOUBLE AS delta, 0 AS n FROM ids
+  SELECT id, 1.0::DOUBLE AS rank, 1.0::DOUBLE AS delta, 0 AS n FROM ids
   UNION ALL
   SELECT id, rank, max(abs(rank - old)) OVER () AS delta, n FROM (
     SELECT v.id, 0.15 + coalesce(s.t, 0) AS rank, v.rank AS old, v.n + 1 AS n
@@ -379,14 +379,14 @@ joined AS (
 shares AS (SELECT src, 0.85::DOUBLE / count(*) AS w FROM joined GROUP BY src),
 arcs AS (SELECT src, dst, sum(w) AS w FROM joined JOIN shares USING (src) GROUP BY 1, 2),
 steps AS (
-  SELECT v, doc_id, 0.15::DOUBLE AS rank, 1.0::DOUBLE AS delta, 0 AS n FROM verts
+  SELECT v, doc_id, 1.0::DOUBLE AS rank, 1.0::DOUBLE AS delta, 0 AS n FROM verts
   UNION ALL
   SELECT v, doc_id, rank, max(abs(rank - old)) OVER (PARTITION BY doc_id) AS delta, n FROM (
     SELECT p.v, p.doc_id, 0.15 + coalesce(s.t, 0) AS rank, p.rank AS old, p.n + 1 AS n
     FROM steps p LEFT JOIN (SELECT dst, sum(rank * w) AS t FROM steps JOIN arcs ON v = src WHERE delta > 1e-4 GROUP BY dst) s ON p.v = s.dst
     WHERE p.n < 200 AND p.delta > 1e-4)),
-last AS (SELECT v, round(arg_max(rank, n), 9) AS rank FROM steps GROUP BY v),
-word_rank AS (SELECT doc_id, root, rank FROM last JOIN verts USING (v))"""
+last AS (SELECT v, arg_max(rank, n) AS rank FROM steps GROUP BY v),
+word_rank AS (SELECT doc_id, root, rank, round(rank, 9) AS level FROM last JOIN verts USING (v))"""
 
 
 _TILE_PAIRS = "SELECT doc_id, root0 AS r0, root1 AS r1 FROM tiles UNION SELECT doc_id, root1, root0 FROM tiles"
@@ -413,8 +413,8 @@ ORACLES["textrank_phrases"] = _sql(*RANKED, _phrases("", "lower(raw)", "HAVING b
 SELECT doc_id, phrase, round(rank / sum(rank) OVER (PARTITION BY doc_id), 6) AS norm_rank FROM phrases""")
 ORACLES["textrank_summary"] = _sql(
     *RANKED,
-    "floors AS (SELECT doc_id, median(rank) AS floor FROM word_rank GROUP BY doc_id)",
-    _phrases("JOIN floors f ON f.doc_id = t.doc_id AND r.rank >= f.floor", "raw", ""),
+    "floors AS (SELECT doc_id, median(level) AS floor FROM word_rank GROUP BY doc_id)",
+    _phrases("JOIN floors f ON f.doc_id = t.doc_id AND r.level >= f.floor", "raw", ""),
     "halves AS (SELECT doc_id, median(rank) AS half FROM phrases GROUP BY doc_id)",
     """
 SELECT doc_id, phrase, round(rank / sum(rank) OVER (PARTITION BY doc_id), 6) AS norm_rank
