@@ -46,6 +46,47 @@ def token_rows(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
     return explode_rows(tokened, [doc], F.col("toks"), "t").select(doc, "t.*")
 
 
+def retagged(tokened: DataFrame, tags: Column, *, lemmatizer=tx.lemma) -> DataFrame:
+    """The same words with other tags: ``tags`` is an array<string>, one tag per word.
+
+    The hook for a tagging model, for instance a pandas UDF over
+    ``transform(toks, t -> t.raw)``.
+    """
+    def word(t: Column, pos: Column) -> Column:
+        return F.struct(
+            t["sent"].alias("sent"), t["num"].alias("num"), t["raw"].alias("raw"),
+            lemmatizer(F.lower(t["raw"]), pos).alias("root"), pos.alias("pos"), tx.keep(pos).alias("keep"),
+        )
+
+    return tokened.withColumn("_tags", tags).withColumn("toks", F.zip_with("toks", "_tags", word)).drop("_tags")
+
+
+def lexicon_tagged(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id", *, lemmatizer=tx.lemma) -> DataFrame:
+    """(doc, toks) with tags from a table (word, pos) where it has the word, else as before.
+
+    Symbols (``SYM``) drop out and take no position.  A message's words come back together
+    by its key; they were one row before.
+    """
+    rows = lookup_join(
+        token_rows(tokened, doc).withColumn("word", F.lower("raw")),
+        lexicon.select("word", F.col("pos").alias("_pos")),
+        ["word"],
+        "left",
+        by=[doc, "num"],
+    )
+    pos = F.coalesce("_pos", "pos")
+    words = rows.filter(pos != "SYM").select(doc, F.struct("num", "sent", "raw", pos.alias("pos")).alias("w"))
+    grouped = words.groupBy(doc).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+
+    def word(w: Column, num: Column) -> Column:
+        return F.struct(
+            w["sent"].alias("sent"), num.alias("num"), w["raw"].alias("raw"),
+            lemmatizer(F.lower(w["raw"]), w["pos"]).alias("root"), w["pos"].alias("pos"), tx.keep(w["pos"]).alias("keep"),
+        )
+
+    return grouped.select(doc, F.transform("ws", word).alias("toks"))
+
+
 def term_counts(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Plain word counts per message: the baseline phrase ranks are compared with."""
     words = explode_rows(tokened, [doc], F.transform("toks", lambda t: F.lower(t["raw"])), "word")
@@ -161,10 +202,18 @@ def sentiment(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> Da
     return scored.groupBy(doc, "sent").agg(F.avg("polr").alias("polr"), F.avg("subj").alias("subj"))
 
 
-def sentence_records(nodes: DataFrame, scores: DataFrame, doc: str = "doc_id", *, size: int = 3) -> DataFrame:
-    """One record per sentence: (doc, sent, size, sha1, polr, subj, graf, tile)."""
+def sentence_records(nodes: DataFrame, lexicon: DataFrame, doc: str = "doc_id", *, size: int = 3) -> DataFrame:
+    """One record per sentence: (doc, sent, size, sha1, polr, subj, graf, tile).
+
+    ``nodes`` are the words of ``graf_nodes``, ``lexicon`` is (word, polr, subj).
+    """
+    scored = lookup_join(
+        nodes.withColumn("word", F.lower("raw")), lexicon.select("word", "polr", "subj"), ["word"], "left", by=[doc, "num"]
+    )
     word = F.struct("num", "node_id", "raw", "root", "pos", "keep")
-    grafs = nodes.groupBy(doc, "sent").agg(F.array_sort(F.collect_list(word)).alias("graf"))
+    grafs = scored.groupBy(doc, "sent").agg(
+        F.array_sort(F.collect_list(word)).alias("graf"), F.avg("polr").alias("polr"), F.avg("subj").alias("subj")
+    )
 
     def tile_at(d: int) -> Column:
         span = F.greatest(F.size("graf") - d, F.lit(0))
@@ -182,7 +231,7 @@ def sentence_records(nodes: DataFrame, scores: DataFrame, doc: str = "doc_id", *
         lambda t: F.struct(t["node_id"].alias("node_id"), t["raw"].alias("raw"), t["root"].alias("root"),
                            t["pos"].alias("pos"), t["keep"].alias("keep"), t["num"].alias("num")),
     )
-    return grafs.join(scores, [doc, "sent"], "left").select(
+    return grafs.select(
         doc,
         "sent",
         F.size("graf").alias("size"),

@@ -64,9 +64,7 @@ def _nodes(spark, sf):
 
 
 def _records(spark, sf):
-    tokened = _tokened(spark, sf)
-    scores = tt.sentiment(tokened, views.word_scores(read_table(spark, sf, "benchmark")))
-    return tt.sentence_records(tt.graf_nodes(tokened, tt.vocabulary(tokened)), scores)
+    return tt.sentence_records(_nodes(spark, sf), views.word_scores(read_table(spark, sf, "benchmark")))
 
 
 def _reply_graph(spark, sf):
@@ -347,6 +345,13 @@ def tokens(spark, sf):
     return tt.token_rows(_tokened(spark, sf))
 
 
+@query
+def lexicon_tokens(spark, sf):
+    """Tags from a lexicon table first."""
+    lexicon = views.word_tags(read_table(spark, sf, "benchmark"))
+    return tt.token_rows(tt.lexicon_tagged(_tokened(spark, sf), lexicon))
+
+
 @query
 def non_words(spark, sf):
     """How often each space-separated piece that is no word occurs."""

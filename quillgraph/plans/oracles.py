@@ -273,6 +273,16 @@ SELECT doc_id, sent, n_words,
        CAST(coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM sizes""")
 ORACLES["tokens"] = _sql(TEXT, "SELECT doc_id, sent, num, raw, root, pos, keep FROM toks")
+ORACLES["lexicon_tokens"] = _sql(TEXT, f"""
+lexicon AS (
+  SELECT word, CASE WHEN len(word) % 11 = 0 THEN 'SYM' WHEN len(word) % 3 = 0 THEN 'JJ' WHEN len(word) % 3 = 1 THEN 'NNS' ELSE 'RB' END AS tag
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)),
+retag AS (
+  SELECT doc_id, sent, num, raw, low, pos FROM (
+    SELECT doc_id, sent, num, raw, lower(raw) AS low, coalesce(tag, pos) AS pos FROM toks LEFT JOIN lexicon ON word = lower(raw))
+  WHERE pos <> 'SYM')""", f"""
+SELECT doc_id, sent, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY num) - 1 AS INTEGER) AS num, raw, {_LEMMA} AS root, pos,
+       CAST(pos[1] IN ('V', 'N', 'J') AS INTEGER) AS keep FROM retag""")
 ORACLES["non_words"] = f"""
 SELECT piece, count(*) AS num FROM (SELECT unnest(string_split(text, ' ')) AS piece FROM documents)
 WHERE regexp_matches(piece, '{tx.NOT_WORD}') GROUP BY piece"""

@@ -143,11 +143,21 @@ def mail_page_rows(mail: DataFrame) -> DataFrame:
     )
 
 
+def _words(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+
+
+def word_tags(benchmark: DataFrame) -> DataFrame:
+    """A lexicon with one row per word of ``benchmark``: (word, pos)."""
+    n = F.length("word")
+    pos = F.when(n % 11 == 0, "SYM").when(n % 3 == 0, "JJ").when(n % 3 == 1, "NNS").otherwise("RB")
+    return _words(benchmark).select("word", pos.alias("pos"))
+
+
 def word_scores(benchmark: DataFrame) -> DataFrame:
     """A scored word list with one row per word of ``benchmark``: (word, polr, subj)."""
-    words = benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     n = F.length("word")
-    return words.select("word", ((n % 5 - 2) / F.lit(2.0)).alias("polr"), ((n % 4) / F.lit(4.0)).alias("subj"))
+    return _words(benchmark).select("word", ((n % 5 - 2) / F.lit(2.0)).alias("polr"), ((n % 4) / F.lit(4.0)).alias("subj"))
 
 
 def registrations(events: DataFrame) -> DataFrame:
