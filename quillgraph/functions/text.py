@@ -48,7 +48,7 @@ SUFFIXES = [
     ("NN", r"..(tion|sion|ment|ness|ity|ism|ship)$"),
     ("JJ", r"..(ous|ful|ive|able|ible|al|ic|less|ish)$"),
     ("VB", r"..(ize|ise|ify|ate)$"),
-    ("NNS", r"..[^sui]s$"),
+    ("NNS", r"..[a-hj-rtv-z]s$"),
 ]
 IRREGULAR_VERBS = {
     "be": ["am", "is", "are", "was", "were", "been", "being"],
