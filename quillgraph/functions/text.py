@@ -40,16 +40,17 @@ CLOSED_CLASSES = {
     "RB": ["not", "very", "too", "also", "just", "only", "never", "always", "often", "here", "there", "now", "then", "so"],
     "VB": ["be", "am", "is", "are", "was", "were", "been", "being", "have", "has", "had", "do", "does", "did"],
 }
-# Fixed suffix rules of the default tagger, first match wins.
+# Fixed suffix rules of the default tagger, first match wins: tag, characters before the
+# suffix at least, suffixes.  Then plural nouns by a pattern.
 SUFFIXES = [
-    ("RB", r"..ly$"),
-    ("VBG", r"...ing$"),
-    ("VBD", r"...ed$"),
-    ("NN", r"..(tion|sion|ment|ness|ity|ism|ship)$"),
-    ("JJ", r"..(ous|ful|ive|able|ible|al|ic|less|ish)$"),
-    ("VB", r"..(ize|ise|ify|ate)$"),
-    ("NNS", r"..[a-hj-rtv-z]s$"),
+    ("RB", 2, ["ly"]),
+    ("VBG", 3, ["ing"]),
+    ("VBD", 3, ["ed"]),
+    ("NN", 2, ["tion", "sion", "ment", "ness", "ity", "ism", "ship"]),
+    ("JJ", 2, ["ous", "ful", "ive", "able", "ible", "al", "ic", "less", "ish"]),
+    ("VB", 2, ["ize", "ise", "ify", "ate"]),
 ]
+PLURAL = r"..[a-hj-rtv-z]s$"
 IRREGULAR_VERBS = {
     "be": ["am", "is", "are", "was", "were", "been", "being"],
     "have": ["has", "had"],
@@ -102,13 +103,19 @@ def words(sentence: Column) -> Column:
 
 
 def tag(word: Column, low: Column, index: Column) -> Column:
-    """Default part-of-speech tag by closed classes, then suffix, then capital, else noun."""
-    out = F.when(low.rlike("^[0-9]"), F.lit("CD"))
-    for name, members in CLOSED_CLASSES.items():
-        out = out.when(low.isin(members), F.lit(name))
-    for name, pattern in SUFFIXES:
-        out = out.when(low.rlike(pattern), F.lit(name))
-    out = out.when((index > 0) & word.rlike("^[A-Z]"), F.lit("NNP"))
+    """Default part-of-speech tag by closed classes, then suffix, then capital, else noun.
+
+    Runs once per word of every text, so cheap tests stand before dear ones.
+    """
+    closed = F.lit(None).cast("string")
+    for name, members in reversed(CLOSED_CLASSES.items()):
+        closed = F.when(low.isin(members), F.lit(name)).otherwise(closed)
+    out = F.when((low >= "0") & (low < ":"), F.lit("CD")).when(low.isin(sorted(sum(CLOSED_CLASSES.values(), []))), closed)
+    for name, before, endings in SUFFIXES:
+        for ending in endings:
+            out = out.when(low.endswith(ending) & (F.length(low) >= before + len(ending)), F.lit(name))
+    out = out.when(low.endswith("s") & low.rlike(PLURAL), F.lit("NNS"))
+    out = out.when((index > 0) & word.between("A", "Z~"), F.lit("NNP"))
     return out.otherwise(F.lit("NN"))
 
 
@@ -148,10 +155,11 @@ def tokens(text: Column, *, tagger: Callable[[Column, Column, Column], Column] =
 def flat_tokens(sents: Column, *, tagger: Callable[[Column, Column, Column], Column] = tag,
                 lemmatizer: Callable[[Column, Column], Column] = lemma) -> Column:
     def mark(sentence: Column, sent_no: Column) -> Column:
+        pairs = F.transform(words(sentence), lambda w: F.struct(w.alias("raw"), F.lower(w).alias("low")))
         return F.transform(
-            words(sentence),
-            lambda w, i: F.struct(
-                sent_no.alias("sent"), w.alias("raw"), F.lower(w).alias("low"), tagger(w, F.lower(w), i).alias("pos")
+            pairs,
+            lambda p, i: F.struct(
+                sent_no.alias("sent"), p["raw"].alias("raw"), p["low"].alias("low"), tagger(p["raw"], p["low"], i).alias("pos")
             ),
         )
 

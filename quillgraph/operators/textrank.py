@@ -8,6 +8,7 @@ the task on Arrow batches, spans and phrases are column expressions again.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,35 +29,32 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
 
         ``words`` are dictionary codes.  Returns rank and first-sight flag per token.
         """
-        n_docs = len(sizes)
         start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        doc = np.repeat(np.arange(n_docs), sizes)
         width = int(words.max()) + 1 if len(words) else 1
-        keys, first, vertex = np.unique(doc * width + words, return_index=True, return_inverse=True)
+        # vertices are numbered as they are first seen, so in document order
+        vertex, keys = pd.factorize(np.repeat(np.arange(len(sizes)), sizes) * width + words)
         n = len(keys)
-        vertex_doc = keys // width
+        seen_first = np.diff(np.maximum.accumulate(vertex), prepend=-1) > 0
+        changes = np.diff(keys // width, prepend=-1) > 0
+        doc_start, doc = np.flatnonzero(changes), np.cumsum(changes) - 1
         pair_start = np.repeat(start, pair_sizes)
         a, b = vertex[src + pair_start], vertex[dst + pair_start]
         a, b = np.concatenate((a, b)), np.concatenate((b, a))
         if distinct and len(a):
-            a, b = np.divmod(np.unique(a * n + b), n)
+            a, b = np.divmod(pd.unique(a * n + b), n)
         share = DAMPING / np.maximum(np.bincount(a, minlength=n), 1)[a]
         rank = np.ones(n)
-        live = np.ones(n_docs, dtype=bool)
-        for _ in range(max_rounds):
+        live = np.ones(len(doc_start), dtype=bool)
+        for _ in range(max_rounds if n else 0):
             fresh = (1 - DAMPING) + np.bincount(b, weights=rank[a] * share, minlength=n)
-            moving = live[vertex_doc]
-            change = np.zeros(n_docs)
-            np.maximum.at(change, vertex_doc, np.abs(fresh - rank))
-            rank = np.where(moving, fresh, rank)
+            change = np.maximum.reduceat(np.abs(fresh - rank), doc_start)
+            rank = np.where(live[doc], fresh, rank)
             live &= change > tol
             if not live.any():
                 break
-            edge_live = live[vertex_doc[a]]
+            edge_live = live[doc[a]]
             if edge_live.mean() < 0.7:  # finished documents leave the loop
                 a, b, share = a[edge_live], b[edge_live], share[edge_live]
-        seen_first = np.zeros(len(words), dtype=bool)
-        seen_first[first] = True
         return rank[vertex], seen_first
 
     @F.arrow_udf("array<struct<rank:double,level:double,first:boolean>>")
@@ -134,6 +132,14 @@ def word_ranks(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
+def ranks_and_counts(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Word ranks beside plain word counts: (doc, root, num, rank); rank 0 if never kept."""
+    words = ranked.select(doc, F.explode_outer("ranked").alias("t")).filter(F.col("t").isNotNull())
+    return words.groupBy(doc, F.col("t.root").alias("root")).agg(
+        F.count(F.lit(1)).alias("num"), F.max("t.rank").alias("rank")
+    )
+
+
 def _spans(ranked: Column, flags: Column) -> Column:
     """Runs of flagged tokens as array<struct<phrase, start, rank, nouns>>."""
     def span(run: Column) -> Column:

@@ -327,7 +327,7 @@ def paragraphs(spark, sf):
 
 @query
 def mail_paragraphs(spark, sf):
-    return tt.paragraph_rows(fill_slots(_mails(spark, sf)), doc="id")
+    return tt.paragraph_rows(_mails(spark, sf), doc="id")
 
 
 @query
@@ -522,11 +522,8 @@ def textrank_summary(spark, sf):
 @query
 def textrank_vs_terms(spark, sf):
     """Word ranks beside plain word counts."""
-    tokened = _tokened(spark, sf)
-    roots = tt.explode_rows(tokened, ["doc_id"], F.transform("toks", lambda t: t["root"]), "root")
-    counts = roots.groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("num"))
-    joined = counts.join(tr.word_ranks(tr.ranked_tokens(tokened)), ["doc_id", "root"], "left")
-    return joined.select("doc_id", "root", "num", F.round(F.coalesce("rank", F.lit(0.0)), 6).alias("rank"))
+    beside = tr.ranks_and_counts(_ranked(spark, sf))
+    return _rounded(beside, "rank")
 
 
 # ---- streams --------------------------------------------------------------------------

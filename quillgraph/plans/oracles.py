@@ -209,7 +209,8 @@ def _quoted(words: list[str]) -> str:
 _TAG = " ".join(
     ["CASE WHEN regexp_matches(low, '^[0-9]') THEN 'CD'"]
     + [f"WHEN low IN ({_quoted(members)}) THEN '{name}'" for name, members in tx.CLOSED_CLASSES.items()]
-    + [f"WHEN regexp_matches(low, '{pattern}') THEN '{name}'" for name, pattern in tx.SUFFIXES]
+    + [f"WHEN regexp_matches(low, '{'.' * before}({'|'.join(ends)})$') THEN '{name}'" for name, before, ends in tx.SUFFIXES]
+    + [f"WHEN regexp_matches(low, '{tx.PLURAL}') THEN 'NNS'"]
     + ["WHEN i > 1 AND regexp_matches(raw, '^[A-Z]') THEN 'NNP' ELSE 'NN' END"]
 )
 _LEMMA = " ".join(

@@ -12,7 +12,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def fill_slots(df: DataFrame) -> DataFrame:
     """Spread a scan over all task slots when it has fewer splits than slots.
 
-    Meant for costly per-row work on a few large row groups.  A scan with enough splits,
+    Meant for costly per-row work on a few large row groups, directly on a scan (asking a
+    shuffled plan for its splits would run it).  A scan with enough splits,
     as any large table has, is left alone and nothing is shuffled.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
