@@ -218,77 +218,66 @@ def strongly_connected_components(
     """(id, component): the lowest vertex id of each strongly connected component.
 
     An outer round: (1) vertices without a way in or out are components of their own;
-    (2) the smallest label spreads forward until stable and colours the graph; (3) from
-    each vertex that kept its own label a walk goes backward inside its colour; what it
-    reaches is one component and leaves.  Edges between colours are dropped, no component
-    crosses them.  Labels are hashes of the ids: with the ids themselves a long chain in id
-    order would lose one vertex per round, hashes cut it into pieces.
+    (2) the smallest labels spread until stable, along the edges and against them at once;
+    (3) a vertex that got one label from both sides lies on a cycle with the label's
+    vertex: it belongs to that component and leaves.  Of the rest only edges between
+    vertices with the same two labels stay, no component crosses the others.  Labels are
+    hashes of the ids: with the ids themselves a long chain in id order would lose one
+    vertex per round, hashes cut it into pieces.
 
     ``max_rounds`` bounds the outer rounds; what is then left keeps its own id.
     """
     links = durable(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    # edges only ever leave, so keys hot now cover all that are hot later
-    out_hot = HotKeys(count_keys(links.withColumnRenamed("src", "id"), ["id"]), ["id"])
-    in_hot = HotKeys(count_keys(links.withColumnRenamed("dst", "id"), ["id"]), ["id"])
+    # edges only ever leave, so keys hot now cover all that are hot later, at either end
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id"))
+    hot = HotKeys(count_keys(ends, ["id"]), ["id"])
 
-    def both_ends(lines: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    def both_ends(facts: DataFrame, *columns: str) -> DataFrame:
         """Edges whose two ends are in ``facts``, with its columns as src_* and dst_*."""
         at = [facts.select("id", *[F.col(c).alias(f"{end}_{c}") for c in columns]) for end in ("src", "dst")]
-        one = out_hot.join(lines.withColumnRenamed("src", "id"), at[0], by=["dst"]).withColumnRenamed("id", "src")
-        return in_hot.join(one.withColumnRenamed("dst", "id"), at[1], by=["src"]).withColumnRenamed("id", "dst")
+        one = hot.join(links.withColumnRenamed("src", "id"), at[0], by=["dst"]).withColumnRenamed("id", "src")
+        return hot.join(one.withColumnRenamed("dst", "id"), at[1], by=["src"]).withColumnRenamed("id", "dst")
 
-    rest = durable(
-        vertices_of(links, vertices).select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")).alias("own"))
-    )
+    rest = vertices_of(links, vertices)
     found: list[DataFrame] = []
     done = 0
-    while not rest.isEmpty() and (max_rounds is None or done < max_rounds):
+    while max_rounds is None or done < max_rounds:
         done += 1
         # 1. trim
         ways = degrees(links).filter((F.col("in_degree") > 0) & (F.col("out_degree") > 0)).select("id")
         trimmed = durable(rest.join(ways.withColumn("inner", F.lit(True)), "id", "left"))
-        found.append(trimmed.filter(F.col("inner").isNull()).select("id", "own"))
-        rest = trimmed.filter("inner").select("id", "own")
+        found.append(trimmed.filter(F.col("inner").isNull()).select("id", F.col("id").alias("root")))
+        rest = trimmed.filter("inner").select("id")
         if rest.isEmpty():
             break
-        links = durable(both_ends(links, rest).select("src", "dst"))
-        # 2. colour forward
-        colour, _ = pregel(
-            rest.select("id", F.col("own").alias("colour")),
-            links,
-            hot=out_hot,
-            send={"c": F.col("colour")},
-            merge={"best": F.min("c")},
-            update={"colour": F.least(F.col("colour"), F.col("best"))},
-            changed=F.col("colour") < F.col("old_colour"),
-            rounds_per_stage=rounds_per_stage,
-        )
-        links = durable(
-            both_ends(links, colour, "colour").filter(F.col("src_colour") == F.col("dst_colour")).select("src", "dst")
-        )
-        # 3. walk backward
-        backward = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached, _ = pregel(
-            colour.select("id", "colour", (F.col("colour.v") == F.col("id")).alias("hit")),
-            backward,
-            hot=in_hot,
-            send={"h": F.lit(True)},
-            merge={"any": F.max("h")},
-            update={"hit": F.col("hit") | F.coalesce("any", F.lit(False)), "colour": F.col("colour")},
-            changed=F.col("hit") & ~F.col("old_hit"),
-            send_when=F.col("hit"),
+        # 2. labels from both sides
+        inner = both_ends(rest).select("src", "dst")
+        there = inner.select("src", "dst", F.lit(True).alias("forth"))
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("forth"))
+        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v"))
+        labels, _ = pregel(
+            rest.select("id", own.alias("above"), own.alias("below")),
+            there.unionByName(back),
+            hot=hot,
+            send={"a": F.when(F.col("forth"), F.col("above")), "b": F.when(~F.col("forth"), F.col("below"))},
+            merge={"least_a": F.min("a"), "least_b": F.min("b")},
+            update={"above": F.least("above", "least_a"), "below": F.least("below", "least_b")},
+            changed=(F.col("above") < F.col("old_above")) | (F.col("below") < F.col("old_below")),
             rounds_per_stage=rounds_per_stage,
         )
-        found.append(reached.filter("hit").select("id", F.col("colour").alias("own")))
-        left = reached.filter(~F.col("hit")).select("id")
-        links = durable(both_ends(links, left).select("src", "dst"))
-        rest = left.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v")).alias("own"))
-    if not rest.isEmpty():
-        found.append(rest.select("id", "own"))
+        # 3. take out what agrees
+        agree = F.col("above") == F.col("below")
+        found.append(labels.filter(agree).select("id", F.col("above.v").alias("root")))
+        left = labels.filter(~agree)
+        same = (F.col("src_above") == F.col("dst_above")) & (F.col("src_below") == F.col("dst_below"))
+        links = durable(both_ends(left, "above", "below").filter(same).select("src", "dst"))
+        rest = left.select("id")
+    else:
+        found.append(rest.select("id", F.col("id").alias("root")))
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
-    members = durable(members.select("id", F.col("own.v").alias("root")))
+    members = durable(members)
     lowest = members.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n"))
     return salted_join(members, lowest.drop("n"), ["root"], by=["id"], counts=lowest.select("root", "n")).select("id", "component")
 
