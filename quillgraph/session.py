@@ -29,6 +29,8 @@ def build_session(app: str = "quillgraph", master: str | None = None, **conf: st
         # a split hot partition is worth an extra exchange above the join
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # long texts: Arrow batches are bounded by bytes, not only by rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         # rounds of an iterative job drop their files once unreachable
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
