@@ -41,21 +41,22 @@ def build_session(app: str = "quillgraph", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node can reach, as named by the cluster in ``spark.checkpoint.dir``."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="quillgraph-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    """The folder every node can reach: the one the context has, else ``spark.checkpoint.dir``.
+
+    Only a local session that names neither gets a temporary folder, set on its context once.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get(CHECKPOINT_CONF, None)
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
+            named = tempfile.mkdtemp(prefix="quillgraph-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Compute ``df`` now, keep it in the shared folder, and forget how it was made."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
