@@ -42,9 +42,6 @@ class Examples:
     def back(self, per_row: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(self.column, self.value * per_row[self.row], n)
 
-    def back_squares(self, per_row: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.column, self.value**2 * per_row[self.row], n)
-
 
 def sums(blocks: DataFrame, w: np.ndarray, part: Callable[[str, Examples, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum of ``part(kind, examples, w)``, vectors of length ``size``, over all blocks."""
@@ -65,11 +62,36 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def descend(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, rounds: int, rate: float = 0.15, momentum: float = 0.8) -> np.ndarray:
-    """Gradient rounds scaled by the curvature of each weight, with momentum."""
-    w, v = np.zeros(size), np.zeros(size)
-    for _ in range(rounds):
-        gradient, curvature = step(w)
-        v = momentum * v - rate * gradient / np.maximum(curvature, 1e-3)
-        w = w + v
+def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int, memory: int = 10, tolerance: float = 1e-4) -> np.ndarray:
+    """Limited-memory BFGS with step halving; one call of ``objective`` (value, gradient) is one job.
+
+    Stops after ``rounds`` calls, or when no component of the gradient exceeds ``tolerance``.
+    """
+    w = np.zeros(size)
+    value, gradient = objective(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    calls = 1
+    while calls < rounds and np.abs(gradient).max() > tolerance:
+        direction, kept = gradient.copy(), []
+        for s, y in reversed(steps):
+            kept.append((s @ direction) / (s @ y))
+            direction -= kept[-1] * y
+        if steps:
+            s, y = steps[-1]
+            direction *= (s @ y) / (y @ y)
+        for (s, y), k in zip(steps, reversed(kept)):
+            direction += (k - (y @ direction) / (s @ y)) * s
+        rate, slope = 1.0 if steps else min(1.0, 1.0 / np.abs(gradient).sum()), gradient @ direction
+        while calls < rounds:
+            after = w - rate * direction
+            new_value, new_gradient = objective(after)
+            calls += 1
+            if new_value <= value - 1e-4 * rate * slope:
+                break
+            rate /= 3
+        else:
+            break
+        if (s := after - w) @ (y := new_gradient - gradient) > 1e-12:
+            steps = [*steps[1 - memory :], (s, y)]
+        w, value, gradient = after, new_value, new_gradient
     return w

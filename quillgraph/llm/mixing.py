@@ -125,14 +125,15 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return each.withColumn("end", ends).groupBy("ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
 
 
-def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, shards: int = 64, seed: int = 11) -> DataFrame:
+def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, shard_words: int = 1 << 22, max_shards: int = 4096, seed: int = 11) -> DataFrame:
     """``docs`` with size, source_size, target, copies and draws; columns of these names are replaced.
 
     ``draws`` has one (shard, draw) for each copy of the row in the mix; ``copies`` is their
     number, at most ``most``.  A null source is a source of its own; null and empty texts have
     size 0.  Equal rows fall into the same block and are drawn as separate rows.  The last,
     partly used block of a source is cut where its target is nearest.  An empty table gives an
-    empty table.
+    empty table.  Shards are the power of two (``max_shards`` at most) that holds about
+    ``shard_words`` words each.
     """
     keep = [c for c in docs.columns if c not in _OWN]
     size = F.size(words(F.col("text"))).cast("long")
@@ -141,6 +142,8 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     key = F.xxhash64("doc_id", "text")
     rows = computed(docs, _size=size, _key=key, _name=name, _block=F.pmod(key, F.lit(buckets)))
     blocks = durable(rows.groupBy("_name", "_block").agg(F.sum("_size").alias("_words")))
+    total = blocks.agg(F.coalesce(F.sum("_words"), F.lit(0))).first()[0]
+    shards = min(max_shards, 1 << max(0, math.ceil(math.log2(max(1, total / shard_words)))))
     named = blocks.groupBy("_name").agg(F.sum("_words").alias("source_size"), F.count(F.lit(1)).alias("_blocks"))
     source = F.when(F.col("_name") != "n", F.substring("_name", 2, 1 << 30))
     wanted = targets(named.withColumn("source", source).drop("_blocks", "_name"), weights, most)
@@ -168,11 +171,12 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row for every copy, with its shard, sorted by a hash inside the shard.
+    """The mix itself: a row for every copy with its ``shard`` and ``draw``, in hash order inside a shard.
 
-    Columns are those of ``docs`` and ``shard``, ``draw``.
+    Columns of these names are replaced; all others of ``docs`` are kept as they are.
     """
-    seed = options.get("seed", 11)
-    drawn = plan(docs, **options).withColumn("_d", F.explode("draws"))
-    rows = drawn.select(*docs.columns, "_d.shard", "_d.draw") if not {"shard", "draw"} & set(docs.columns) else drawn.drop("shard", "draw").select(*[c for c in docs.columns if c not in ("shard", "draw")], "_d.shard", "_d.draw")
-    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "draw", "doc_id"), "doc_id")
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
+    drawn = plan(boxed, **options).select("_row", F.explode("draws").alias("_d"))
+    rows = drawn.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "draw")], "_d.shard", "_d.draw")
+    seed = F.lit(options.get("seed", 11))
+    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(seed, "draw", "doc_id"), "doc_id")

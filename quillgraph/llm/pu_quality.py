@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import in_sample, labelled_sample, with_labels
-from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, descend, sigmoid, sums
+from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, minimise, sigmoid, sums
 from quillgraph.session import durable
 
 STEPS = 24
@@ -95,83 +95,91 @@ def fit(
     weights are 0 (score 0.5).
     """
     positives = labelled_sample(labels, "quality", max_positives, _and(F.col("quality") == 1, usable))
+    if positives.isEmpty():
+        return np.zeros(SIZE)
     trusted = with_labels(docs, positives).select("text", F.lit("pos").alias("kind"))
     unlabelled = docs.filter(in_sample(docs, max_unlabelled, "doc_id")).select("text", F.lit("unl").alias("kind"))
     both = trusted.unionByName(unlabelled).withColumn("text", F.coalesce("text", F.lit("")))
+    both = both.withColumn("kind", F.concat("kind", F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")))
     blocks = durable(both.mapInPandas(_pack, BLOCK).repartition(PARTITIONS, F.xxhash64("kind", "column")))
-    against = descend(lambda w: _contrast(blocks, w, ridge), SIZE, rounds)
+    against = minimise(lambda w: _contrast(blocks, w, ridge), SIZE, rounds)
     prior = estimate_prior(blocks, against)
-    return descend(lambda w: _risk(blocks, w, prior, ridge), SIZE, rounds)
+    return minimise(lambda w: _risk(blocks, w, prior, ridge), SIZE, rounds)
 
 
 def _and(a: Column, b: Column | None) -> Column:
     return a if b is None else a & b
 
 
-def _pull(w: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    pull = np.full(SIZE, ridge)
-    pull[-1] = 0.0
-    return pull * w, pull
+def _ridge(w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    pull = np.r_[np.full(SIZE - 1, ridge), 0.0]
+    return pull @ (w * w) / 2, pull * w
 
 
-def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of telling positives from unlabelled ones, both sides weighing the same."""
+def _side(kind: str, own: np.ndarray) -> np.ndarray:
+    """The sums of one block in the half of the vector that belongs to its sample."""
+    none = np.zeros_like(own)
+    return np.r_[own, none] if kind.startswith("pos") else np.r_[none, own]
+
+
+def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Value and gradient of telling positives from unlabelled ones on half 0, both weighing the same."""
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
-        p = sigmoid(e.margins(w))
-        own = np.r_[e.back(p - (kind == "pos"), SIZE), e.back_squares(p * (1 - p), SIZE), len(e.y)]
-        none = np.zeros_like(own)
-        return np.r_[own, none] if kind == "pos" else np.r_[none, own]
+        if kind.endswith("1"):
+            return np.zeros(2 * (SIZE + 2))
+        z, y = e.margins(w), float(kind.startswith("pos"))
+        return _side(kind, np.r_[e.back(sigmoid(z) - y, SIZE), np.logaddexp(0.0, -z if y else z).sum(), len(e.y)])
 
-    total = sums(blocks, w, part, 4 * SIZE + 2)
-    g, h = _pull(w, ridge)
-    for side in (total[: 2 * SIZE + 1], total[2 * SIZE + 1 :]):
-        g, h = g + side[:SIZE] / max(1.0, side[-1]) / 2, h + side[SIZE : 2 * SIZE] / max(1.0, side[-1]) / 2
-    return g, h
+    total = sums(blocks, w, part, 2 * (SIZE + 2))
+    value, gradient = _ridge(w, ridge)
+    for side in (total[: SIZE + 2], total[SIZE + 2 :]):
+        value, gradient = value + side[SIZE] / max(1.0, side[-1]) / 2, gradient + side[:SIZE] / max(1.0, side[-1]) / 2
+    return value, gradient
 
 
 def estimate_prior(blocks: DataFrame, w: np.ndarray) -> float:
     """The least ratio, over score thresholds, of the unlabelled share above to the positive share above.
 
-    Both shares carry a deviation bound, so a threshold with few rows above does not decide.
+    On half 1, which ``w`` has not seen.  Both shares carry a deviation bound, so a threshold
+    with few rows above does not decide.
     """
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
-        p = sigmoid(e.margins(w))
-        own = np.bincount(np.minimum(SCORE_BINS - 1, (p * SCORE_BINS).astype(int)), minlength=SCORE_BINS).astype(float)
-        none = np.zeros_like(own)
-        return np.r_[own, none] if kind == "pos" else np.r_[none, own]
+        if kind.endswith("0"):
+            return np.zeros(2 * SCORE_BINS)
+        step = np.minimum(SCORE_BINS - 1, (sigmoid(e.margins(w)) * SCORE_BINS).astype(int))
+        return _side(kind, np.bincount(step, minlength=SCORE_BINS).astype(float))
 
     total = sums(blocks, w, part, 2 * SCORE_BINS)
     pos, unl = total[:SCORE_BINS], total[SCORE_BINS:]
     n_pos, n_unl = max(1.0, pos.sum()), max(1.0, unl.sum())
     q_pos, q_unl = np.cumsum(pos[::-1]) / n_pos, np.cumsum(unl[::-1]) / n_unl
     slack = np.sqrt(np.log(20.0) / (2 * n_pos)) + np.sqrt(np.log(20.0) / (2 * n_unl))
-    above = q_pos > 0.1
-    ratio = (q_unl[above] + slack) / q_pos[above]
-    best = np.flatnonzero(above)[int(ratio.argmin())] if above.any() else -1
-    return float(np.clip(q_unl[best] / max(q_pos[best], 1e-9), 0.05, 0.98)) if best >= 0 else 0.5
+    above = np.flatnonzero(q_pos > 0.1)
+    if not len(above):
+        return 0.5
+    best = above[int(((q_unl[above] + slack) / q_pos[above]).argmin())]
+    return float(np.clip(q_unl[best] / q_pos[best], 0.05, 0.98))
 
 
-def _risk(blocks: DataFrame, w: np.ndarray, prior: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of the non-negative risk at ``w`` (logistic loss)."""
+def _risk(blocks: DataFrame, w: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
+    """Value and gradient of the non-negative risk at ``w`` (logistic loss), over both halves."""
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
         z = e.margins(w)
         p = sigmoid(z)
-        minus = np.logaddexp(0.0, z).sum()
-        own = np.r_[e.back(p - 1, SIZE), e.back(p, SIZE), e.back_squares(p * (1 - p), SIZE), minus, len(e.y)]
-        none = np.zeros_like(own)
-        return np.r_[own, none] if kind == "pos" else np.r_[none, own]
+        return _side(kind, np.r_[e.back(p - 1, SIZE), e.back(p, SIZE), np.logaddexp(0.0, -z).sum(), np.logaddexp(0.0, z).sum(), len(e.y)])
 
-    width = 3 * SIZE + 2
+    width = 2 * SIZE + 3
     total = sums(blocks, w, part, 2 * width)
     pos, unl = total[:width] / max(1.0, total[width - 1]), total[width:] / max(1.0, total[-1])
-    g, h = _pull(w, ridge)
-    negative = unl[-2] - prior * pos[-2]  # E_unl[l(-)] - prior E_pos[l(-)]
-    toward = unl[SIZE : 2 * SIZE] - prior * pos[SIZE : 2 * SIZE]
-    gradient = prior * pos[:SIZE] + toward if negative >= 0 else -toward
-    return g + gradient, h + prior * pos[2 * SIZE : 3 * SIZE] + unl[2 * SIZE : 3 * SIZE]
+    value, gradient = _ridge(w, ridge)
+    value, gradient = value + prior * pos[-3], gradient + prior * pos[:SIZE]
+    negative = unl[-2] - prior * pos[-2]
+    if negative > 0:
+        value, gradient = value + negative, gradient + unl[SIZE : 2 * SIZE] - prior * pos[SIZE : 2 * SIZE]
+    return value, gradient
 
 
 def score(docs: DataFrame, w: np.ndarray) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decision_list, mixing, packing, page_text, pu_quality, sharding, token_counts, toxicity
+from quillgraph.llm import decision_list, mixing, ngram_join, packing, page_text, pu_quality, sharding, token_counts, toxicity, vector_dedup
 from quillgraph.llm.common import remainder
 from quillgraph.sources.tables import read_table
 
@@ -31,11 +31,20 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.apply_rules(docs, rules).select("doc_id", *decision_list.BASE, "base_failed", "kept")
 
 
+def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     weights = pu_quality.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
@@ -64,7 +73,9 @@ QUERIES = {
     "op1_toxicity": toxicity_scores,
     "op2_length_buckets": length_buckets,
     "op3_decision_list": quality_rules,
+    "op4_ngram_join": ngram_components,
     "op5_source_mix": source_mix,
+    "op6_vector_dedup": vector_duplicates,
     "op7_pu_quality": quality_scores,
     "op8_token_counts": byte_bpe_counts,
     "op9_page_text": page_articles,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import labelled_sample, with_labels
-from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, descend, sigmoid, sums
+from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, minimise, sigmoid, sums
 from quillgraph.session import durable
 
 #: kinds of group names; a name is swapped for the next of its kind
@@ -80,19 +80,17 @@ def fit(
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
         z = e.margins(w)
         if kind == "pair":  # fairness * (w . difference)^2 / 2
-            return np.r_[fairness * e.back(z, n), fairness * e.back_squares(np.ones_like(z), n), 0.0]
+            return np.r_[fairness * e.back(z, n), fairness * (z @ z) / 2, 0.0]
         weight = np.where(e.y > 0, positive_weight, 1.0)
-        p = sigmoid(z)
-        return np.r_[e.back(weight * (p - e.y), n), e.back_squares(weight * p * (1 - p), n), len(e.y)]
+        loss = weight * np.logaddexp(0.0, np.where(e.y > 0, -z, z))
+        return np.r_[e.back(weight * (sigmoid(z) - e.y), n), loss.sum(), len(e.y)]
 
-    def step(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = sums(blocks, w, part, 2 * n + 1)
-        rows_seen = max(1.0, total[-1])
-        pull = np.full(n, ridge)
-        pull[-1] = 0.0
-        return total[:n] / rows_seen + pull * w, total[n : 2 * n] / rows_seen + pull
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        total = sums(blocks, w, part, n + 2)
+        seen, pull = max(1.0, total[-1]), np.r_[np.full(n - 1, ridge), 0.0]
+        return total[n] / seen + pull @ (w * w) / 2, total[:n] / seen + pull * w
 
-    return vocabulary, descend(step, n, rounds)
+    return vocabulary, minimise(objective, n, rounds)
 
 
 def _vocabulary(rows: DataFrame, most: int) -> dict[str, int]:
