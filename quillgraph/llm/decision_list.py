@@ -192,6 +192,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     A null or empty text has no words: all counts 0, base_failed true.  Repeated rows each get
     their own verdict; an empty table gives an empty table.
     """
-    marked = with_statistics(with_counts(docs)).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # no other column can clash
+    marked = with_statistics(with_counts(boxed)).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
     own = [*BASE, "base_failed", "kept"]
-    return marked.select(*[c for c in docs.columns if c not in own], *own)
+    return marked.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in own], *own)
