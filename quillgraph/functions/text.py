@@ -17,9 +17,9 @@ FORWARD = r"\n-+ Forwarded message -+\n"
 REPLIED = r"\nOn.*\d+.*\n?wrote:\n+>"
 UNSUBSCRIBE = r"\n-+\nTo unsubscribe,.*\nFor additional commands,.*"
 UNPRINTABLE = r"[^\x20-\x7E\t\n\r\x0B\x0C]"
-NOT_WORD = r"^([^A-Za-z0-9_]+|_+)$"
+NOT_WORD = r"^([^\p{L}\p{N}_]+|_+)$"
 SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
-WORD = r"[A-Za-z0-9_]*[A-Za-z0-9][A-Za-z0-9_]*(?:['-][A-Za-z0-9_]+)*"
+WORD = r"[\p{L}\p{N}_]*[\p{L}\p{N}][\p{L}\p{N}_]*(?:['-][\p{L}\p{N}_]+)*"
 MARK = "\x01"
 
 # Fixed word lists of the default tagger: closed word classes of English.
@@ -91,6 +91,11 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(joined, "\n\n+"), lambda p: p != "")
 
 
+def blocks(text: Column) -> Column:
+    """A text that is no mail as an array of paragraphs, cut at blank lines and otherwise whole."""
+    return F.filter(F.split(text, "\n\n+"), lambda p: p != "")
+
+
 def sentences(paras: Column) -> Column:
     """Array of paragraphs to one array of sentences."""
     parts = F.transform(paras, lambda p: F.split(F.regexp_replace(p, SENTENCE_END, "$1" + MARK), MARK))
@@ -143,13 +148,14 @@ def keep(pos: Column) -> Column:
     return F.substring(pos, 1, 1).isin("V", "N", "J").cast("int")
 
 
-def tokens(text: Column, *, tagger: Callable[[Column, Column, Column], Column] = tag,
+def tokens(text: Column, *, parts: Callable[[Column], Column] = blocks, tagger: Callable[[Column, Column, Column], Column] = tag,
            lemmatizer: Callable[[Column, Column], Column] = lemma) -> Column:
-    """Tagged words of a message, in order.
+    """Tagged words of a text, in order.
 
-    array<struct<sent, num, raw, root, pos, keep>>; ``num`` runs on over the whole message.
+    array<struct<sent, num, raw, root, pos, keep>>; ``num`` runs on over the whole text.
+    ``parts`` cuts it into paragraphs: ``blocks`` keeps all of it, ``paragraphs`` is for mails.
     """
-    return flat_tokens(sentences(paragraphs(text)), tagger=tagger, lemmatizer=lemmatizer)
+    return flat_tokens(sentences(parts(text)), tagger=tagger, lemmatizer=lemmatizer)
 
 
 def flat_tokens(sents: Column, *, tagger: Callable[[Column, Column, Column], Column] = tag,

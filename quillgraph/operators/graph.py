@@ -142,15 +142,15 @@ def pagerank(
     *,
     tol: float = 1e-4,
     rounds: int | None = None,
-    max_rounds: int = 200,
-    rounds_per_stage: int = 4,
+    rounds_per_stage: int = 1,
     normalize: bool = False,
 ) -> DataFrame:
     """(id, rank) with rank = 0.15 + 0.85 * sum(rank_src / out_degree_src).
 
-    Ranks start at 1, close to the fixed point.  Runs ``rounds`` rounds if given, else until no rank moves by more than ``tol`` (looked
-    at every ``rounds_per_stage`` rounds).  Parallel edges count each.  ``normalize``
-    scales the ranks to sum to the number of vertices.
+    Ranks start at 1, close to the fixed point.  Runs ``rounds`` rounds if given, else until no
+    rank moves by more than ``tol``, however many rounds that takes.  Movement is looked at every
+    ``rounds_per_stage`` rounds; more than one saves writes and may run a few rounds too many.
+    Parallel edges count each.  ``normalize`` scales the ranks to sum to the number of vertices.
     """
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
@@ -166,7 +166,7 @@ def pagerank(
         update={"rank": F.lit(0.15) + F.lit(0.85) * F.coalesce("total", F.lit(0.0)), "out": F.col("out")},
         changed=F.lit(True) if rounds is not None else F.abs(F.col("rank") - F.col("old_rank")) > tol,
         all_send=True,
-        max_rounds=rounds if rounds is not None else max_rounds,
+        max_rounds=rounds,
         rounds_per_stage=rounds_per_stage,
     )
     ranks = state.select("id", "rank")

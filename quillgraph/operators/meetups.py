@@ -70,8 +70,9 @@ def stratum_fractions(rows: DataFrame, key: str, num: int) -> DataFrame:
 
 
 def unit_value(*columns: str, seed: int = 42) -> Column:
-    """A repeatable value in [0, 1) from the hash of the columns."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A repeatable value in [0, 1): the first 52 bits of the MD5 of ``seed:column:...``."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def stratified_sample(rows: DataFrame, key: str, id_column: str, num: int, seed: int = 42) -> DataFrame:

@@ -20,9 +20,9 @@ def explode_rows(df: DataFrame, keys: list[str], values: Column, name: str) -> D
     return df.select(*keys, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
 
 
-def with_tokens(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(doc, toks): the tagged token array of each message."""
-    return docs.select(doc, tx.tokens(F.col(text)).alias("toks"))
+def with_tokens(docs: DataFrame, text: str = "text", doc: str = "doc_id", *, parts=tx.blocks) -> DataFrame:
+    """(doc, toks): the tagged token array of each text; ``parts=tx.paragraphs`` for mails."""
+    return docs.select(doc, tx.tokens(F.col(text), parts=parts).alias("toks"))
 
 
 def paragraph_rows(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -30,14 +30,14 @@ def paragraph_rows(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
     return explode_rows(docs, [doc], paras, "p").select(doc, "p.*")
 
 
-def sentence_rows(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    sents = F.transform(tx.sentences(tx.paragraphs(F.col(text))), lambda s, i: F.struct(i.alias("sent"), s.alias("text")))
+def sentence_rows(docs: DataFrame, text: str = "text", doc: str = "doc_id", *, parts=tx.blocks) -> DataFrame:
+    sents = F.transform(tx.sentences(parts(F.col(text))), lambda s, i: F.struct(i.alias("sent"), s.alias("text")))
     return explode_rows(docs, [doc], sents, "s").select(doc, "s.*")
 
 
-def sentence_offsets(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """Word count of each sentence and the number of words before it in the message."""
-    sizes = docs.select(doc, tx.sentence_sizes(tx.sentences(tx.paragraphs(F.col(text)))).alias("sizes"))
+def sentence_offsets(docs: DataFrame, text: str = "text", doc: str = "doc_id", *, parts=tx.blocks) -> DataFrame:
+    """Word count of each sentence and the number of words before it in the text."""
+    sizes = docs.select(doc, tx.sentence_sizes(tx.sentences(parts(F.col(text)))).alias("sizes"))
     pairs = F.zip_with("sizes", tx.sentence_starts(F.col("sizes")), lambda n, at: F.struct(n.alias("n_words"), at.alias("start")))
     return explode_rows(sizes, [doc], F.transform(pairs, lambda p, i: F.struct(i.alias("sent"), p["n_words"], p["start"])), "s").select(doc, "s.*")
 

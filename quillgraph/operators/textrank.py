@@ -17,12 +17,11 @@ from quillgraph.functions import text as tx
 
 TOLERANCE = 1e-4
 DAMPING = 0.85
-MAX_ROUNDS = 200
 LEVEL_PLACES = 9
 _CHUNK_TOKENS = 400_000
 
 
-def _rank_udf(tol: float, max_rounds: int, distinct: bool):
+def _rank_udf(tol: float, max_rounds: int | None, distinct: bool):
     # the helper sits inside, so that it travels with the function and executors need no copy of this package
     def batch_ranks(words, sizes, src, dst, pair_sizes):
         """Ranks of all words of a run of documents, each document its own graph.
@@ -45,7 +44,9 @@ def _rank_udf(tol: float, max_rounds: int, distinct: bool):
         share = DAMPING / np.maximum(np.bincount(a, minlength=n), 1)[a]
         rank = np.ones(n)
         live = np.ones(len(doc_start), dtype=bool)
-        for _ in range(max_rounds if n else 0):
+        done = 0
+        while n and done != max_rounds:
+            done += 1
             fresh = (1 - DAMPING) + np.bincount(b, weights=rank[a] * share, minlength=n)
             change = np.maximum.reduceat(np.abs(fresh - rank), doc_start)
             rank = np.where(live[doc], fresh, rank)
@@ -89,13 +90,14 @@ def ranked_tokens(
     links: str = "tiles",
     distinct: bool = True,
     tol: float = TOLERANCE,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """Add ``ranked``: the document's tokens with rank and first-sight flag.
 
     ``links`` is ``tiles`` (kept words up to three apart, one edge per pair when
     ``distinct``) or ``window`` (three-word windows; use ``distinct=False`` so that a
-    repeated pair weighs more).  Words that are not kept have rank 0.
+    repeated pair weighs more).  Words that are not kept have rank 0.  Rounds go on until no rank
+    of a document moves by more than ``tol``; ``max_rounds`` is a limit only if the caller sets one.
     """
     if links not in ("tiles", "window"):
         raise ValueError("links must be tiles or window")

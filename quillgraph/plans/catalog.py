@@ -117,9 +117,14 @@ def leaders(spark, sf):
 
 @query
 def message_by_id(spark, sf):
-    """Parameterised SQL look-up over a registered view."""
-    _msg(spark, sf).createOrReplaceTempView("msg")
-    return spark.sql("SELECT id, sender, subject FROM msg WHERE id = :id AND sender <> ''", args={"id": "77"})
+    """Parameterised SQL look-up; the frame is an argument, so no view name is taken."""
+    return spark.sql("SELECT id, sender, subject FROM {msg} WHERE id = {id} AND sender <> ''", msg=_msg(spark, sf), id="77")
+
+
+@query
+def message_text(spark, sf):
+    """The source text of one message."""
+    return _mails(spark, sf).filter(F.col("id") == "7.1").select("id", "text")
 
 
 @query
@@ -301,6 +306,7 @@ def list_explode_counts(spark, sf):
 
 @query
 def click_register(spark, sf):
+    """Clicks with the registration of their user: by definition the first sign-up, one a user."""
     events = read_table(spark, sf, "events")
     return _rounded(mt.clicks_of_registered(views.registrations(events), views.clicks(events)), "lat", "lon")
 
@@ -469,26 +475,18 @@ def shortest_paths(spark, sf):
     )
 
 
-def _daily(spark, sf):
-    """Nodes and components of the reply graph of each day."""
-    msg = views.daily_messages(_msg(spark, sf))
-    ids = durable(ms.sender_ids(msg))
-    edges = ms.reply_edges(msg, ids)
-    day = lambda c: F.substring_index(c, "@", -1)
-    by_name = ms.names_for(ms.names_for(edges.withColumnRenamed("sender", "to_id"), ids, "replier", "r"), ids, "to_id", "s")
-    links = by_name.filter(day("r") == day("s")).select(F.col("replier").alias("src"), F.col("to_id").alias("dst"))
-    return ids, gr.strongly_connected_components(ids.select("id"), links)
-
-
 @query
 def scc(spark, sf):
-    ids, components = _daily(spark, sf)
-    return gr.named(components, ids.select("id", "sender")).select(F.col("sender").alias("name"), "component")
+    """Strongly connected components of the whole reply graph."""
+    nodes, edges = _reply_graph(spark, sf)
+    links = durable(edges.select(F.col("replier").alias("src"), F.col("sender").alias("dst")))
+    return gr.named(gr.strongly_connected_components(nodes.select("id"), links), nodes).select(F.col("sender").alias("name"), "component")
 
 
 @query
 def scc_sizes(spark, sf):
-    return gr.component_sizes(_daily(spark, sf)[1])
+    vertices, links = _reply_links(spark, sf)
+    return gr.component_sizes(gr.strongly_connected_components(vertices, links.select("src", "dst")))
 
 
 # ---- key phrases ----------------------------------------------------------------------
@@ -519,6 +517,13 @@ def textrank_summary(spark, sf):
     return _rounded(tr.summary_phrases(_ranked(spark, sf)), "norm_rank")
 
 
+@query
+def ranked_sequence(spark, sf):
+    """Every word in text order with its rank; words outside the graph have rank 0."""
+    rows = _ranked(spark, sf).select("doc_id", F.explode("ranked").alias("t"))
+    return _rounded(rows.select("doc_id", "t.num", "t.raw", "t.rank"), "rank")
+
+
 @query
 def textrank_vs_terms(spark, sf):
     """Word ranks beside plain word counts."""
@@ -530,27 +535,35 @@ def textrank_vs_terms(spark, sf):
 
 
 def _document_lines(spark, sf):
-    files = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # a pattern names the table whether it is one file or a folder of them
+    files = spark.readStream.schema("doc_id long, text string").parquet(f"{sf}/documents.parque[t]")
     return files.select(F.explode(F.split("text", "\n")).alias("value"))
 
 
-def _finished(spark, make: Callable[[Callable[[DataFrame, int], None]], object]) -> DataFrame:
-    """Run a stream over what is there now; its results as a written table."""
+def _finished(spark, make: Callable[[Callable[[DataFrame, int], None]], object], *, whole: bool) -> DataFrame:
+    """Run a stream over what is there now; its results as a written table.
+
+    With ``whole`` a batch holds all results and replaces those before; else each batch has a
+    folder of its own, which the same batch replaces when it is run again.  The files stay in
+    the shared folder, under a name of this run, as long as that folder keeps them.
+    """
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
-    writer = make(lambda counts, batch_id: counts.write.mode("overwrite").parquet(out))
+    place = (lambda batch_id: out) if whole else (lambda batch_id: f"{out}/batch_id={batch_id}")
+    writer = make(lambda counts, batch_id: counts.write.mode("overwrite").parquet(place(batch_id)))
     run = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema("word string, num long").parquet(out)
 
 
 @query
 def stream_word_counts(spark, sf):
-    """Counts of one batch, no state."""
-    return _finished(spark, lambda sink: wc.each_batch(_document_lines(spark, sf), sink))
+    """Counts of each batch without state, added up over the batches."""
+    found = _finished(spark, lambda sink: wc.each_batch(_document_lines(spark, sf), sink), whole=False)
+    return found.groupBy("word").agg(F.sum("num").alias("num"))
 
 
 @query
 def stream_running_counts(spark, sf):
     """Totals since the start, kept in state."""
-    return _finished(spark, lambda sink: wc.running_totals(_document_lines(spark, sf), sink))
+    return _finished(spark, lambda sink: wc.running_totals(_document_lines(spark, sf), sink), whole=True)

@@ -171,6 +171,13 @@ SELECT affil || '/' || title AS stratum, count(*) AS n,
        round(CASE WHEN count(*) < 50 THEN 1.0::DOUBLE ELSE 50.0::DOUBLE / count(*) END, 6) AS fraction
 FROM listing GROUP BY 1""")
 
+ORACLES["stratified_sample"] = """
+WITH rows AS (SELECT event_id, CAST(user_id % 40 AS VARCHAR) || '/' || event_type AS stratum FROM events),
+sizes AS (SELECT stratum, count(*) AS n FROM rows GROUP BY stratum)
+SELECT event_id, stratum FROM rows JOIN sizes USING (stratum)
+WHERE ('0x' || substr(md5('42:' || event_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+      < CASE WHEN n < 50 THEN 1.0::DOUBLE ELSE 50.0::DOUBLE / n END"""
+
 # ---- text -----------------------------------------------------------------------------
 
 _NL = "chr(10)"
@@ -192,6 +199,10 @@ paras AS (
 
 
 PARAS = _paragraphs("documents", "doc_id")
+BLOCKS = r"""
+paras AS (
+  SELECT doc_id, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS para
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n\n+'), lambda x: x <> '') AS p FROM documents))"""
 SENTS = rf"""
 pieces AS (
   SELECT doc_id, para, unnest(s) AS text, generate_subscripts(s, 1) AS i
@@ -232,7 +243,7 @@ tagged AS (SELECT doc_id, sent, i, raw, lower(raw) AS low, {_TAG} AS pos FROM (S
 toks AS (
   SELECT doc_id, sent, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent, i) - 1 AS INTEGER) AS num, raw, {_LEMMA} AS root, pos,
          CAST(pos[1] IN ('V', 'N', 'J') AS INTEGER) AS keep FROM tagged)"""
-TEXT = PARAS + "," + SENTS + "," + TOKS
+TEXT = BLOCKS + "," + SENTS + "," + TOKS
 VOCAB = """
 vocab AS (
   SELECT row_number() OVER (ORDER BY root) AS node_id, root, n
@@ -243,10 +254,11 @@ nodes AS (
   FROM toks LEFT JOIN vocab USING (root))"""
 TILES = """
 tiles AS (
-  SELECT a.doc_id, a.root AS root0, b.root AS root1, a.num AS num0, b.num AS num1
-  FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND a.sent = b.sent
-  JOIN (SELECT unnest([1, 2, 3]) AS d) s ON b.num = a.num + s.d
-  WHERE a.keep = 1 AND b.keep = 1)"""
+  SELECT doc_id, root AS root0, x.root AS root1, num AS num0, x.num AS num1
+  FROM (SELECT doc_id, root, num, keep, unnest([lead(me, 1) OVER w, lead(me, 2) OVER w, lead(me, 3) OVER w]) AS x
+        FROM (SELECT *, {'num': num, 'root': root, 'keep': keep} AS me FROM toks)
+        WINDOW w AS (PARTITION BY doc_id, sent ORDER BY num))
+  WHERE keep = 1 AND x.keep = 1)"""
 _SMALL = f"({_quoted(tx.SMALL_KEEP_TAGS)})"
 LINKS = f"""
 ahead AS (
@@ -267,8 +279,8 @@ moods AS (
 
 ORACLES["paragraphs"] = _sql(PARAS, "SELECT doc_id, para, text FROM paras")
 ORACLES["mail_paragraphs"] = _sql(MAILS, _paragraphs("mails", "id"), "SELECT id, para, text FROM paras")
-ORACLES["sentences"] = _sql(PARAS, SENTS, "SELECT doc_id, sent, text FROM sents")
-ORACLES["sentence_offsets"] = _sql(PARAS, SENTS, f"""
+ORACLES["sentences"] = _sql(BLOCKS, SENTS, "SELECT doc_id, sent, text FROM sents")
+ORACLES["sentence_offsets"] = _sql(BLOCKS, SENTS, f"""
 sizes AS (SELECT doc_id, sent, CAST(len(regexp_extract_all(text, '{_WORD}')) AS INTEGER) AS n_words FROM sents)""", """
 SELECT doc_id, sent, n_words,
        CAST(coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
@@ -292,8 +304,10 @@ ORACLES["vocabulary"] = _sql(TEXT, VOCAB, "SELECT node_id, root, n FROM vocab")
 ORACLES["graf_nodes"] = _sql(TEXT, NODES, "SELECT * FROM nodes")
 _GRAF_EDGES = """
 near AS (
-  SELECT a.doc_id, a.node_id AS x, b.node_id AS y FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.sent = b.sent
-  JOIN (SELECT unnest([1, 2, 3]) AS d) s ON b.num = a.num + s.d WHERE a.node_id > 0 AND b.node_id > 0),
+  SELECT doc_id, node_id AS x, ahead AS y
+  FROM (SELECT doc_id, node_id, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w, lead(node_id, 3) OVER w]) AS ahead
+        FROM nodes WINDOW w AS (PARTITION BY doc_id, sent ORDER BY num))
+  WHERE node_id > 0 AND ahead > 0),
 graf_edges AS (SELECT doc_id, x AS node0, y AS node1 FROM near UNION ALL SELECT doc_id, y, x FROM near)"""
 ORACLES["graf_edges"] = _sql(TEXT, NODES, _GRAF_EDGES, "SELECT * FROM graf_edges")
 ORACLES["graf_edges_distinct"] = _sql(TEXT, NODES, _GRAF_EDGES, "SELECT DISTINCT * FROM graf_edges")
@@ -342,7 +356,7 @@ steps AS (
   SELECT id, rank, max(abs(rank - old)) OVER () AS delta, n FROM (
     SELECT v.id, 0.15 + coalesce(s.t, 0) AS rank, v.rank AS old, v.n + 1 AS n
     FROM steps v LEFT JOIN (SELECT dst, sum(rank * w) AS t FROM steps JOIN links ON id = src GROUP BY dst) s ON v.id = s.dst
-    WHERE v.n < 200 AND (v.n % 4 <> 0 OR v.delta > 1e-4))),
+    WHERE v.delta > 1e-4)),
 ranks AS (SELECT id, arg_max(rank, n) AS rank FROM steps GROUP BY id)"""
 ORACLES["pagerank"] = _sql(*GRAPH, RANK, "SELECT id, round(rank, 6) AS rank FROM ranks")
 ORACLES["top_repliers"] = _sql(*GRAPH, RANK, """
@@ -357,23 +371,18 @@ walks AS (
     SELECT e.sender, {'d': s.d + e.num, 'h': s.h + 1, 'p': list_append(s.p, e.sender)}, n + 1
     FROM walks JOIN edges e ON e.replier = id WHERE n < 40 AND s.d < 1e300) GROUP BY id, n)""", """
 SELECT id, CASE WHEN s.d < 1e300 THEN s.d END AS dist, array_to_string(s.p, '>') AS path FROM walks WHERE n = 40""")
-DAILY = (
-    MSG,
+REACH = (
+    *GRAPH,
     """
-daily AS (SELECT id, sender || '@' || strftime(date, '%Y-%m-%d') AS sender, prev_thread, strftime(date, '%Y-%m-%d') AS day FROM msg),
-ids AS (SELECT row_number() OVER (ORDER BY sender) - 1 AS id, sender FROM (SELECT DISTINCT sender FROM daily)),
-links AS (
-  SELECT DISTINCT r.id AS src, s.id AS dst
-  FROM daily a JOIN daily b ON a.id = b.prev_thread AND a.day = b.day AND a.sender <> b.sender
-  JOIN ids r ON r.sender = b.sender JOIN ids s ON s.sender = a.sender),
+links AS (SELECT DISTINCT replier AS src, sender AS dst FROM edges),
 reach AS (
   SELECT id AS a, id AS b FROM ids
   UNION
   SELECT a, dst FROM reach JOIN links ON b = src),
 comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)""",
 )
-ORACLES["scc"] = _sql(*DAILY, "SELECT sender AS name, component FROM comp JOIN ids USING (id)")
-ORACLES["scc_sizes"] = _sql(*DAILY, "SELECT component, count(*) AS num FROM comp GROUP BY component")
+ORACLES["scc"] = _sql(*REACH, "SELECT sender AS name, component FROM comp JOIN ids USING (id)")
+ORACLES["scc_sizes"] = _sql(*REACH, "SELECT component, count(*) AS num FROM comp GROUP BY component")
 
 # ---- key phrases ----------------------------------------------------------------------
 
@@ -395,7 +404,7 @@ steps AS (
   SELECT v, doc_id, rank, max(abs(rank - old)) OVER (PARTITION BY doc_id) AS delta, n FROM (
     SELECT p.v, p.doc_id, 0.15 + coalesce(s.t, 0) AS rank, p.rank AS old, p.n + 1 AS n
     FROM steps p LEFT JOIN (SELECT dst, sum(rank * w) AS t FROM steps JOIN arcs ON v = src WHERE delta > 1e-4 GROUP BY dst) s ON p.v = s.dst
-    WHERE p.n < 200 AND p.delta > 1e-4)),
+    WHERE p.delta > 1e-4)),
 last AS (SELECT v, arg_max(rank, n) AS rank FROM steps GROUP BY v),
 word_rank AS (SELECT doc_id, root, rank, round(rank, 9) AS level FROM last JOIN verts USING (v))"""
 
@@ -435,6 +444,11 @@ ORACLES["textrank_vs_terms"] = _sql(*RANKED, """
 SELECT doc_id, root, num, round(coalesce(rank, 0.0::DOUBLE), 6) AS rank
 FROM (SELECT doc_id, root, count(*) AS num FROM toks GROUP BY 1, 2) LEFT JOIN word_rank USING (doc_id, root)""")
 
+ORACLES["ranked_sequence"] = _sql(*RANKED, """
+SELECT t.doc_id, t.num, t.raw, round(CASE WHEN t.keep = 1 THEN coalesce(r.rank, 0.0::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS rank
+FROM toks t LEFT JOIN word_rank r ON t.doc_id = r.doc_id AND t.root = r.root""")
+ORACLES["message_text"] = _sql(MAILS, "SELECT id, text FROM mails WHERE id = '7.1'")
+
 # ---- streams --------------------------------------------------------------------------
 
 ORACLES["stream_word_counts"] = """

@@ -31,11 +31,6 @@ def messages(events: DataFrame) -> DataFrame:
     )
 
 
-def daily_messages(msg: DataFrame) -> DataFrame:
-    """The same messages with a sender per day: who answers whom within a day."""
-    return msg.withColumn("sender", F.concat_ws("@", "sender", F.date_format("date", "yyyy-MM-dd")))
-
-
 def listing_lines(events: DataFrame) -> DataFrame:
     """An event listing as tab-separated text lines."""
     u, k, e = F.col("user_id"), F.col("k"), F.col("event_id")

@@ -97,18 +97,14 @@ MAILS = {
 
 
 def plain_paragraphs(text):
-    text = "".join(c for c in text if c in string.printable)
-    for pattern in (tx.FORWARD, tx.REPLIED, tx.UNSUBSCRIBE):
-        text = re.split(pattern, text)[0]
-    out, part = [], []
-    for line in text.split("\n"):
-        line = "" if line.startswith(">") else line.strip()
-        if line:
-            part.append(line)
-        elif part:
-            out.append("\n".join(part))
-            part = []
-    return out + (["\n".join(part)] if part else [])
+    """Quoted lines blanked, every line trimmed, then whatever stands between blank lines."""
+    text = re.sub(r"[^\x20-\x7E\t\n\r\x0B\x0C]", "", text)
+    new = min((text[: m.start()] for m in (re.search(p, text) for p in (tx.FORWARD,)) if m), default=text)
+    for pattern in (tx.REPLIED, tx.UNSUBSCRIBE):
+        new = re.split(pattern, new, maxsplit=1)[0]
+    unquoted = re.sub(r"(?m)^>[^\n]*$", "", new)
+    trimmed = re.sub(r"(?m)^[ \t\r\x0B\x0C]+|[ \t\r\x0B\x0C]+$", "", unquoted)
+    return re.findall(r"[^\n]+(?:\n[^\n]+)*", trimmed)
 
 
 @pytest.mark.parametrize("name", list(MAILS))

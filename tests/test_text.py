@@ -1,6 +1,8 @@
 """Token tables, word graphs and key phrases against plain-Python re-statements."""
 
+import itertools
 import random
+import statistics
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -12,7 +14,7 @@ from quillgraph.operators import graph as gr
 from quillgraph.operators import text as tt
 from quillgraph.operators import textrank as tr
 
-WORDS = "the of graph node edges ranking words slowly linear systems set of natural numbers minimal is are Berlin".split()
+WORDS = "the of graph bridge harbours painting boats quietly wooden oars lantern under windy rivers is are Oslo café".split()
 
 
 @pytest.fixture(scope="module")
@@ -36,14 +38,10 @@ def toks(tokened):
 
 
 def plain_tiles(ts, size=3):
-    sents = defaultdict(list)
-    for t in ts:
-        sents[t.sent].append(t)
-    for s in sents.values():
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + 1 + size)):
-                if s[i].keep == s[j].keep == 1:
-                    yield s[i], s[j]
+    """All pairs of kept words of a sentence whose places differ by at most ``size``."""
+    kept = [t for t in ts if t.keep == 1]
+    pairs = itertools.combinations(sorted(kept, key=lambda t: t.num), 2)
+    return [(a, b) for a, b in pairs if a.sent == b.sent and b.num - a.num <= size]
 
 
 def plain_links(ts):
@@ -139,14 +137,13 @@ def test_tagging_hooks(spark, tokened, toks):
 def plain_ranks(vertices, edges, tol=1e-4):
     out = Counter(a for a, _ in edges)
     rank = {v: 1.0 for v in vertices}
-    for _ in range(200):
+    change = 1.0
+    while vertices and change > tol:
         fresh = {v: 0.15 for v in vertices}
         for a, b in edges:
             fresh[b] += 0.85 * rank[a] / out[a]
-        change = max((abs(fresh[v] - rank[v]) for v in vertices), default=0)
+        change = max(abs(fresh[v] - rank[v]) for v in vertices)
         rank = fresh
-        if change <= tol:
-            break
     return rank
 
 
@@ -177,30 +174,21 @@ def test_in_row_ranks_equal_graph_ranks(spark, tokened):
 
 
 def plain_phrases(ts, rank, *, nouns):
-    from statistics import median
-
-    floor = None if nouns else median([round(r, 9) for r in rank.values()]) if rank else 0
-    spans, run = [], []
-    for t in ts:
-        on = t.keep == 1 and (nouns or round(rank[t.root], 9) >= floor)
-        if run and (not on or t.num - run[-1].num > 1):
-            spans.append(run)
-            run = []
-        if on:
-            run.append(t)
-    if run:
-        spans.append(run)
+    """Runs of chosen words, found as groups of equal place minus running number."""
+    rounded = {k: round(r, 9) for k, r in rank.items()}
+    floor = 0 if nouns or not rank else statistics.median(rounded.values())
+    chosen = [t for t in ts if t.keep == 1 and (nouns or rounded[t.root] >= floor)]
     phrases = {}
-    for s in spans:
-        if nouns and not any(t.pos.startswith("N") for t in s):
+    for _, group in itertools.groupby(enumerate(chosen), key=lambda kt: kt[1].num - kt[0]):
+        run = [t for _, t in group]
+        if nouns and all(t.pos[0] != "N" for t in run):
             continue
-        name = " ".join(t.raw for t in s)
-        phrases[name.lower() if nouns else name] = round(sum(rank[t.root] for t in s), 9)
-    if not nouns and phrases:
-        half = median(phrases.values())
-        phrases = {p: r for p, r in phrases.items() if r >= half}
-    total = sum(phrases.values())
-    return {p: r / total for p, r in phrases.items()}
+        name = " ".join(t.raw.lower() if nouns else t.raw for t in run)
+        phrases[name] = round(sum(rank[t.root] for t in run), 9)
+    if phrases and not nouns:
+        middle = statistics.median(phrases.values())
+        phrases = {p: r for p, r in phrases.items() if r >= middle}
+    return {p: r / sum(phrases.values()) for p, r in phrases.items()}
 
 
 @pytest.mark.parametrize("nouns", [True, False])
