@@ -520,7 +520,7 @@ def textrank_summary(spark, sf):
 @query
 def ranked_sequence(spark, sf):
     """Every word in text order with its rank; words outside the graph have rank 0."""
-    rows = _ranked(spark, sf).select("doc_id", F.explode("ranked").alias("t"))
+    rows = tt.explode_rows(_ranked(spark, sf), ["doc_id"], F.col("ranked"), "t")
     return _rounded(rows.select("doc_id", "t.num", "t.raw", "t.rank"), "rank")
 
 
