@@ -87,9 +87,16 @@ def lexicon_tagged(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id",
     return grouped.select(doc, F.transform("ws", word).alias("toks"))
 
 
-def term_counts(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Plain word counts per message: the baseline phrase ranks are compared with."""
-    words = explode_rows(tokened, [doc], F.transform("toks", lambda t: F.lower(t["raw"])), "word")
+def plain_words(docs: DataFrame, text: str = "text", doc: str = "doc_id", *, parts=tx.blocks) -> DataFrame:
+    """(doc, sent, num, word): lower-case words without tags, for operators that need none."""
+    in_sentence = lambda s, i: F.transform(tx.words(s), lambda w: F.struct(i.alias("sent"), F.lower(w).alias("word")))
+    flat = F.flatten(F.transform(tx.sentences(parts(F.col(text))), in_sentence))
+    rows = F.transform(flat, lambda w, num: F.struct(w["sent"].alias("sent"), num.alias("num"), w["word"].alias("word")))
+    return explode_rows(docs, [doc], rows, "w").select(doc, "w.*")
+
+
+def term_counts(words: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Counts of ``plain_words`` per message: the baseline phrase ranks are compared with."""
     return words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("num"))
 
 
@@ -188,13 +195,13 @@ def link_edges(words: DataFrame, doc: str = "doc_id") -> DataFrame:
     return both_ways(links.select(doc, F.col("a.id").alias("n0"), F.col("b.id").alias("n1")), "n0", "n1")
 
 
-def sentiment(tokened: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> DataFrame:
+def sentiment(words: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Mean polarity and subjectivity of the scored words of each sentence: (doc, sent, polr, subj).
 
-    ``lexicon`` is (word, polr, subj).  Sentences without a scored word are absent.
+    ``words`` are ``plain_words``; ``lexicon`` is (word, polr, subj).  Sentences without a scored word are absent.
     """
     scored = lookup_join(
-        token_rows(tokened, doc).select(doc, "sent", "num", F.lower("raw").alias("word")),
+        words.select(doc, "sent", "num", "word"),
         lexicon.select("word", "polr", "subj"),
         ["word"],
         by=[doc, "num"],

@@ -367,7 +367,7 @@ def non_words(spark, sf):
 
 @query
 def term_counts(spark, sf):
-    return tt.term_counts(_tokened(spark, sf))
+    return tt.term_counts(tt.plain_words(_docs(spark, sf)))
 
 
 @query
@@ -412,7 +412,7 @@ def link_edges(spark, sf):
 
 @query
 def sentiment(spark, sf):
-    scores = tt.sentiment(_tokened(spark, sf), views.word_scores(read_table(spark, sf, "benchmark")))
+    scores = tt.sentiment(tt.plain_words(_docs(spark, sf)), views.word_scores(read_table(spark, sf, "benchmark")))
     return _rounded(scores, "polr", "subj")
 
 

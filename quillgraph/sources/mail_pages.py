@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,31 @@ HEAD = r"(?s)<thead[^>]*>(.*?)</thead>"
 LINK = r"(?s)<a\b([^>]*)>"
 NAV_LINK = r"(?s)<a\b([^>]*\btitle\s*=\s*[\"']%s[\"'][^>]*)>"
 HREF = r"(?s)\bhref\s*=\s*[\"']([^\"']*)[\"']"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode numeric and named character references; unknown ones stay as they are.
+
+    Names are those of HTML 4 and ``apos``.  A no-break space becomes a space.
+    """
+    names = {f"&{k};": chr(v) for k, v in name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def decoded(entity: Column) -> Column:
+        hexadecimal = entity.rlike("^&#[xX]")
+        digits = F.regexp_extract(entity, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, F.lit("0"))), "UTF-32")
+        return F.when(entity.startswith("&#"), F.coalesce(F.when(valid & (code != 160), character), F.when(code == 160, F.lit(" ")), entity)).otherwise(
+            F.coalesce(F.try_element_at(table, entity), entity)
+        )
+
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    pieces = F.split(text, ENTITY, -1)
+    joined = F.zip_with(pieces, F.transform(found, decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(joined, "")
 
 
 def _first(text: Column, pattern: str) -> Column:

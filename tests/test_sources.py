@@ -101,3 +101,19 @@ def test_mail_pages(spark):
         "next_url": "http://example.org/l/n.html", "subject": "Re: a & b <x>", "text": "one > two caf\n",
     }
     assert (bare.next_url, bare.prev_thread, bare.next_thread) == ("", "", "")
+
+
+def test_character_references(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.sources.mail_pages import unescape
+
+    cases = {
+        "caf&eacute; &#60;b&#62; &#8217;s &apos;x&apos; &#x1F600;": "café <b> ’s 'x' 😀",
+        "&amp;lt; &lt;&gt;&quot;&#39;&#x27;&nbsp;|": "&lt; <>\"''" + " |",
+        "&unknown; &#0; &#xD800; &#9999999; & &; &#; plain": "&unknown; &#0; &#xD800; &#9999999; & &; &#; plain",
+        "": "",
+        "&copy;": "©",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r.got for r in rows.select(unescape(F.col("t")).alias("got")).collect()] == list(cases.values())

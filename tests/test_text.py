@@ -101,10 +101,10 @@ def test_word_table_and_link_edges(tokened, toks):
     assert got == want
 
 
-def test_sentiment_and_records(spark, tokened, toks):
-    lexicon = spark.createDataFrame([("graph", 0.5, 1.0), ("slowly", -1.0, 0.5)], "word string, polr double, subj double")
-    scores = {(r.doc_id, r.sent): (r.polr, r.subj) for r in tt.sentiment(tokened, lexicon).collect()}
-    table = {"graph": (0.5, 1.0), "slowly": (-1.0, 0.5)}
+def test_sentiment_and_records(spark, docs, tokened, toks):
+    lexicon = spark.createDataFrame([("graph", 0.5, 1.0), ("quietly", -1.0, 0.5)], "word string, polr double, subj double")
+    scores = {(r.doc_id, r.sent): (r.polr, r.subj) for r in tt.sentiment(tt.plain_words(docs), lexicon).collect()}
+    table = {"graph": (0.5, 1.0), "quietly": (-1.0, 0.5)}
     found = defaultdict(list)
     for d, ts in toks.items():
         for t in ts:
