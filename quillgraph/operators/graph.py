@@ -105,7 +105,9 @@ def pregel(
     ``changed`` compares ``old_<column>`` with ``<column>``.  Vertices all send in round 1,
     or those where ``send_when`` holds.
 
-    State is made durable and tested for changes every ``rounds_per_stage`` rounds.
+    State is made durable and tested for changes every ``rounds_per_stage`` rounds.  Where all
+    send, further rounds go on changing the state, so a stage keeps the state after each of its
+    rounds and the first one without a change is the result, whatever ``rounds_per_stage`` is.
     ``hot`` are the hot senders if already known.  Returns the final state and the number
     of rounds run.
     """
@@ -116,22 +118,30 @@ def pregel(
     done = 0
     while max_rounds is None or done < max_rounds:
         steps = rounds_per_stage if max_rounds is None else min(rounds_per_stage, max_rounds - done)
-        for _ in range(steps):
+        trail = []
+        for step in range(steps):
             sending = state if all_send else state.filter(CHANGED)
             messages = (
-                split.meet(sending.drop(CHANGED))
+                split.meet(sending.drop(CHANGED, *trail))
                 .select(F.col("dst"), *[c.alias(n) for n, c in send.items()])
                 .groupBy(F.col("dst").alias("id"))
                 .agg(*[c.alias(n) for n, c in merge.items()])
             )
             met = state.drop(CHANGED).join(messages, "id", "left")
             old = [F.col(c).alias(f"old_{c}") for c in state_columns]
-            fresh = met.select("id", *old, *[update[c].alias(c) for c in state_columns])
-            state = fresh.select("id", *state_columns, F.coalesce(changed, F.lit(False)).alias(CHANGED))
+            fresh = met.select("id", *trail, *old, *[update[c].alias(c) for c in state_columns])
+            state = fresh.select("id", *trail, *state_columns, F.coalesce(changed, F.lit(False)).alias(CHANGED))
+            if all_send:
+                trail.append(f"_after{step}")
+                state = state.withColumn(trail[-1], F.struct(*state_columns, CHANGED))
         state = durable(state)
-        done += steps
-        if state.filter(CHANGED).isEmpty():
+        moved = state.agg(*[F.max(F.col(t)[CHANGED]) for t in trail or []], F.max(CHANGED)).first()
+        still = next((k for k, m in enumerate(moved) if not m), None)
+        done += steps if still is None or not trail else still + 1
+        if still is not None:
+            state = state.select("id", f"{trail[still]}.*") if trail else state
             break
+        state = state.drop(*trail)
     split.release()
     return state.drop(CHANGED), done
 
@@ -142,15 +152,14 @@ def pagerank(
     *,
     tol: float = 1e-4,
     rounds: int | None = None,
-    rounds_per_stage: int = 1,
+    rounds_per_stage: int = 4,
     normalize: bool = False,
 ) -> DataFrame:
     """(id, rank) with rank = 0.15 + 0.85 * sum(rank_src / out_degree_src).
 
     Ranks start at 1, close to the fixed point.  Runs ``rounds`` rounds if given, else until no
-    rank moves by more than ``tol``, however many rounds that takes.  Movement is looked at every
-    ``rounds_per_stage`` rounds; more than one saves writes and may run a few rounds too many.
-    Parallel edges count each.  ``normalize`` scales the ranks to sum to the number of vertices.
+    rank moves by more than ``tol``, however many rounds that takes (``rounds_per_stage`` of them
+    between two writes, without effect on the ranks).  Parallel edges count each.  ``normalize`` scales the ranks to sum to the number of vertices.
     """
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
