@@ -335,9 +335,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     joined = durable(join(docs))
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
-    kept = joined.filter(first).groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("_size"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["_hash"] == kept["text_hash"])
-    met = keyed.join(kept.select("doc_id", "text_hash", "_size"), same).select(*[keyed[c] for c in docs.columns], "_hash", "_size")
-    worded = met.filter("_size > 0").dropDuplicates(["doc_id", "_hash"])
-    return worded.unionByName(met.filter("_size = 0")).select(*docs.columns)
+    name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")).alias("_id")  # never null
+    kept = joined.filter(first).groupBy(name, F.col("text_hash").alias("_hash")).agg(F.max("n_shingles").alias("_size"))
+    met = docs.select("*", name, F.xxhash64("text").alias("_hash")).join(kept, ["_id", "_hash"])
+    # texts without words are copies of nothing; the rest goes by the keys of the join, without another shuffle
+    alone = met.withColumn("_alone", F.when(F.col("_size") == 0, F.monotonically_increasing_id()))
+    return alone.dropDuplicates(["_id", "_hash", "_alone"]).select(*docs.columns)

@@ -142,8 +142,9 @@ def estimate_prior(blocks: DataFrame, w: np.ndarray) -> float:
     """The least ratio, over score thresholds, of the unlabelled share above to the positive share above.
 
     On half 1, which ``w`` has not seen.  Both shares carry a deviation bound, so a threshold
-    with few rows above does not decide.  Two standard errors are taken off: with a prior that
-    is too high the risk is least if everything is accepted, one a little low costs little.
+    with few rows above does not decide.  Two standard errors, 0.01 at most, are taken off: with
+    a prior that is too high the risk is least if everything is accepted, one a little low
+    costs little.
     """
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
@@ -162,7 +163,7 @@ def estimate_prior(blocks: DataFrame, w: np.ndarray) -> float:
         return 0.5
     best = above[int(((q_unl[above] + slack) / q_pos[above]).argmin())]
     prior = min(1.0, q_unl[best] / q_pos[best])
-    return float(np.clip(prior - 2 * np.sqrt(prior * (1 - prior) / n_unl), 0.05, 0.995))
+    return float(np.clip(prior - min(0.01, 2 * np.sqrt(prior * (1 - prior) / n_unl)), 0.05, 0.995))
 
 
 def _risk(blocks: DataFrame, w: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
