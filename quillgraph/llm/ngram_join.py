@@ -13,9 +13,9 @@ Which pairs are counted:
    their first ``n - ceil(t n) + 1`` n-grams.  Classes with such an n-gram in common, alike
    enough in size and in non-unique n-grams, are candidates.
 3. *Groups.*  A large group of near copies would have a pair for every two members.  While many
-   candidates are left, each n-gram only pairs its members with one of them, the pivot; members
-   that are in one component by then need no pair.  What is left, between different
-   components, is counted in full.  Components are thus those of all links.
+   candidates are left, each n-gram has a pivot among its members and each member is only counted
+   against one of its pivots; members that are in one component by then need no pair.  What is
+   left, between different components, is counted in full.  Components are thus those of all links.
 
 N-grams are 64-bit hashes of whole words; so are class ids, hashes of the whole set.
 """
@@ -258,7 +258,7 @@ def join_components(sets: DataFrame) -> DataFrame:
         left = placed.select("token", "open").distinct().agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
         if not left:
             return roots
-        last = left <= PAIRS_PER_ROW * rows or (before is not None and left > 0.7 * before)
+        last = tries > 0 and (left <= PAIRS_PER_ROW * rows or left > 0.7 * before)
         pairs = _rest(placed) if last else _to_pivot(placed, tries)
         found = durable(count_overlaps(pairs, segments))
         if not found.isEmpty():
@@ -266,6 +266,7 @@ def join_components(sets: DataFrame) -> DataFrame:
             roots = components(links)
         if last:
             return roots
+        postings = placed.select("token", "fp", "n", "s")  # an n-gram in one component stays in one
         before, tries = left, tries + 1
 
 
@@ -278,13 +279,19 @@ def _open(placed: DataFrame) -> DataFrame:
 
 
 def _to_pivot(placed: DataFrame, tries: int) -> DataFrame:
-    """Each member with the member that has most of its n-grams in common with others (then: another one)."""
+    """Each member with one pivot: of the pivots of its n-grams, the one it shares most of them with.
+
+    An n-gram's pivot is the member that has most of its own n-grams in common with others; in
+    later tries another one.
+    """
     member = F.struct("fp", "n", "s", "root")
     rank = F.struct((F.col("s") / F.col("n")).alias("share") if not tries else F.lit(0.0).alias("share"), F.xxhash64("fp", F.lit(tries)).alias("h"))
     pivot = placed.groupBy("token").agg(F.max_by(member, rank).alias("p"))
     met = placed.join(pivot, "token").filter(F.col("root") != F.col("p.root"))
     both = met.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("p.fp").alias("b"), F.col("p.n").alias("n_b"), F.col("p.s").alias("s_b"))
-    return _distinct(both.filter(_may_link("a", "b")))
+    shared = both.filter(_may_link("a", "b")).groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    best = shared.groupBy("a").agg(F.max_by(F.struct("n_a", "b", "n_b"), F.struct("c", "b")).alias("x"))
+    return _distinct(best.select("a", "x.*"))
 
 
 def _rest(placed: DataFrame) -> DataFrame:
