@@ -42,6 +42,7 @@ WORDS = 5
 FRAGMENTS = 8
 #: candidates per prefix n-gram above which pivots are used first
 PAIRS_PER_ROW = 4
+BINS = 64
 _PIECE = 1 << 18
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -224,7 +225,33 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, fragments: int) -> DataFra
     fragment = F.least(F.lit(fragments - 1), F.floor(place * fragments / total).cast("int"))
     met = each.join(known, "token").select("fp", "n", F.struct("level", "token", fragment.alias("fragment")).alias("x"))
     found = met.groupBy("fp").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("x")).alias("shared"))
-    return durable(found.withColumn("s", F.size("shared")).filter(F.col("s") >= needed(F.col("n"))))
+    found = found.withColumn("s", F.size("shared")).filter(F.col("s") >= needed(F.col("n")))
+    return durable(found.withColumn("outline", _outline(F.transform("shared", lambda x: x["token"]))))
+
+
+def _outline(tokens: Column) -> Column:
+    """How many n-grams fall into each of ``BINS`` hash bins (32,767 stands for that many or more)."""
+
+    def of_set(values: np.ndarray) -> np.ndarray:
+        return np.minimum(np.bincount(np.asarray(values, dtype=np.int64) & (BINS - 1), minlength=BINS), 32767).astype(np.int16)
+
+    @F.pandas_udf("array<smallint>")
+    def of_sets(sets: pd.Series) -> pd.Series:
+        return sets.map(of_set)
+
+    return of_sets(tokens)
+
+
+def outlines_allow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` without those that cannot be linked: two sets share at most, bin by bin, the smaller count.
+
+    A bin that is full counts as the smaller set's size.
+    """
+    left = sets.select(F.col("fp").alias("a"), F.col("outline").alias("of_a"))
+    right = sets.select(F.col("fp").alias("b"), F.col("outline").alias("of_b"))
+    least = F.zip_with("of_a", "of_b", lambda x, y: F.least(x, y).cast("int"))
+    most = F.aggregate(least, F.lit(0), lambda sum_, x: F.when(x == 32767, F.least("n_a", "n_b")).otherwise(sum_ + x))
+    return pairs.join(left, "a").join(right, "b").filter(linked(most, F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
 
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -260,7 +287,7 @@ def join_components(sets: DataFrame) -> DataFrame:
             return roots
         last = tries > 0 and (left <= PAIRS_PER_ROW * rows or left > 0.7 * before)
         pairs = _rest(placed) if last else _to_pivot(placed, tries)
-        found = durable(count_overlaps(pairs, segments))
+        found = durable(count_overlaps(outlines_allow(pairs, sets), segments))
         if not found.isEmpty():
             links = durable(links.unionByName(found))
             roots = components(links)
