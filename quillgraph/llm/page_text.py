@@ -5,7 +5,7 @@ link-adjusted number of characters per tag (CETD, Sun, Song and Liao, 2011).  Th
 with the largest sum of its children's densities holds the article; beside the path from the
 body to it, an element counts as text if it is at least as dense as the least dense one on
 that path.  Menus, notices, forms, comments and the like, known by their tags, roles and class
-words, are taken out before.
+words, are taken out, but only as far as ``_dropped`` says: densities are measured first.
 """
 
 from __future__ import annotations
@@ -36,15 +36,21 @@ CLOSES = {
     "option": ("option", "select"),
 }
 NOT_TEXT = frozenset("script style noscript template iframe object embed svg canvas math audio video head title".split())
-FORMS = frozenset("form button select textarea input label fieldset datalist".split())
-FRAME = frozenset("nav aside footer menu dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+FORMS = frozenset("form label fieldset".split())
+FRAME = frozenset("nav aside footer menu dialog button select textarea input datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+COMMENTS = frozenset("comment comments disqus respond".split())
 CLASS_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond footer masthead toolbar share sharing "
+    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing "
     "social related recommended subscribe subscription newsletter signup login popup modal overlay widget pagination pager".split()
 )
+#: what follows one of these in a class name says what the page has or lacks, not what the element is
+ABOUT = frozenset("no not has have with without".split())
+#: how far an element's tag, role and class words speak against it
+TEXT, DOUBTFUL, FRAMING, NEVER = range(4)
 HEADING = ("h1", "h2", "h3", "h4", "h5", "h6")
+HOLDERS = ("article", "main")
 
 
 class _Tree(HTMLParser):
@@ -52,7 +58,7 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.dropped, self.items = ["body"], [-1], [False], [[]]
+        self.tag, self.parent, self.doubt, self.items = ["body"], [-1], [TEXT], [[]]
         self.open = [0]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -66,7 +72,7 @@ class _Tree(HTMLParser):
         node, above = len(self.tag), self.open[-1]
         self.tag.append(tag)
         self.parent.append(above)
-        self.dropped.append(self._boilerplate(tag, attrs))
+        self.doubt.append(self._doubt(tag, attrs))
         self.items.append([])
         self.items[above].append(node)
         if tag not in VOID:
@@ -100,23 +106,35 @@ class _Tree(HTMLParser):
             if self.tag[self.open[k]] in ends:
                 return
 
-    def _boilerplate(self, tag: str, attrs: list) -> bool:
-        if tag in ("article", "main") or tag in HEADING:
-            return False
-        if tag in NOT_TEXT or tag in FORMS or tag in FRAME:
-            return True
-        inside = any(self.tag[n] in ("article", "main") for n in self.open)
-        if tag == "header":
-            return not inside
+    def _doubt(self, tag: str, attrs: list) -> int:
+        if tag in NOT_TEXT:
+            return NEVER
+        if tag in HOLDERS or tag in HEADING:
+            return TEXT
+        inside = any(self.tag[n] in HOLDERS for n in self.open)
+        if tag in FRAME or (tag == "header" and not inside):
+            return FRAMING
+        doubt = DOUBTFUL if tag in FORMS else TEXT
         for name, value in attrs:
             if not value or name not in ("class", "id", "role"):
                 continue
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            if name == "role" and words & ROLES:
-                return True
-            if name != "role" and (words & CLASS_WORDS or ("header" in words and not inside)):
-                return True
-        return False
+            words = _name_words(value)
+            if words & (ROLES if name == "role" else COMMENTS):
+                return FRAMING
+            if words & {"form", "alert"} if name == "role" else words & CLASS_WORDS or ("header" in words and not inside):
+                doubt = DOUBTFUL
+        return doubt
+
+
+def _name_words(value: str) -> set:
+    """The words of class names, each name up to a word like no, has or with."""
+    out = set()
+    for name in value.split():
+        for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()):
+            if word in ABOUT:
+                break
+            out.add(word)
+    return out
 
 
 def densities(tag: list, parent: list, chars: list) -> tuple[list[float], list[float]]:
@@ -149,20 +167,69 @@ def densities(tag: list, parent: list, chars: list) -> tuple[list[float], list[f
     return density, sums
 
 
+def _inherited(own: list, parent: list) -> list:
+    """``own`` or that of any element above."""
+    out = list(own)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[parent[i]]
+    return out
+
+
+def _below(own: list, parent: list) -> list:
+    """Sums of ``own`` over every element and what is below it."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        out[parent[i]] += out[i]
+    return out
+
+
+def _dropped(tree: _Tree, chars: list, never: list) -> tuple[list[bool], list[bool]]:
+    """(dropped, doubtful) of every element, without what is inherited.
+
+    Elements that hold an <article> or <main> with text, or more than half of the body's text
+    outside links, stay; framing elements (nav, footer, comments ...) do so only if no text of
+    an <article> or <main> is outside of them.  Of the others, framing elements are dropped,
+    and those with a doubtful class word or a form if they are less dense than the whole body
+    or beside the <article> or <main> of a page that has one with text.
+    Doubtful ones that are denser stay, but are not text beside the path.
+    """
+    tag, parent, doubt = tree.tag, tree.parent, tree.doubt
+    n = len(tag)
+    if not any(doubt):
+        return [False] * n, [False] * n
+    linked = _inherited([t == "a" for t in tag], parent)
+    plain = [0 if linked[i] else chars[i] for i in range(n)]
+    share = _below(plain if any(plain) else chars, parent)
+    inside = _inherited([t in HOLDERS for t in tag], parent)
+    held = _below([c if h else 0 for c, h in zip(chars, inside)], parent)
+    filled = _below(chars, parent)
+    holds = _below([int(t in HOLDERS and filled[i] > 0) for i, t in enumerate(tag)], parent)
+    live = [i for i in range(n) if not never[i]]
+    place = {i: k for k, i in enumerate(live)}
+    density, _ = densities([tag[i] for i in live], [-1 if i == 0 else place[parent[i]] for i in live], [chars[i] for i in live])
+    dropped, doubtful = [False] * n, [False] * n
+    for i in live:
+        if doubt[i] == TEXT or ((holds[i] or 2 * share[i] > share[0]) and (doubt[i] == DOUBTFUL or held[0] == held[i])):
+            continue
+        dropped[i] = doubt[i] == FRAMING or density[place[i]] < density[0] or (held[0] > 0 and not inside[i])
+        doubtful[i] = not dropped[i]
+    return dropped, doubtful
+
+
 def main_text(html: str) -> str:
     """Blocks of the article joined by a blank line; empty if the page has no text."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
     tag, parent, items = tree.tag, tree.parent, tree.items
-    gone = tree.dropped
-    for i in range(1, len(tag)):
-        gone[i] = gone[i] or gone[parent[i]]
+    never = _inherited([d == NEVER for d in tree.doubt], parent)
+    chars = [0 if never[i] else sum(len("".join(x.split())) for x in items[i] if isinstance(x, str)) for i in range(len(tag))]
+    dropped, doubtful = _dropped(tree, chars, never)
+    gone = _inherited([a or b for a, b in zip(never, dropped)], parent)
     live = [i for i in range(len(tag)) if not gone[i]]
     place = {i: k for k, i in enumerate(live)}
     above = [-1 if i == 0 else place[parent[i]] for i in live]
-    own = [sum(len("".join(x.split())) for x in items[i] if isinstance(x, str)) for i in live]
-    density, sums = densities([tag[i] for i in live], above, own)
+    density, sums = densities([tag[i] for i in live], above, [chars[i] for i in live])
     best = max(range(len(live)), key=lambda k: (sums[k], -k))
     if sums[best] == 0:
         best = 0
@@ -170,12 +237,14 @@ def main_text(html: str) -> str:
     while k >= 0:
         path.append(k)
         k = above[k]
-    holders = [k for k in path if tag[live[k]] in ("article", "main")]
-    if holders:  # an article element is kept whole
+    holders = [k for k in path if tag[live[k]] in HOLDERS]
+    if holders:  # kept whole: its heading and short paragraphs are less dense than one long paragraph
         best = holders[-1]
         path = path[path.index(best) :]
-    least = min((density[k] for k in path), default=0.0)
-    chosen = {live[best]} | {live[k] for k in range(len(live)) if above[k] in path[1:] and k not in path and density[k] >= least > 0}
+    least, beside = min(density[k] for k in path), set(path[1:])
+    chosen = {live[best]} | {
+        i for k, i in enumerate(live) if above[k] in beside and k not in beside and k != best and not doubtful[i] and density[k] >= least > 0
+    }
     return "\n\n".join(_blocks(tag, items, gone, chosen))
 
 

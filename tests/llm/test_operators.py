@@ -418,6 +418,26 @@ def test_main_text(html):
     assert page_text.main_text(html) == PAGES[html]
 
 
+PROSE = ["The first paragraph of the text is long enough to be read as such.", "So is the second paragraph here, which says a little more than that.", "And the third one of them ends what there is to say."]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+FRAMED = "<nav><a href=x>Menu</a></nav>%s<div class='ad'>Buy</div><footer>foot</footer>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        *[FRAMED % f"<div class='{name}'><article>{BODY}</article></div>" for name in ("layout no-sidebar", "has-sidebar", "hasSidebar", "with-widget", "nav-fixed")],
+        *[FRAMED % f"<div id='{name}'><div>{BODY}</div></div>" for name in ("no-left-sidebar", "nav-fixed", "share")],
+        f"<form id=aspnetForm>{FRAMED % f'<main>{BODY}</main>'}</form>",
+        f"<form id=aspnetForm>{FRAMED % f'<div>{BODY}</div>'}</form>",
+        FRAMED % f"<article><p class='share'>{PROSE[0]}</p><div class='related'><p>{PROSE[1]}</p></div><p id='notice'>{PROSE[2]}</p><div class=share>Tell</div></article>",
+        FRAMED % f"<article>{BODY}</article><div class='comments'>{''.join(f'<article class=comment><p>{x}</p></article>' for x in PROSE * 3)}</div>",
+    ],
+)
+def test_main_text_inside_named_wrappers(html):
+    assert page_text.main_text(html) == "\n\n".join(PROSE)
+
+
 def test_extract(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     data = [(k, f"u{k}", h) for k, h in enumerate(PAGES)] + [(90, "n", None), (None, None, "x y"), (91, "d", deep), (91, "d", deep)]
