@@ -1,10 +1,11 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives and a sample of all texts, whose labels are not looked at, train an additive
+Trusted positives and all texts, whose labels are not looked at, train an additive
 logistic model by the non-negative unbiased risk (Kiryo et al., 2017):
 ``prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)])``.  The class prior is
-estimated from the two samples alone by the best-bin ratio of their score distributions (Garg
-et al., 2021).
+estimated from the two alone by the best-bin ratio of their score distributions (Garg et al.,
+2021), each half of the texts scored by a model of the other half.  Texts enter as counts of
+their distinct step vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import in_sample, labelled_sample, with_labels
+from quillgraph.llm.common import labelled_sample
 from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, minimise, sigmoid, sums
 from quillgraph.session import durable
 
@@ -24,6 +25,8 @@ STEPS = 24
 STATISTICS = 16
 SIZE = STATISTICS * STEPS + 1
 SCORE_BINS = 400
+PARTITION_ROWS = 1 << 17
+BLOCK_ROWS = 4096
 _PIECE = 1 << 20
 
 
@@ -66,16 +69,47 @@ def statistics(text: str) -> list[float]:
     return [float(min(1.0, max(0.0, x))) for x in shares]
 
 
+def steps(text: str) -> list[int]:
+    """The step of each statistic, finer near 0."""
+    return [min(STEPS - 1, int(STEPS * x**0.5)) for x in statistics(text)]
+
+
 def columns(text: str) -> list[int]:
-    """The step of each statistic, finer near 0, as a column number; the last is the intercept."""
-    return [k * STEPS + min(STEPS - 1, int(STEPS * x**0.5)) for k, x in enumerate(statistics(text))] + [SIZE - 1]
+    """The step of each statistic as a column number; the last is the intercept."""
+    return [k * STEPS + x for k, x in enumerate(steps(text))] + [SIZE - 1]
+
+
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = pd.DataFrame({"kind": "unl" + batch["half"], "vector": [bytes(steps(t)) for t in batch["text"]]})
+        trusted = made[batch["trusted"]]
+        yield pd.concat([made, trusted.assign(kind="pos" + trusted["kind"].str[3:])])
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of distinct vectors; ``y`` of an example is the number of texts that have it."""
+    first = np.arange(STATISTICS) * STEPS
     for batch in batches:
         for kind, part in batch.groupby("kind", sort=True):
-            rows = [(c, [1.0] * len(c)) for c in map(columns, part["text"])]
-            yield pd.DataFrame([block(kind, rows, [0.0] * len(rows))])
+            for k in range(0, len(part), BLOCK_ROWS):
+                some = part.iloc[k : k + BLOCK_ROWS]
+                rows = [((c := [*(first + np.frombuffer(v, np.uint8)), SIZE - 1]), [1.0] * len(c)) for v in some["vector"]]
+                yield pd.DataFrame([block(kind, rows, some["n"])])
+
+
+def packed(docs: DataFrame, positives: DataFrame) -> DataFrame:
+    """Blocks of all rows of ``docs`` (kinds unl0, unl1) and of those with an id in ``positives`` (pos0, pos1).
+
+    ``positives`` is a bounded sample of distinct ids, so it is broadcast.
+    """
+    partitions = max(PARTITIONS, -(-docs.count() // PARTITION_ROWS))
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = marked.join(F.broadcast(positives.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")
+    rows = marked.select("text", half.alias("half"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    counts = rows.mapInPandas(_vectors, "kind string, vector binary").groupBy("kind", "vector").agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.repartition(partitions, F.xxhash64("kind", "vector")).sortWithinPartitions("kind", "vector")
+    return durable(spread.mapInPandas(_pack, BLOCK))
 
 
 def fit(
@@ -84,26 +118,20 @@ def fit(
     usable: Column | None = None,
     *,
     max_positives: int = 20_000,
-    max_unlabelled: int = 20_000,
     ridge: float = 1e-3,
     rounds: int = 60,
 ) -> np.ndarray:
     """Weights with the intercept last.
 
-    At most about ``max_positives`` documents labelled 1 (where ``usable`` holds) and about
-    ``max_unlabelled`` of all documents, both hash samples.  Without a trusted positive the
-    weights are 0 (score 0.5).
+    All rows of ``docs`` are the unlabelled side, and at most about ``max_positives`` documents
+    labelled 1 (where ``usable`` holds), a hash sample, the trusted one.  Without a trusted
+    positive the weights are 0 (score 0.5).
     """
     positives = labelled_sample(labels, "quality", max_positives, _and(F.col("quality") == 1, usable))
     if positives.isEmpty():
         return np.zeros(SIZE)
-    trusted = with_labels(docs, positives).select("text", F.lit("pos").alias("kind"))
-    unlabelled = docs.filter(in_sample(docs, max_unlabelled, "doc_id")).select("text", F.lit("unl").alias("kind"))
-    both = trusted.unionByName(unlabelled).withColumn("text", F.coalesce("text", F.lit("")))
-    both = both.withColumn("kind", F.concat("kind", F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")))
-    blocks = durable(both.mapInPandas(_pack, BLOCK).repartition(PARTITIONS, F.xxhash64("kind", "column")))
-    against = minimise(lambda w: _contrast(blocks, w, ridge), SIZE, rounds)
-    prior = estimate_prior(blocks, against)
+    blocks = packed(docs, positives)
+    prior = estimate_prior(blocks, *[minimise(lambda w, h=half: _contrast(blocks, w, ridge, h), SIZE, rounds) for half in "01"])
     return minimise(lambda w: _risk(blocks, w, prior, ridge), SIZE, rounds)
 
 
@@ -122,14 +150,14 @@ def _side(kind: str, own: np.ndarray) -> np.ndarray:
     return np.r_[own, none] if kind.startswith("pos") else np.r_[none, own]
 
 
-def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
-    """Value and gradient of telling positives from unlabelled ones on half 0, both weighing the same."""
+def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float, half: str) -> tuple[float, np.ndarray]:
+    """Value and gradient of telling positives from unlabelled ones on one half, both weighing the same."""
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
-        if kind.endswith("1"):
+        if not kind.endswith(half):
             return np.zeros(2 * (SIZE + 2))
         z, y = e.margins(w), float(kind.startswith("pos"))
-        return _side(kind, np.r_[e.back(sigmoid(z) - y, SIZE), np.logaddexp(0.0, -z if y else z).sum(), len(e.y)])
+        return _side(kind, np.r_[e.back(e.y * (sigmoid(z) - y), SIZE), e.y @ np.logaddexp(0.0, -z if y else z), e.y.sum()])
 
     total = sums(blocks, w, part, 2 * (SIZE + 2))
     value, gradient = _ridge(w, ridge)
@@ -138,23 +166,28 @@ def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float) -> tuple[float, np
     return value, gradient
 
 
-def estimate_prior(blocks: DataFrame, w: np.ndarray) -> float:
+def estimate_prior(blocks: DataFrame, w0: np.ndarray, w1: np.ndarray) -> float:
     """The least ratio, over score thresholds, of the unlabelled share above to the positive share above.
 
-    On half 1, which ``w`` has not seen.  Both shares carry a deviation bound, so a threshold
-    with few rows above does not decide.  Two standard errors, 0.01 at most, are taken off: with
-    a prior that is too high the risk is least if everything is accepted, one a little low
-    costs little.
+    The mean over the halves of all texts, each scored by the weights of the other half, which
+    have not seen it.  Both shares carry a deviation bound, so a threshold with few rows above
+    does not decide.  Two standard errors, 0.01 at most, are taken off: with a prior that is too
+    high the risk is least if everything is accepted, one a little low costs little.
     """
+    width = 2 * SCORE_BINS
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
-        if kind.endswith("0"):
-            return np.zeros(2 * SCORE_BINS)
-        step = np.minimum(SCORE_BINS - 1, (sigmoid(e.margins(w)) * SCORE_BINS).astype(int))
-        return _side(kind, np.bincount(step, minlength=SCORE_BINS).astype(float))
+        step = np.minimum(SCORE_BINS - 1, (sigmoid(e.margins(w[SIZE:] if kind.endswith("0") else w[:SIZE])) * SCORE_BINS).astype(int))
+        own, none = _side(kind, np.bincount(step, e.y, SCORE_BINS)), np.zeros(width)
+        return np.r_[own, none] if kind.endswith("0") else np.r_[none, own]
+
+    total = sums(blocks, np.r_[w0, w1], part, 2 * width)
+    prior = np.mean([_best_bin(x[:SCORE_BINS], x[SCORE_BINS:]) for x in (total[:width], total[width:])])
+    n_unl = max(1.0, (total[SCORE_BINS:width].sum() + total[width + SCORE_BINS :].sum()) / 2)
+    return float(np.clip(prior - min(0.01, 2 * np.sqrt(prior * (1 - prior) / n_unl)), 0.001, 0.995))
+
 
-    total = sums(blocks, w, part, 2 * SCORE_BINS)
-    pos, unl = total[:SCORE_BINS], total[SCORE_BINS:]
+def _best_bin(pos: np.ndarray, unl: np.ndarray) -> float:
     n_pos, n_unl = max(1.0, pos.sum()), max(1.0, unl.sum())
     q_pos, q_unl = np.cumsum(pos[::-1]) / n_pos, np.cumsum(unl[::-1]) / n_unl
     slack = np.sqrt(np.log(20.0) / (2 * n_pos)) + np.sqrt(np.log(20.0) / (2 * n_unl))
@@ -162,8 +195,7 @@ def estimate_prior(blocks: DataFrame, w: np.ndarray) -> float:
     if not len(above):
         return 0.5
     best = above[int(((q_unl[above] + slack) / q_pos[above]).argmin())]
-    prior = min(1.0, q_unl[best] / q_pos[best])
-    return float(np.clip(prior - min(0.01, 2 * np.sqrt(prior * (1 - prior) / n_unl)), 0.05, 0.995))
+    return min(1.0, q_unl[best] / q_pos[best])
 
 
 def _risk(blocks: DataFrame, w: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
@@ -171,8 +203,8 @@ def _risk(blocks: DataFrame, w: np.ndarray, prior: float, ridge: float) -> tuple
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
         z = e.margins(w)
-        p = sigmoid(z)
-        return _side(kind, np.r_[e.back(p - 1, SIZE), e.back(p, SIZE), np.logaddexp(0.0, -z).sum(), np.logaddexp(0.0, z).sum(), len(e.y)])
+        p, n = sigmoid(z), e.y
+        return _side(kind, np.r_[e.back(n * (p - 1), SIZE), e.back(n * p, SIZE), n @ np.logaddexp(0.0, -z), n @ np.logaddexp(0.0, z), n.sum()])
 
     width = 2 * SIZE + 3
     total = sums(blocks, w, part, 2 * width)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decision_list, mixing, ngram_join, packing, page_text, pu_quality, sharding, token_counts, toxicity, vector_dedup
-from quillgraph.llm.linear import minimise
+from quillgraph.llm.linear import Examples, minimise
 from quillgraph.llm.links import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,6 +153,21 @@ def test_pu_quality_separates_and_finds_the_prior(spark):
     assert right / len(made) > 0.97
 
 
+def test_pu_quality_takes_all_texts_as_unlabelled(spark, monkeypatch):
+    seen = collections.Counter()
+
+    def counted(blocks, *weights):
+        for r in blocks.collect():
+            seen[r["kind"]] += int(Examples(r).y.sum())
+        return 0.5
+
+    monkeypatch.setattr(pu_quality, "estimate_prior", counted)
+    docs = spark.range(25_000).select(F.when(F.col("id") > 99, F.col("id")).alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    pu_quality.fit(docs, labels, rounds=2)
+    assert seen["unl0"] + seen["unl1"] == 25_000 and seen["pos0"] + seen["pos1"] == 300 and len(seen) == 4
+
+
 def test_pu_quality_edge_rows(docs, rows, empty, labels, no_labels):
     weights = pu_quality.fit(docs, labels)
     got = pu_quality.scored(clashing(docs, "score", "kind"), weights)
