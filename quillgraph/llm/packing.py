@@ -2,14 +2,14 @@
 
 A global histogram of lengths goes through a dynamic programme that picks the bucket
 boundaries with the least padding; inside a bucket, documents form batches of a fixed number
-of padded tokens.  Lengths are exact below 64; above, histogram cells are 1/32 wide of their
-length, so the histogram has at most about 32 cells per doubling however long texts get, and
-each cell keeps its true longest length, count and sum.
+of padded tokens.  The histogram has one cell for each distinct length; m of them need at
+least m * (m - 1) / 2 words, so it is short beside the texts however long they get.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,41 +23,46 @@ def word_length(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def _cell(n: Column) -> Column:
-    octave = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 5).cast("int")
-    width = F.expr("1L").cast("long") * F.pow(F.lit(2.0), octave).cast("long")
-    return F.floor(n / width).cast("long") * width
-
-
 def histogram(docs: DataFrame, length: Column) -> list[tuple[int, int, int]]:
-    """(longest, rows, summed length) of each cell in order; bounded as said above."""
-    cells = computed(docs, n=length).select("n").groupBy(_cell(F.col("n")).alias("cell"))
-    rows = cells.agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum")).collect()
-    return sorted((r["top"], r["rows"], r["sum"]) for r in rows)
+    """(length, rows, summed length) of each distinct length in order."""
+    cells = computed(docs, n=length).select("n").groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    return sorted((r["n"], r["rows"], r["n"] * r["rows"]) for r in cells.collect())
 
 
 def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least total padding.
 
-    ``best[j]`` is the least padding of cells 0..j with the buckets allowed so far; the last
-    bucket of an optimum starts at some i, so each round is one minimum over i for all j.
+    ``best[j]`` is the least padding of the first j cells with the buckets allowed so far.  One
+    bucket more takes the minimum over i of ``best[i] + seen[i] - rows[i] * top``: lines in top,
+    the longest length of the last bucket.  Their slopes fall with i and top rises with j, so
+    the lower hull is walked once a round, in exact integers.
     """
     if not cells:
         return []
-    top, rows, total = (np.array(x, dtype=np.float64) for x in zip(*cells))
-    m = len(top)
-    seen_rows, seen = np.r_[0.0, np.cumsum(rows)], np.r_[0.0, np.cumsum(total)]
-    pad = (seen_rows[None, 1:] - seen_rows[:-1, None]) * top[None, :] - (seen[None, 1:] - seen[:-1, None])
-    pad[np.tril_indices(m, -1)] = np.inf  # a bucket ends at or after its start
-    best, starts = pad[0].copy(), [np.zeros(m, dtype=int)]
+    m, rows, seen = len(cells), [0], [0]
+    for _, n, total in cells:
+        rows.append(rows[-1] + n)
+        seen.append(seen[-1] + total)
+    best = [0] + [cells[j - 1][0] * rows[j] - seen[j] for j in range(1, m + 1)]
+    starts = [array("q", [0]) * (m + 1)]
     for _ in range(1, min(buckets, m)):
-        through = np.r_[0.0, best[:-1]][:, None] + pad
-        starts.append(through.argmin(axis=0))
-        best = through.min(axis=0)
-    ends, j = [], m - 1
-    while j >= 0:
-        ends.append(int(top[j]))
-        j = int(starts.pop()[j]) - 1
+        hull, at, after, start = [], 0, [0], array("q", [0])
+        for j in range(1, m + 1):
+            slope, level = -rows[j - 1], best[j - 1] + seen[j - 1]
+            while len(hull) > at + 1 and (level - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                hull.pop()
+            hull.append((slope, level, j - 1))
+            top = cells[j - 1][0]
+            while at + 1 < len(hull) and hull[at + 1][0] * top + hull[at + 1][1] <= hull[at][0] * top + hull[at][1]:
+                at += 1
+            after.append(hull[at][0] * top + hull[at][1] + top * rows[j] - seen[j])
+            start.append(hull[at][2])
+        best = after
+        starts.append(start)
+    ends, j = [], m
+    while j > 0:
+        ends.append(cells[j - 1][0])
+        j = starts.pop()[j]
     return ends[::-1]
 
 

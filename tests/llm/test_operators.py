@@ -209,6 +209,19 @@ def test_pack(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("start, step", [(992, 1), (32_768, 64), (70, 9)])
+def test_pack_is_optimal_for_long_texts(spark, start, step):
+    rng = random.Random(start)
+    counts = {start + step * k: rng.randint(1, 5) for k in range(12)}
+    docs = spark.createDataFrame([(n * 10 + k, n) for n, c in counts.items() for k in range(c)], "doc_id long, n long")
+    *inner, last = counts
+    for buckets in (3, 12):
+        cost = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in counts.items())
+        best = min(cost((*c, last)) for c in itertools.combinations(inner, buckets - 1))
+        got = packing.pack(docs, length=F.col("n"), buckets=buckets).collect()
+        assert len({r["bucket"] for r in got}) <= buckets and sum(r["padded_length"] - r["n_tokens"] for r in got) == best
+
+
 # n-gram join
 
 def ngram_set(text):
