@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from quillgraph.functions import arrow_text as at
 from quillgraph.functions import text as tx
 from quillgraph.operators.ids import dense_ids
-from quillgraph.operators.skew import lookup_join, salted_join
+from quillgraph.operators.skew import lookup_join
+from quillgraph.session import durable
 
 
 def explode_rows(df: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
@@ -21,8 +22,12 @@ def explode_rows(df: DataFrame, keys: list[str], values: Column, name: str) -> D
 
 
 def with_tokens(docs: DataFrame, text: str = "text", doc: str = "doc_id", *, parts=tx.blocks) -> DataFrame:
-    """(doc, toks): the tagged token array of each text; ``parts=tx.paragraphs`` for mails."""
-    return docs.select(doc, tx.tokens(F.col(text), parts=parts).alias("toks"))
+    """(doc, toks): the tagged token array of each text; ``parts=tx.paragraphs`` for mails.
+
+    By the default tagger, which runs once per distinct word of a batch; ``tx.tokens`` is the same as
+    a column expression and takes other taggers.
+    """
+    return docs.select(doc, at.tagged_words(tx.sentences(parts(F.col(text)))).alias("toks"))
 
 
 def paragraph_rows(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -100,66 +105,65 @@ def term_counts(words: DataFrame, doc: str = "doc_id") -> DataFrame:
     return words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("num"))
 
 
+def stored(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, toks, _row): tagged words kept durable for several uses, each row with a number of its own."""
+    return durable(tokened.select(doc, "toks", F.monotonically_increasing_id().alias("_row")))
+
+
 def vocabulary(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(node_id, root, n): dense ids from 1 for the kept lemmas, in lemma order."""
     kept = F.transform(F.filter("toks", lambda t: t["keep"] == 1), lambda t: t["root"])
     return dense_ids(explode_rows(tokened, [doc], kept, "root"), "root", "node_id", first=1)
 
 
-def graf_nodes(tokened: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """One row per word of each message: (doc, sent, node_id, raw, root, pos, keep, num).
+def _with_dictionary(rows: DataFrame, words: Column, table: DataFrame, key: str, counts: DataFrame | None, how: str) -> DataFrame:
+    """``rows`` with ``_known``: what ``table`` says of the distinct ``words`` of each row, as an array of structs.
 
-    Words that are not kept have node_id 0.  Word frequencies are very uneven; the counts
-    that come with the vocabulary tell which words to split in the join.
+    Only distinct (row, word) pairs meet the table, and they come back as one array a row, so no word
+    occurrence is shuffled.
     """
-    rows = token_rows(tokened, doc).withColumn("_word", F.when(F.col("keep") == 1, F.col("root")))
-    ids = vocab.select(F.col("root").alias("_word"), "node_id", "n")
-    joined = salted_join(rows, ids.drop("n"), ["_word"], "left", by=[doc, "num"], counts=ids.select("_word", "n"))
-    return joined.select(
-        doc, "sent", F.coalesce("node_id", F.lit(0)).alias("node_id"), "raw", "root", "pos", "keep", "num"
-    )
+    pairs = explode_rows(rows, ["_row"], F.array_distinct(words), key)
+    met = lookup_join(pairs, table, [key], how, by=["_row"], counts=counts)
+    known = met.groupBy("_row").agg(F.collect_list(F.struct(*table.columns)).alias("_known"))
+    schema = known.schema["_known"].dataType.simpleString()
+    return rows.join(known, "_row", "left").withColumn("_known", F.coalesce("_known", F.array().cast(schema)))
 
 
-def graf_edges(nodes: DataFrame, doc: str = "doc_id", *, size: int = 3, distinct: bool = False) -> DataFrame:
-    """Word-pair edges of each message in both directions: (doc, node0, node1).
+def numbered(tokened: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, graf, _row): the words of each message with the ids of ``vocab``; words not kept have node_id 0.
 
-    Repeated pairs give repeated rows unless ``distinct``.
+    Word frequencies are very uneven; the counts that come with the vocabulary tell which words to split in
+    the join.
     """
-    order = W.partitionBy(doc, "sent").orderBy("num")
-    ahead = F.array(*[F.lead("node_id", d).over(order) for d in range(1, size + 1)])
-    near = nodes.select(doc, F.col("node_id").alias("a"), ahead.alias("_ahead")).filter(F.col("a") > 0)
-    pairs = near.select(doc, "a", F.explode("_ahead").alias("b")).filter(F.col("b") > 0)
-    both = pairs.select(
-        doc,
-        F.explode(F.array(F.struct(F.col("a").alias("node0"), F.col("b").alias("node1")),
-                          F.struct(F.col("b").alias("node0"), F.col("a").alias("node1")))).alias("e"),
-    ).select(doc, "e.node0", "e.node1")
-    return both.distinct() if distinct else both
-
-
-def _pair_rows(tokened: DataFrame, doc: str, pairs: Column, names: tuple[str, str], field: str) -> DataFrame:
-    """Token-position pairs with a field of both tokens in place of the positions."""
-    located = tokened.select(doc, "toks", pairs.alias("_pairs"))
-    values = F.transform(
-        "_pairs",
-        lambda p: F.struct(
-            F.get("toks", p["i"])[field].alias(names[0]),
-            F.get("toks", p["j"])[field].alias(names[1]),
-            p["i"].alias("num0"),
-            p["j"].alias("num1"),
-        ),
-    )
-    return explode_rows(located, [doc], values, "p").select(doc, "p.*")
+    rows = tokened if "_row" in tokened.columns else stored(tokened, doc)
+    kept = F.transform(F.filter("toks", lambda t: t["keep"] == 1), lambda t: t["root"])
+    known = _with_dictionary(rows, kept, vocab.select("root", "node_id"), "root", vocab.select("root", "n"), "inner")
+    return known.select(doc, at.number_udf()("toks", "_known").alias("graf"), "_row")
+
+
+def graf_nodes(words: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """One row per word of ``numbered`` messages: (doc, sent, node_id, raw, root, pos, keep, num)."""
+    rows = explode_rows(words, [doc], F.col("graf"), "w")
+    return rows.select(doc, *[F.col("w")[c].alias(c) for c in ("sent", "node_id", "raw", "root", "pos", "keep", "num")])
+
+
+def graf_edges(words: DataFrame, doc: str = "doc_id", *, size: int = 3, distinct: bool = False) -> DataFrame:
+    """Word-pair edges of each ``numbered`` message in both directions: (doc, node0, node1).
+
+    Pairs are made inside the row.  Repeated pairs of a message give repeated rows unless ``distinct``.
+    """
+    return explode_rows(words, [doc], at.edge_udf(size, distinct)("graf"), "e").select(doc, "e.*")
 
 
 def tile_rows(tokened: DataFrame, doc: str = "doc_id", *, size: int = 3) -> DataFrame:
     """Kept-word pairs up to ``size`` apart: (doc, root0, root1, num0, num1)."""
-    return _pair_rows(tokened, doc, tx.tiles(F.col("toks"), size), ("root0", "root1"), "root")
+    return explode_rows(tokened, [doc], at.place_pairs_udf(size)("toks"), "p").select(doc, "p.*")
 
 
 def window_link_rows(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Links of full three-word windows: (doc, stem0, stem1, num0, num1)."""
-    return _pair_rows(tokened, doc, tx.window_links(F.col("toks")), ("stem0", "stem1"), "root")
+    rows = explode_rows(tokened, [doc], at.place_pairs_udf(None)("toks"), "p")
+    return rows.select(doc, F.col("p.root0").alias("stem0"), F.col("p.root1").alias("stem1"), "p.num0", "p.num1")
 
 
 def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -168,31 +172,42 @@ def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(*keys, a, b).unionByName(pairs.select(*keys, F.col(b).alias(a), F.col(a).alias(b)))
 
 
-def word_table(tokened: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The small script's word table: (doc, sent, id, index, word, stem, tag).
+def stem_table(tokened: DataFrame, doc: str = "doc_id", *, stemmer=None) -> DataFrame:
+    """(doc, graf, _row): as ``numbered``, for the small script: every word has the dense id of its stem.
 
-    ``id`` is a dense id of the stem, joined on.
+    The stem is the lemma, or what ``stemmer`` (a column function of lower-case words) makes of the word;
+    it runs once per distinct word.
     """
-    rows = token_rows(tokened, doc).select(
-        doc, "sent", F.col("num").alias("index"), F.lower("raw").alias("word"), F.col("root").alias("stem"), F.col("pos").alias("tag")
+    rows = tokened if "_row" in tokened.columns else stored(tokened, doc)
+    if stemmer is not None:
+        rows = durable(_stemmed(rows, stemmer))
+    stems = F.transform("toks", lambda t: t["root"])
+    uniq = dense_ids(explode_rows(rows, [doc], stems, "stem"), "stem", "node_id").withColumnRenamed("stem", "root")
+    known = _with_dictionary(rows, stems, uniq.select("root", "node_id"), "root", uniq.select("root", "n"), "inner")
+    return known.select(doc, at.number_udf(all_words=True)("toks", "_known").alias("graf"), "_row")
+
+
+def _stemmed(rows: DataFrame, stemmer) -> DataFrame:
+    """``rows`` whose words have stems for lemmas."""
+    lows = F.transform("toks", lambda t: F.lower(t["raw"]))
+    words = explode_rows(rows, ["_row"], F.array_distinct(lows), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    table = durable(words.withColumn("root", stemmer(F.col("word"))))
+    known = _with_dictionary(rows, lows, table.select("word", "root"), "word", table.select("word", "n"), "inner")
+    return known.withColumn("toks", at.stem_udf()("toks", "_known")).drop("_known")
+
+
+def word_table(words: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The small script's word table from ``stem_table``: (doc, sent, id, index, word, stem, tag)."""
+    w = F.col("w")
+    return explode_rows(words, [doc], F.col("graf"), "w").select(
+        doc, w["sent"].alias("sent"), w["node_id"].alias("id"), w["num"].alias("index"), F.lower(w["raw"]).alias("word"), w["root"].alias("stem"), w["pos"].alias("tag")
     )
-    stems = explode_rows(tokened, [doc], F.transform("toks", lambda t: t["root"]), "stem")
-    uniq = dense_ids(stems, "stem")
-    joined = salted_join(rows, uniq.drop("n"), ["stem"], by=[doc, "index"], counts=uniq.select("stem", "n"))
-    return joined.select(doc, "sent", "id", "index", "word", "stem", "tag")
 
 
 def link_edges(words: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The small script's edge table: window links as stem-id pairs in both directions."""
-    order = W.partitionBy(doc, "sent").orderBy("index")
-    word = F.struct("id", "word", F.col("tag").isin(tx.SMALL_KEEP_TAGS).alias("keep"))
-    windows = words.select(
-        doc, word.alias("a"), F.lead(word, 1).over(order).alias("b"), F.lead(word, 2).over(order).alias("c")
-    ).filter(F.col("c").isNotNull() & F.col("a.keep"))
-    links = windows.select(doc, "a", F.explode(F.array("b", "c")).alias("b")).filter(
-        F.col("b.keep") & (F.col("a.word") != F.col("b.word"))
-    )
-    return both_ways(links.select(doc, F.col("a.id").alias("n0"), F.col("b.id").alias("n1")), "n0", "n1")
+    """The small script's edge table from ``stem_table``: window links as stem-id pairs in both directions."""
+    rows = explode_rows(words, [doc], at.edge_udf(None)("graf"), "e")
+    return rows.select(doc, F.col("e.node0").alias("n0"), F.col("e.node1").alias("n1"))
 
 
 def sentiment(words: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -209,42 +224,13 @@ def sentiment(words: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> Data
     return scored.groupBy(doc, "sent").agg(F.avg("polr").alias("polr"), F.avg("subj").alias("subj"))
 
 
-def sentence_records(nodes: DataFrame, lexicon: DataFrame, doc: str = "doc_id", *, size: int = 3) -> DataFrame:
+def sentence_records(words: DataFrame, lexicon: DataFrame, doc: str = "doc_id", *, size: int = 3) -> DataFrame:
     """One record per sentence: (doc, sent, size, sha1, polr, subj, graf, tile).
 
-    ``nodes`` are the words of ``graf_nodes``, ``lexicon`` is (word, polr, subj).
+    ``words`` are ``numbered`` messages, ``lexicon`` is (word, polr, subj) with each word once.
     """
-    scored = lookup_join(
-        nodes.withColumn("word", F.lower("raw")), lexicon.select("word", "polr", "subj"), ["word"], "left", by=[doc, "num"]
-    )
-    word = F.struct("num", "node_id", "raw", "root", "pos", "keep")
-    grafs = scored.groupBy(doc, "sent").agg(
-        F.array_sort(F.collect_list(word)).alias("graf"), F.avg("polr").alias("polr"), F.avg("subj").alias("subj")
-    )
-
-    def tile_at(d: int) -> Column:
-        span = F.greatest(F.size("graf") - d, F.lit(0))
-        near = F.zip_with(
-            F.slice("graf", 1, span),
-            F.slice("graf", 1 + d, span),
-            lambda a, b: F.when(
-                (a["keep"] == 1) & (b["keep"] == 1), F.struct(a["node_id"].alias("n0"), b["node_id"].alias("n1"))
-            ),
-        )
-        return F.filter(near, lambda p: p.isNotNull())
-
-    ordered = F.transform(
-        "graf",
-        lambda t: F.struct(t["node_id"].alias("node_id"), t["raw"].alias("raw"), t["root"].alias("root"),
-                           t["pos"].alias("pos"), t["keep"].alias("keep"), t["num"].alias("num")),
-    )
-    return grafs.select(
-        doc,
-        "sent",
-        F.size("graf").alias("size"),
-        tx.content_sha1(F.transform("graf", lambda t: t["root"])).alias("sha1"),
-        F.coalesce("polr", F.lit(0.0)).alias("polr"),
-        F.coalesce("subj", F.lit(0.0)).alias("subj"),
-        ordered.alias("graf"),
-        F.concat(*[tile_at(d) for d in range(1, size + 1)]).alias("tile"),
-    )
+    lows = F.transform("graf", lambda t: F.lower(t["raw"]))
+    known = _with_dictionary(words, lows, lexicon.select("word", "polr", "subj"), "word", None, "inner")
+    records = explode_rows(known, [doc], at.record_udf(size)("graf", "_known"), "r").select(doc, "r.*")
+    parts = lambda t: F.struct(*[t[c].alias(c) for c in ("node_id", "raw", "root", "pos", "keep", "num")])
+    return records.withColumn("graf", F.transform("graf", parts))

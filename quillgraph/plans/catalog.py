@@ -58,13 +58,13 @@ def _mails(spark, sf):
     return views.mails(read_table(spark, sf, "conversations"))
 
 
-def _nodes(spark, sf):
-    tokened = _tokened(spark, sf)
-    return tt.graf_nodes(tokened, tt.vocabulary(tokened))
+def _numbered(spark, sf):
+    tokened = tt.stored(_tokened(spark, sf))
+    return tt.numbered(tokened, tt.vocabulary(tokened))
 
 
 def _records(spark, sf):
-    return tt.sentence_records(_nodes(spark, sf), views.word_scores(read_table(spark, sf, "benchmark")))
+    return tt.sentence_records(_numbered(spark, sf), views.word_scores(read_table(spark, sf, "benchmark")))
 
 
 def _reply_graph(spark, sf):
@@ -377,17 +377,17 @@ def vocabulary(spark, sf):
 
 @query
 def graf_nodes(spark, sf):
-    return _nodes(spark, sf)
+    return tt.graf_nodes(_numbered(spark, sf))
 
 
 @query
 def graf_edges(spark, sf):
-    return tt.graf_edges(_nodes(spark, sf))
+    return tt.graf_edges(_numbered(spark, sf))
 
 
 @query
 def graf_edges_distinct(spark, sf):
-    return tt.graf_edges(_nodes(spark, sf), distinct=True)
+    return tt.graf_edges(_numbered(spark, sf), distinct=True)
 
 
 @query
@@ -402,12 +402,12 @@ def window_links(spark, sf):
 
 @query
 def word_table(spark, sf):
-    return tt.word_table(_tokened(spark, sf))
+    return tt.word_table(tt.stem_table(_tokened(spark, sf)))
 
 
 @query
 def link_edges(spark, sf):
-    return tt.link_edges(tt.word_table(_tokened(spark, sf)))
+    return tt.link_edges(tt.stem_table(_tokened(spark, sf)))
 
 
 @query
@@ -422,6 +422,7 @@ def sentence_record(spark, sf):
         "doc_id", "sent", "size", "sha1", "polr", "subj",
         F.array_join(F.transform("graf", lambda t: F.concat_ws("/", t["raw"], t["root"], t["pos"], t["node_id"].cast("string"), t["num"].cast("string"))), " ").alias("graf"),
         F.size("tile").alias("n_tiles"),
+        F.array_join(F.transform("tile", lambda p: F.concat_ws("-", p["n0"].cast("string"), p["n1"].cast("string"))), " ").alias("tile"),
     )
     return _rounded(flat, "polr", "subj")
 

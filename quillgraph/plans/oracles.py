@@ -327,9 +327,10 @@ grafs AS (
          string_agg(raw || '/' || root || '/' || pos || '/' || node_id || '/' || num, ' ' ORDER BY num) AS graf
   FROM nodes GROUP BY 1, 2),
 counted AS (
-  SELECT a.doc_id, a.sent, count(*) AS n FROM tiles t JOIN toks a ON t.doc_id = a.doc_id AND t.num0 = a.num GROUP BY 1, 2)""", """
+  SELECT a.doc_id, a.sent, count(*) AS n, string_agg(a.node_id || '-' || b.node_id, ' ' ORDER BY num1 - num0, num0) AS tile
+  FROM tiles t JOIN nodes a ON t.doc_id = a.doc_id AND t.num0 = a.num JOIN nodes b ON t.doc_id = b.doc_id AND t.num1 = b.num GROUP BY 1, 2)""", """
 SELECT doc_id, sent, size, sha1, round(coalesce(polr, 0), 6) AS polr, round(coalesce(subj, 0), 6) AS subj, graf,
-       CAST(coalesce(n, 0) AS INTEGER) AS n_tiles
+       CAST(coalesce(n, 0) AS INTEGER) AS n_tiles, coalesce(tile, '') AS tile
 FROM grafs LEFT JOIN moods USING (doc_id, sent) LEFT JOIN counted USING (doc_id, sent)""")
 ORACLES["parsed_graf_nodes"] = _sql(
     TEXT, NODES, "SELECT CAST(doc_id AS VARCHAR) AS id, node_id, raw, root, pos, keep, num FROM nodes"

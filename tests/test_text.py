@@ -75,22 +75,22 @@ def test_vocabulary_nodes_and_edges(tokened, toks):
     ids = {r.root: r.node_id for r in vocab.collect()}
     roots = sorted({t.root for ts in toks.values() for t in ts if t.keep})
     assert ids == {r: i + 1 for i, r in enumerate(roots)}
-    nodes = tt.graf_nodes(tokened, vocab)
-    got = Counter((r.doc_id, r.num, r.node_id) for r in nodes.collect())
+    words = tt.numbered(tokened, vocab)
+    got = Counter((r.doc_id, r.num, r.node_id) for r in tt.graf_nodes(words).collect())
     assert got == Counter((d, t.num, ids[t.root] if t.keep else 0) for d, ts in toks.items() for t in ts)
-    edges = Counter((r.doc_id, r.node0, r.node1) for r in tt.graf_edges(nodes).collect())
+    edges = Counter((r.doc_id, r.node0, r.node1) for r in tt.graf_edges(words).collect())
     want = Counter()
     for d, ts in toks.items():
         for a, b in plain_tiles(ts):
             want[(d, ids[a.root], ids[b.root])] += 1
             want[(d, ids[b.root], ids[a.root])] += 1
     assert edges == want
-    assert tt.graf_edges(nodes, distinct=True).count() == len(want)
+    assert tt.graf_edges(words, distinct=True).count() == len(want)
 
 
 def test_word_table_and_link_edges(tokened, toks):
-    words = tt.word_table(tokened)
-    ids = {r.stem: r.id for r in words.collect()}
+    words = tt.stem_table(tokened)
+    ids = {r.stem: r.id for r in tt.word_table(words).collect()}
     assert sorted(ids.values()) == list(range(len(ids)))
     got = Counter((r.doc_id, r.n0, r.n1) for r in tt.link_edges(words).collect())
     want = Counter()
@@ -111,7 +111,7 @@ def test_sentiment_and_records(spark, docs, tokened, toks):
             if t.raw.lower() in table:
                 found[(d, t.sent)].append(table[t.raw.lower()])
     assert scores == {k: (pytest.approx(sum(x[0] for x in v) / len(v)), pytest.approx(sum(x[1] for x in v) / len(v))) for k, v in found.items()}
-    records = tt.sentence_records(tt.graf_nodes(tokened, tt.vocabulary(tokened)), lexicon).collect()
+    records = tt.sentence_records(tt.numbered(tokened, tt.vocabulary(tokened)), lexicon).collect()
     assert sum(r.size for r in records) == sum(len(ts) for ts in toks.values())
     assert sum(len(r.tile) for r in records) == sum(1 for ts in toks.values() for _ in plain_tiles(ts))
     for r in records:
@@ -119,6 +119,28 @@ def test_sentiment_and_records(spark, docs, tokened, toks):
         assert [t.num for t in r.graf] == sorted(t.num for t in r.graf)
 
 
+ODD = "Straße İstanbul ΟΔΟΣ ªb café's re-run CITIES Boxes goes running 9lives _x_y Z~ Ünder ties bus 中文字 it's a-b's 3rd"
+
+
+def test_default_tagger_equals_its_column_form(spark, docs):
+    """The batch tagger and the column expressions are two forms of one rule."""
+    texts = docs.unionByName(spark.createDataFrame([(901, ODD + ". " + ODD), (902, None), (903, ""), (904, "... !"), (905, "One.\n\n?\n\nTwo two")], "doc_id long, text string"), True)
+    want = texts.select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    assert sorted(tt.with_tokens(texts).collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_word_graphs_shuffle_no_token(spark, tokened):
+    """Nodes, edges and records come out of rows of whole texts: no window, only rows and their dictionaries are shuffled."""
+    vocab = spark.createDataFrame(tt.vocabulary(tokened).collect())
+    words = tt.numbered(tokened, vocab)
+    lexicon = spark.createDataFrame([("graph", 0.5, 1.0)], "word string, polr double, subj double")
+    for made in (tt.graf_nodes(words), tt.graf_edges(words), tt.graf_edges(words, distinct=True), tt.sentence_records(words, lexicon)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        dealt = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+        assert dealt and all("hashpartitioning(_row" in line for line in dealt)
+
+
 def test_tagging_hooks(spark, tokened, toks):
     @F.pandas_udf("array<string>")
     def model(words: pd.Series) -> pd.Series:
