@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import PART, HotKeys, count_keys, salted_join
+from quillgraph.operators.ids import dense_ids
+from quillgraph.operators.skew import PART, HotKeys, count_keys, lookup_join, salted_join
 from quillgraph.session import durable
 
 CHANGED = "changed"
@@ -88,7 +89,7 @@ def pregel(
     *,
     hot: HotKeys | None = None,
     send: Mapping[str, Column],
-    merge: Mapping[str, Column],
+    merge: Mapping[str, Column] | Callable[[DataFrame], DataFrame],
     update: Mapping[str, Column],
     changed: Column,
     send_when: Column | None = None,
@@ -100,7 +101,8 @@ def pregel(
 
     ``vertices`` has id and the state columns.  A round: every vertex that changed (all of
     them with ``all_send``) sends, per outgoing edge, the ``send`` columns built from its
-    state and the edge; ``merge`` aggregates them per receiver; ``update`` gives the new
+    state and the edge; ``merge`` aggregates them per receiver ``id`` (columns, or a function of the
+    messages where one aggregation is not enough); ``update`` gives the new
     state columns from the old state and the merged message (null without one);
     ``changed`` compares ``old_<column>`` with ``<column>``.  Vertices all send in round 1,
     or those where ``send_when`` holds.
@@ -123,10 +125,9 @@ def pregel(
             sending = state if all_send else state.filter(CHANGED)
             messages = (
                 split.meet(sending.drop(CHANGED, *trail))
-                .select(F.col("dst"), *[c.alias(n) for n, c in send.items()])
-                .groupBy(F.col("dst").alias("id"))
-                .agg(*[c.alias(n) for n, c in merge.items()])
+                .select(F.col("dst").alias("id"), *[c.alias(n) for n, c in send.items()])
             )
+            messages = merge(messages) if callable(merge) else messages.groupBy("id").agg(*[c.alias(n) for n, c in merge.items()])
             met = state.drop(CHANGED).join(messages, "id", "left")
             old = [F.col(c).alias(f"old_{c}") for c in state_columns]
             fresh = met.select("id", *trail, *old, *[update[c].alias(c) for c in state_columns])
@@ -189,36 +190,63 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, source: int, *, rounds
     """(id, dist, path) from ``source`` along weighted edges (src, dst, weight).
 
     Unreached vertices have infinite distance and an empty path.  Of equally long ways the
-    one with fewer edges wins, then the smaller path, so results do not depend on timing.
-    Weights must not be negative.
+    one with fewer edges wins, then the one that is smaller read from its end, so results do not depend on
+    timing.  Weights must not be negative.
+
+    A message is a distance and a number of edges, whatever the depth.  Predecessors are picked once, when
+    all distances stand, and the paths are written out by pointer doubling.
     """
-    at_source = F.col("id") == F.lit(source)
+    far, at_source = F.lit(float("inf")), F.col("id") == F.lit(source)
+    ways = durable(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     start = vertices.select(
-        "id",
-        F.when(at_source, F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("dist"),
-        F.when(at_source, F.array(F.lit(source).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("path"),
-    )
-    offer = F.struct(
-        (F.col("dist") + F.col("weight")).alias("dist"),
-        F.size("path").alias("hops"),
-        F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"),
+        "id", F.when(at_source, F.lit(0.0)).otherwise(far).alias("dist"), F.when(at_source, F.lit(0)).alias("hops")
     )
-    here = F.struct(F.col("dist"), (F.size("path") - 1).alias("hops"), F.col("path"))
-    better = F.col("best").isNotNull() & (F.col("best") < here)
+
+    def least(offers: DataFrame) -> DataFrame:
+        # distances of a receiver differ after the first step, so the second has no ties; both hash
+        each = offers.groupBy("id", "way").agg(F.min("steps").alias("steps"))
+        return each.groupBy("id").agg(F.min_by("steps", "way").alias("steps"), F.min("way").alias("way"))
+
+    better = F.col("way").isNotNull() & ((F.col("way") < F.col("dist")) | ((F.col("way") == F.col("dist")) & (F.col("steps") < F.col("hops"))))
     state, _ = pregel(
         start,
-        edges.select("src", "dst", F.col("weight").cast("double").alias("weight")),
-        send={"offer": offer},
-        merge={"best": F.min("offer")},
+        ways,
+        send={"way": F.col("dist") + F.col("weight"), "steps": F.col("hops") + 1},
+        merge=least,
         update={
-            "dist": F.when(better, F.col("best.dist")).otherwise(F.col("dist")),
-            "path": F.when(better, F.col("best.path")).otherwise(F.col("path")),
+            "dist": F.when(better, F.col("way")).otherwise(F.col("dist")),
+            "hops": F.when(better, F.col("steps")).otherwise(F.col("hops")),
         },
-        changed=~F.col("path").eqNullSafe(F.col("old_path")),
+        changed=(F.col("dist") < F.col("old_dist")) | (F.col("hops") < F.col("old_hops")),
         send_when=at_source,
         rounds_per_stage=rounds_per_stage,
     )
-    return state.select("id", "dist", "path")
+    reached = state.filter("hops IS NOT NULL")
+    paths = _written_out(_predecessors(reached, ways)).withColumnRenamed("path", "_path")
+    met = state.select("id", "dist").join(paths, "id", "left")
+    here = F.when(at_source, F.array(F.col("id").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return met.select("id", "dist", F.coalesce("_path", here).alias("path"))
+
+
+def _predecessors(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, up): of the edges that end a best way, the smallest source; the start has none."""
+    ends = [reached.select(F.col("id").alias(e), F.col("dist").alias(f"{e}_dist"), F.col("hops").alias(f"{e}_hops")) for e in ("src", "dst")]
+    met = lookup_join(edges, ends[0], ["src"], by=["dst"])
+    met = lookup_join(met, ends[1], ["dst"], by=["src"])
+    best = (F.col("src_dist") + F.col("weight") == F.col("dst_dist")) & (F.col("src_hops") + 1 == F.col("dst_hops"))
+    return met.filter(best).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("up"))
+
+
+def _written_out(tree: DataFrame) -> DataFrame:
+    """(id, path): the way from the root to every vertex of a tree (id, up); each round doubles what is known."""
+    known = durable(tree.select("id", "up", F.array(F.col("id").cast("long")).alias("path")))
+    while True:
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        longer = lookup_join(known, above, ["up"], "left", by=["id"])
+        known = durable(longer.select("id", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path").alias("path"), F.col("_up").isNotNull().alias("on")))
+        if known.filter("on").isEmpty():
+            return known.select("id", F.concat(F.array(F.col("up").cast("long")), "path").alias("path"))
+        known = known.drop("on")
 
 
 def strongly_connected_components(
@@ -230,13 +258,15 @@ def strongly_connected_components(
     (2) the smallest labels spread until stable, along the edges and against them at once;
     (3) a vertex that got one label from both sides lies on a cycle with the label's
     vertex: it belongs to that component and leaves.  Of the rest only edges between
-    vertices with the same two labels stay, no component crosses the others.  Labels are
-    hashes of the ids: with the ids themselves a long chain in id order would lose one
-    vertex per round, hashes cut it into pieces.
+    vertices with the same two labels stay, no component crosses the others.  Vertices are
+    numbered anew in the order of a hash: with the ids themselves a long chain in id order would lose one
+    vertex per round, hashes cut it into pieces, and labels are plain numbers.
 
     ``max_rounds`` bounds the outer rounds; what is then left keeps its own id.
     """
     links = durable(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    names = _hash_order(vertices_of(links, vertices))
+    links = durable(_renumbered(links, names))
     # edges only ever leave, so keys hot now cover all that are hot later, at either end
     ends = links.select(F.explode(F.array("src", "dst")).alias("id"))
     hot = HotKeys(count_keys(ends, ["id"]), ["id"])
@@ -247,7 +277,7 @@ def strongly_connected_components(
         one = hot.join(links.withColumnRenamed("src", "id"), at[0], by=["dst"]).withColumnRenamed("id", "src")
         return hot.join(one.withColumnRenamed("dst", "id"), at[1], by=["src"]).withColumnRenamed("id", "dst")
 
-    rest = vertices_of(links, vertices)
+    rest = names.select(F.col("v").alias("id"))
     found: list[DataFrame] = []
     done = 0
     while max_rounds is None or done < max_rounds:
@@ -263,9 +293,8 @@ def strongly_connected_components(
         inner = both_ends(rest).select("src", "dst")
         there = inner.select("src", "dst", F.lit(True).alias("forth"))
         back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("forth"))
-        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("v"))
         labels, _ = pregel(
-            rest.select("id", own.alias("above"), own.alias("below")),
+            rest.select("id", F.col("id").alias("above"), F.col("id").alias("below")),
             there.unionByName(back),
             hot=hot,
             send={"a": F.when(F.col("forth"), F.col("above")), "b": F.when(~F.col("forth"), F.col("below"))},
@@ -276,7 +305,7 @@ def strongly_connected_components(
         )
         # 3. take out what agrees
         agree = F.col("above") == F.col("below")
-        found.append(labels.filter(agree).select("id", F.col("above.v").alias("root")))
+        found.append(labels.filter(agree).select("id", F.col("above").alias("root")))
         left = labels.filter(~agree)
         same = (F.col("src_above") == F.col("dst_above")) & (F.col("src_below") == F.col("dst_below"))
         links = durable(both_ends(left, "above", "below").filter(same).select("src", "dst"))
@@ -286,11 +315,24 @@ def strongly_connected_components(
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
-    members = durable(members)
+    members = durable(members.withColumnRenamed("id", "v").join(names, "v").select("id", "root"))
     lowest = members.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n"))
     return salted_join(members, lowest.drop("n"), ["root"], by=["id"], counts=lowest.select("root", "n")).select("id", "component")
 
 
+def _hash_order(ids: DataFrame) -> DataFrame:
+    """(id, v): vertices numbered in the order of a hash of their ids."""
+    key = F.struct(F.xxhash64("id").alias("h"), "id").alias("key")
+    return durable(dense_ids(ids.select(key), "key", "v").select(F.col("key.id").alias("id"), "v"))
+
+
+def _renumbered(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (src, dst) with the numbers of their ends."""
+    for end, other in (("src", "dst"), ("dst", "src")):
+        links = lookup_join(links, names.select(F.col("id").alias(end), F.col("v").alias("_v")), [end], by=[other]).drop(end).withColumnRenamed("_v", end)
+    return links.select("src", "dst")
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("num")).orderBy(F.desc("num"), "component")
 

@@ -15,6 +15,7 @@ from quillgraph.operators import meetups as mt
 from quillgraph.operators import messages as ms
 from quillgraph.operators import text as tt
 from quillgraph.operators import textrank as tr
+from quillgraph.operators.skew import salted_join
 from quillgraph.plans import views
 from quillgraph.session import durable, shared_dir
 from quillgraph.sources import mail_pages, tsv
@@ -490,6 +491,15 @@ def scc_sizes(spark, sf):
     return gr.component_sizes(gr.strongly_connected_components(vertices, links.select("src", "dst")))
 
 
+@query
+def scc_topics(spark, sf):
+    """Component sizes of the graph of topics that answer each other: many components, few of them large."""
+    rows = views.topics(read_table(spark, sf, "events"))
+    asked = rows.select(F.col("id").alias("parent"), F.col("topic").alias("dst"))
+    links = salted_join(rows.select("id", "parent", F.col("topic").alias("src")), asked, ["parent"], by=["id"]).select("src", "dst")
+    return gr.component_sizes(gr.strongly_connected_components(rows.select(F.col("topic").alias("id")).distinct(), links))
+
+
 # ---- key phrases ----------------------------------------------------------------------
 
 

@@ -369,9 +369,9 @@ walks AS (
   SELECT id, min(s) AS s, n FROM (
     SELECT id, s, n + 1 AS n FROM walks WHERE n < 40
     UNION ALL
-    SELECT e.sender, {'d': s.d + e.num, 'h': s.h + 1, 'p': list_append(s.p, e.sender)}, n + 1
+    SELECT e.sender, {'d': s.d + e.num, 'h': s.h + 1, 'p': list_prepend(e.sender, s.p)}, n + 1
     FROM walks JOIN edges e ON e.replier = id WHERE n < 40 AND s.d < 1e300) GROUP BY id, n)""", """
-SELECT id, CASE WHEN s.d < 1e300 THEN s.d END AS dist, array_to_string(s.p, '>') AS path FROM walks WHERE n = 40""")
+SELECT id, CASE WHEN s.d < 1e300 THEN s.d END AS dist, array_to_string(list_reverse(s.p), '>') AS path FROM walks WHERE n = 40""")
 REACH = (
     *GRAPH,
     """
@@ -385,6 +385,19 @@ comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.
 ORACLES["scc"] = _sql(*REACH, "SELECT sender AS name, component FROM comp JOIN ids USING (id)")
 ORACLES["scc_sizes"] = _sql(*REACH, "SELECT component, count(*) AS num FROM comp GROUP BY component")
 
+ORACLES["scc_topics"] = _sql(
+    """topics AS (
+  SELECT event_id, user_id * 1000 + k AS topic, CASE WHEN k % 10 <> 0 AND k % 3 <> 0 THEN event_id - 1 - k END AS parent
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)),
+links AS (SELECT DISTINCT a.topic AS src, b.topic AS dst FROM topics a JOIN topics b ON a.parent = b.event_id),
+reach AS (
+  SELECT topic AS a, topic AS b FROM topics
+  UNION
+  SELECT a, dst FROM reach JOIN links ON b = src),
+comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)""",
+    "SELECT component, count(*) AS num FROM comp GROUP BY component",
+)
+
 # ---- key phrases ----------------------------------------------------------------------
 
 

@@ -31,6 +31,18 @@ def messages(events: DataFrame) -> DataFrame:
     )
 
 
+def topics(events: DataFrame) -> DataFrame:
+    """(id, topic, parent): what a message is about (its user and k) and the message it answers.
+
+    Where k is a multiple of 3 it answers none, so the topics form components of many sizes.
+    """
+    k, parent = F.col("k"), F.col("event_id") - 1 - F.col("k")
+    rows = events.withColumn("k", _k())
+    return rows.select(
+        F.col("event_id").alias("id"), (F.col("user_id") * 1000 + k).alias("topic"), F.when((k % 10 != 0) & (k % 3 != 0) & (parent >= 0), parent).alias("parent")
+    )
+
+
 def listing_lines(events: DataFrame) -> DataFrame:
     """An event listing as tab-separated text lines."""
     u, k, e = F.col("user_id"), F.col("k"), F.col("event_id")

@@ -85,9 +85,9 @@ def test_shortest_paths(graph, links):
         for a, b in links:
             d, hops, path = best[a]
             if d < float("inf"):
-                best[b] = min(best[b], (d + 1 + (a * 7 + b) % 4, hops + 1, path + (b,)))
+                best[b] = min(best[b], (d + 1 + (a * 7 + b) % 4, hops + 1, (b, *path)))  # read from the end
     got = {r.id: (r.dist, tuple(r.path)) for r in gr.shortest_paths(vertices, edges, 5).collect()}
-    assert got == {v: (d, p) for v, (d, _, p) in best.items()}
+    assert got == {v: (d, p[::-1]) for v, (d, _, p) in best.items()}
 
 
 def test_strongly_connected_components(graph, links):
