@@ -244,15 +244,19 @@ def window_links(toks: Column) -> Column:
     return F.filter(links, lambda p: p.isNotNull())
 
 
-def runs(flags: Column) -> Column:
-    """Maximal runs of true in an array<boolean>: array<struct<start, len>>, linear time."""
-    letters = F.array_join(F.transform(flags, lambda f: F.when(f, F.lit("1")).otherwise(F.lit("0"))), "")
-    pieces = F.filter(F.split(letters, "(?<=1)(?=0)|(?<=0)(?=1)"), lambda p: p != "")
+def runs(flags: Column, starts: Column | None = None) -> Column:
+    """Maximal runs of true in an array<boolean>: array<struct<start, len>>, linear time.
+
+    Where ``starts`` is true a run is cut and a new one begins.
+    """
+    letter = lambda f, s: F.when(f & s, F.lit("s")).when(f, F.lit("1")).otherwise(F.lit("0"))
+    marked = F.transform(flags, lambda f: letter(f, F.lit(False))) if starts is None else F.zip_with(flags, starts, letter)
+    pieces = F.filter(F.split(F.array_join(marked, ""), "(?=s)|(?<=[s1])(?=0)|(?<=0)(?=1)"), lambda p: p != "")
 
     def spans(p: Column) -> Column:
-        starts = sentence_starts(F.transform(p, F.length))
+        begins = sentence_starts(F.transform(p, F.length))
         both = F.zip_with(
-            p, starts, lambda s, at: F.struct(at.cast("int").alias("start"), F.length(s).alias("len"), s.startswith("1").alias("on"))
+            p, begins, lambda s, at: F.struct(at.cast("int").alias("start"), F.length(s).alias("len"), (~s.startswith("0")).alias("on"))
         )
         return F.filter(both, lambda r: r["on"])
 

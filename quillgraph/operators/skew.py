@@ -5,8 +5,9 @@ never more than ``MAX_SHARE`` hot keys: their list has a size bound that does no
 with the data.  Only hot keys are split: their fact rows get a part number, and the
 matching lookup rows are copied once per part.  No row is lost.
 
-Hot keys are found by one counting job before the join is planned.  Where none is hot
-the join is plain, and adaptive execution picks its kind.
+Hot keys are found before the join is planned, by counts that are there already or by Spark's own
+frequent-items sketch: one pass that shuffles no key and keeps a bounded list in each task.  Where none is
+hot the join is plain, and adaptive execution picks its kind.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MAX_SHARE = 1024
 MIN_ROWS = 100_000
+#: items a task's sketch tracks; its counts are off by less than 4 rows in so many
+SKETCH_ITEMS = 1 << 14
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 PART = "_part"
@@ -39,11 +43,22 @@ class HotKeys:
     ) -> None:
         self.keys = list(keys)
         limit = counts.agg(F.greatest(F.lit(float(min_rows)), F.sum("n") / max_share, F.lit(1.0))).scalar()
-        hot = counts.filter(F.col("n") > limit).select(*self.keys, F.ceil(F.col("n") / limit).cast("int").alias(PARTS))
+        hot = counts.filter((F.col("n") > limit) & ~_any_null(self.keys)).select(*self.keys, F.ceil(F.col("n") / limit).cast("int").alias(PARTS))
         rows = hot.collect()  # at most max_share rows
         self.any = bool(rows)
         self.table = counts.sparkSession.createDataFrame(rows, hot.schema)
 
+    @classmethod
+    def sketched(cls, facts: DataFrame, key: str, **bounds: int) -> HotKeys:
+        """The hot values of one column, from a sketch of all rows."""
+        k = bounds.get("max_share", MAX_SHARE)
+        top = F.expr(f"approx_top_k(`{key}`, {k}, {max(SKETCH_ITEMS, k)})")
+        seen = facts.agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+        items = [(r["item"], r["count"]) for r in seen["top"] or [] if r["item"] is not None]  # at most max_share
+        rest = max(0, seen["n"] - sum(n for _, n in items))
+        schema = StructType([StructField(key, facts.schema[key].dataType), StructField("n", LongType())])
+        return cls(facts.sparkSession.createDataFrame([*items, (None, rest)], schema), [key], **bounds)
+
     def spread(self, facts: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
         """Add the part number of each fact row.
 
@@ -68,14 +83,15 @@ class HotKeys:
         marked = lookup.join(F.broadcast(self.table), self.keys, "left")
         return marked.withColumn(PART, F.explode(parts)).drop(PARTS)
 
-    def join_spread(self, spread_facts: DataFrame, lookup: DataFrame, how: str = "inner") -> DataFrame:
-        """Join facts that went through ``spread`` before."""
+    def join_spread(self, spread_facts: DataFrame, lookup: DataFrame, how: str = "inner", on: Sequence[str] | None = None) -> DataFrame:
+        """Join facts that went through ``spread`` before, on the hot keys or on more columns (``on``)."""
+        keys = list(on or self.keys)
         if not self._parted(how):
-            return spread_facts.join(lookup, self.keys, how)
-        return spread_facts.join(self.replicate(lookup), [*self.keys, PART], how).drop(PART)
+            return spread_facts.join(lookup, keys, how)
+        return spread_facts.join(self.replicate(lookup), [*keys, PART], how).drop(PART)
 
-    def join(self, facts: DataFrame, lookup: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-        return self.join_spread(self.spread(facts, by, how), lookup, how)
+    def join(self, facts: DataFrame, lookup: DataFrame, by: Sequence[str], how: str = "inner", on: Sequence[str] | None = None) -> DataFrame:
+        return self.join_spread(self.spread(facts, by, how), lookup, how, on)
 
     def _parted(self, how: str) -> bool:
         return self.any or how == "left"
@@ -95,12 +111,14 @@ def salted_join(
     """Equi-join of a fact table with a lookup table, hot fact keys split.
 
     Both tables name the keys alike.  ``how`` is ``inner`` or ``left``.  ``counts``
-    (keys, n) spares the facts a counting pass; counts that are too high do no harm.
+    (keys, n) spares the facts a pass; counts that are too high do no harm.  Without them the first key is
+    sketched, as a hot combination has a hot first part.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    hot = HotKeys(count_keys(facts, keys) if counts is None else counts, keys, max_share=max_share, min_rows=min_rows)
-    return hot.join(facts, lookup, by or facts.columns, how)
+    bounds = {"max_share": max_share, "min_rows": min_rows}
+    hot = HotKeys.sketched(facts, keys[0], **bounds) if counts is None else HotKeys(counts, keys, **bounds)
+    return hot.join(facts, lookup, by or facts.columns, how, keys)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:

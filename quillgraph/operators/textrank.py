@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.operators.user_functions import PhraseWalk, table_function
 
 TOLERANCE = 1e-4
 DAMPING = 0.85
@@ -54,7 +55,7 @@ def _rank_udf(tol: float, max_rounds: int | None, distinct: bool):
             if not live.any():
                 break
             edge_live = live[doc[a]]
-            if edge_live.mean() < 0.7:  # finished documents leave the loop
+            if len(a) and edge_live.mean() < 0.7:  # finished documents leave the loop
                 a, b, share = a[edge_live], b[edge_live], share[edge_live]
         return rank[vertex], seen_first
 
@@ -112,6 +113,7 @@ def ranked_tokens(
     def merged(t: Column, r: Column) -> Column:
         return F.struct(
             t["num"].alias("num"),
+            t["sent"].alias("sent"),
             t["raw"].alias("raw"),
             t["root"].alias("root"),
             t["pos"].alias("pos"),
@@ -142,8 +144,11 @@ def ranks_and_counts(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def _spans(ranked: Column, flags: Column) -> Column:
-    """Runs of flagged tokens as array<struct<phrase, start, rank, nouns>>."""
+def _spans(ranked: Column, flags: Column, break_at_sentence: bool = False) -> Column:
+    """Runs of flagged tokens as array<struct<phrase, start, rank, nouns>>; a sentence can end them."""
+    new = lambda t, i: (i == 0) | (t["sent"] != F.get(ranked, i - 1)["sent"])
+    starts = F.transform(ranked, new) if break_at_sentence else None
+
     def span(run: Column) -> Column:
         return tx.let(
             F.slice(ranked, run["start"] + 1, run["len"]),
@@ -155,7 +160,7 @@ def _spans(ranked: Column, flags: Column) -> Column:
             ),
         )
 
-    return F.transform(tx.runs(flags), span)
+    return F.transform(tx.runs(flags, starts), span)
 
 
 def _last_of_each(spans: Column) -> Column:
@@ -190,12 +195,14 @@ def _phrase_rows(ranked: DataFrame, doc: str, phrases: Column) -> DataFrame:
     )
 
 
-def noun_phrases(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
+def noun_phrases(ranked: DataFrame, doc: str = "doc_id", *, break_at_sentence: bool = False) -> DataFrame:
     """Runs of kept words with at least one noun, lower-cased, shares of the document's rank.
 
-    A phrase met twice has the rank of its last span.
+    A phrase met twice has the rank of its last span.  Signs take no position, so a run goes on over the
+    end of a sentence unless ``break_at_sentence``.
     """
-    spans = F.filter(_spans(F.col("ranked"), F.transform("ranked", lambda t: t["kept"])), lambda s: s["noun"])
+    kept = F.transform("ranked", lambda t: t["kept"])
+    spans = F.filter(_spans(F.col("ranked"), kept, break_at_sentence), lambda s: s["noun"])
     lowered = F.transform(
         spans,
         lambda s: F.struct(F.lower(s["phrase"]).alias("phrase"), s["start"].alias("start"), s["rank"].alias("rank")),
@@ -203,6 +210,21 @@ def noun_phrases(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     return _phrase_rows(ranked, doc, _shares(_last_of_each(lowered)))
 
 
+def phrase_spans(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, phrase, start, noun): every run of kept words, with the position of its first word."""
+    spans = _spans(F.col("ranked"), F.transform("ranked", lambda t: t["kept"]))
+    rows = ranked.select(doc, F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull())
+    return rows.select(doc, "s.phrase", "s.start", "s.noun")
+
+
+def walked_spans(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """As ``phrase_spans``, by a table function over the words of each text in order."""
+    words = ranked.select(F.col(doc).alias("doc"), F.explode_outer("ranked").alias("t")).filter(F.col("t").isNotNull())
+    kind = ranked.schema[doc].dataType.simpleString()
+    rows = words.select("doc", "t.num", "t.raw", "t.pos", "t.kept")
+    return table_function(rows, PhraseWalk, f"`{doc}` {kind}, phrase string, start int, noun boolean", keys=["doc"], order=["num"])
+
+
 def summary_phrases(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Runs of words ranked at or above the document's median; of those the upper half."""
     floor = tx.median(F.transform(F.filter("ranked", lambda t: t["first"]), lambda t: t["level"]))

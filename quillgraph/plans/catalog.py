@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as sc
+from quillgraph.functions import stem
 from quillgraph.functions import text as tx
 from quillgraph.operators import graph as gr
 from quillgraph.operators import meetups as mt
@@ -16,11 +17,12 @@ from quillgraph.operators import messages as ms
 from quillgraph.operators import text as tt
 from quillgraph.operators import textrank as tr
 from quillgraph.operators.skew import salted_join
+from quillgraph.operators.user_functions import Moments, user_aggregate
 from quillgraph.plans import views
 from quillgraph.session import durable, shared_dir
 from quillgraph.sources import mail_pages, tsv
 from quillgraph.sources import messages as src
-from quillgraph.sources.tables import fill_slots, read_table
+from quillgraph.sources.tables import fill_slots, read_table, write_bucketed
 from quillgraph.streaming import word_count as wc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +83,11 @@ def _reply_links(spark, sf):
     return nodes.select("id"), links
 
 
+def _scratch(spark, kind):
+    """A folder of this run that all executors reach; it stays as long as the shared folder does."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def _rounded(df, *columns, places=6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -128,6 +135,14 @@ def message_text(spark, sf):
     return _mails(spark, sf).filter(F.col("id") == "7.1").select("id", "text")
 
 
+@query
+def message_scan(spark, sf):
+    """The messages written as JSON lines and read back."""
+    path = _scratch(spark, "messages")
+    src.write_json_lines(_msg(spark, sf).withColumn("date", F.date_format("date", DATE)), path)
+    return src.read_messages(spark, path).select("id", "date", "sender", "prev_thread", "subject")
+
+
 @query
 def message_preview(spark, sf):
     return _msg(spark, sf).select("id", "sender", "subject").orderBy("sender", "subject", "id").limit(10)
@@ -151,6 +166,14 @@ def replies(spark, sf):
     return ms.replies(_msg(spark, sf))
 
 
+@query
+def replies_bucketed(spark, sf):
+    """As ``replies``, from messages handed over as a table bucketed by id, which the join does not shuffle."""
+    path, buckets = _scratch(spark, "messages"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"messages_{uuid.uuid4().hex}"
+    return ms.replies(write_bucketed(_msg(spark, sf), name, path, ["id"], buckets))
+
+
 @query
 def self_replies(spark, sf):
     return ms.self_replies(_msg(spark, sf))
@@ -312,6 +335,25 @@ def click_register(spark, sf):
     return _rounded(mt.clicks_of_registered(views.registrations(events), views.clicks(events)), "lat", "lon")
 
 
+@query
+def click_register_files(spark, sf):
+    """As ``click_register``, with both tables written to headerless TSV files and read back."""
+    events, base = read_table(spark, sf, "events"), _scratch(spark, "clicks")
+    reg, clk = views.registrations(events), views.clicks(events)
+    tsv.write_tsv(reg.select("date", "uuid", "n", "lat", "lon"), f"{base}/reg")
+    tsv.write_tsv(clk.select("date", "uuid", "n"), f"{base}/clk")
+    return _rounded(mt.clicks_of_registered(tsv.read_register(spark, f"{base}/reg"), tsv.read_clicks(spark, f"{base}/clk")), "lat", "lon")
+
+
+@query
+def value_spread(spark, sf):
+    """Count, mean and standard deviation by event type, by an aggregate of user functions."""
+    rows = read_table(spark, sf, "events").select("event_type", F.col("value").alias("x"))
+    found = user_aggregate(rows, ["event_type"], Moments.STATE, Moments.partial, Moments.merge)
+    spread = F.when(F.col("n") > 0, F.sqrt(F.col("m2") / F.col("n"))).alias("spread")
+    return _rounded(found.select("event_type", "n", "mean", spread), "mean", "spread", places=4)
+
+
 @query
 def stratum_fractions(spark, sf):
     rows = _listing(spark, sf).withColumn("stratum", F.concat_ws("/", "affil", "title"))
@@ -401,6 +443,13 @@ def window_links(spark, sf):
     return tt.window_link_rows(_tokened(spark, sf))
 
 
+@query
+def porter_words(spark, sf):
+    """The word table with Porter stems: how often each word and stem occur, and the stem's id."""
+    words = tt.word_table(tt.stem_table(_tokened(spark, sf), stemmer=stem.porter))
+    return words.groupBy("id", "word", "stem").agg(F.count(F.lit(1)).alias("num"))
+
+
 @query
 def word_table(spark, sf):
     return tt.word_table(tt.stem_table(_tokened(spark, sf)))
@@ -444,6 +493,16 @@ def parsed_graf_edges(spark, sf):
 # ---- graph ----------------------------------------------------------------------------
 
 
+@query
+def reply_graph_vertices(spark, sf):
+    """Vertices of the reply graph when only those who answer are named: others have a null name."""
+    nodes, edges = _reply_graph(spark, sf)
+    links = edges.select(F.col("replier").alias("src"), F.col("sender").alias("dst"))
+    named = nodes.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    return gr.graph(named, links)[0]
+
+
+
 @query
 def degrees(spark, sf):
     return gr.degrees(_reply_links(spark, sf)[1])
@@ -523,6 +582,18 @@ def textrank_phrases(spark, sf):
     return _rounded(tr.noun_phrases(_ranked(spark, sf)), "norm_rank")
 
 
+@query
+def textrank_sentence_phrases(spark, sf):
+    """Phrases that end with their sentence."""
+    return _rounded(tr.noun_phrases(_ranked(spark, sf), break_at_sentence=True), "norm_rank")
+
+
+@query
+def phrase_walk(spark, sf):
+    """Runs of kept words, found by a table function that walks over each text."""
+    return tr.walked_spans(_ranked(spark, sf))
+
+
 @query
 def textrank_summary(spark, sf):
     return _rounded(tr.summary_phrases(_ranked(spark, sf)), "norm_rank")
@@ -558,7 +629,7 @@ def _finished(spark, make: Callable[[Callable[[DataFrame, int], None]], object],
     folder of its own, which the same batch replaces when it is run again.  The files stay in
     the shared folder, under a name of this run, as long as that folder keeps them.
     """
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     out = f"{base}/out"
     place = (lambda batch_id: out) if whole else (lambda batch_id: f"{out}/batch_id={batch_id}")
     writer = make(lambda counts, batch_id: counts.write.mode("overwrite").parquet(place(batch_id)))
@@ -578,3 +649,25 @@ def stream_word_counts(spark, sf):
 def stream_running_counts(spark, sf):
     """Totals since the start, kept in state."""
     return _finished(spark, lambda sink: wc.running_totals(_document_lines(spark, sf), sink), whole=True)
+
+
+@query
+def stream_changed_totals(spark, sf):
+    """Totals since the start from the changed words of each batch."""
+    found = _finished(spark, lambda sink: wc.changed_totals(_document_lines(spark, sf), sink), whole=False)
+    return wc.latest(found, ["word"])
+
+
+@query
+def stream_fold_counts(spark, sf):
+    """Totals by a user's fold over keyed state."""
+    before = {k: spark.conf.get(k, None) for k in wc.ROCKSDB}
+    for k, v in wc.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        folded = wc.fold_with_state(_document_lines(spark, sf), lambda new, last: sum(new) + (last or 0))
+        found = _finished(spark, lambda sink: folded.writeStream.outputMode("update").foreachBatch(sink), whole=False)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return wc.latest(found, ["word"])

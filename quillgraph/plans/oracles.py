@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillgraph.functions import stem
 from quillgraph.functions import text as tx
 from quillgraph.plans.views import FOOTER_LINE
 
@@ -61,6 +62,8 @@ ORACLES["message_total"] = _sql(MSG, "SELECT count(*) AS num FROM msg")
 ORACLES["message_lines"] = _sql(MSG, f"""
 SELECT strftime(date, {STAMP}) AS date, sender, id, '' AS next_thread, prev_thread, '' AS next_url, subject, subject AS text FROM msg""")
 ORACLES["replies"] = _sql(MSG, REPLY, "SELECT id, reply_id, subject, sender, receiver FROM reply")
+ORACLES["replies_bucketed"] = ORACLES["replies"]
+ORACLES["message_scan"] = _sql(MSG, f"SELECT id, strftime(date, {STAMP}) AS date, sender, prev_thread, subject FROM msg")
 ORACLES["self_replies"] = _sql(MSG, REPLY, "SELECT id, reply_id, subject, sender FROM reply WHERE sender = receiver")
 ORACLES["self_reply_count"] = _sql(MSG, REPLY, "SELECT count(*) AS num FROM reply WHERE sender = receiver")
 ORACLES["self_repliers"] = _sql(MSG, REPLY, "SELECT count(subject) AS num, sender FROM reply WHERE sender = receiver GROUP BY sender")
@@ -166,6 +169,9 @@ WITH reg AS (
   WHERE rn = 1)
 SELECT uuid, strftime(ts, '%Y-%m-%d') AS clk_date, CAST(event_id AS INTEGER) AS clk_n, reg_date, reg_n, round(lat, 6) AS lat, round(lon, 6) AS lon
 FROM events JOIN reg ON uuid = 'u' || user_id WHERE event_type = 'click'"""
+ORACLES["click_register_files"] = ORACLES["click_register"]
+ORACLES["value_spread"] = """
+SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS spread FROM events GROUP BY event_type"""
 ORACLES["stratum_fractions"] = _sql(LISTING, """
 SELECT affil || '/' || title AS stratum, count(*) AS n,
        round(CASE WHEN count(*) < 50 THEN 1.0::DOUBLE ELSE 50.0::DOUBLE / count(*) END, 6) AS fraction
@@ -320,6 +326,56 @@ ORACLES["link_edges"] = _sql(TEXT, _STEMS, LINKS, """
 pairs AS (
   SELECT doc_id, a.id AS n0, b.id AS n1 FROM links JOIN stems a ON a.root = stem0 JOIN stems b ON b.root = stem1)""", """
 SELECT doc_id, n0, n1 FROM pairs UNION ALL SELECT doc_id, n1, n0 FROM pairs""")
+_SHAPE = "list_reduce(list_prepend('', string_split(w, '')), lambda s, c: s || CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND s LIKE '%c') THEN 'v' ELSE 'c' END)"
+
+
+def _measure(form: str) -> str:
+    return f"len(regexp_extract_all({form}, 'vc'))"
+
+
+def _ending(rules: dict[str, str], least: int) -> str:
+    """The branches of a stem step: the longest ending first, replaced if the measure before it is large enough."""
+    order = sorted(rules, key=lambda x: (-len(x), x))
+    good = lambda x: f"{_measure(f'left(f, length(f) - {len(x)})')} >= {least}"
+    return " ".join(f"WHEN w LIKE '%{x}' THEN CASE WHEN {good(x)} THEN left(w, length(w) - {len(x)}) || '{rules[x]}' ELSE w END" for x in order)
+
+
+def _stem_steps() -> str:
+    """Common table expressions p0 to p9 (word, w, f): every word with its stem and the stem's shape after each step."""
+    short = lambda w, f: f"({f} LIKE '%cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+    lost = "(w LIKE '%ed' AND w NOT LIKE '%eed' AND left(f, length(f) - 2) LIKE '%v%') OR (w LIKE '%ing' AND left(f, length(f) - 3) LIKE '%v%')"
+    twin = "f LIKE '%cc' AND right(w, 1) = left(right(w, 2), 1) AND right(w, 1) NOT IN ('l', 's', 'z')"
+    last = _ending(dict.fromkeys(stem.LAST_ENDINGS, ""), 2)
+    ion = f"WHEN w LIKE '%ion' THEN CASE WHEN {_measure('left(f, length(f) - 3)')} >= 2 AND (w LIKE '%sion' OR w LIKE '%tion') THEN left(w, length(w) - 3) ELSE w END"
+    m = _measure("left(f, length(f) - 1)")
+    steps = [
+        f"CASE {_ending(stem.PLURALS, 0)} ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_measure('left(f, length(f) - 3)')} > 0 THEN left(w, length(w) - 1) ELSE w END WHEN {lost} THEN left(w, length(w) - CASE WHEN w LIKE '%ed' THEN 2 ELSE 3 END) || '.' ELSE w END",
+        f"CASE WHEN right(w, 2) IN ('at', 'bl', 'iz') THEN w || 'e' WHEN {twin} THEN left(w, length(w) - 1) WHEN {_measure('f')} = 1 AND {short('w', 'f')} THEN w || 'e' ELSE w END",
+        "CASE WHEN w LIKE '%y' AND left(f, length(f) - 1) LIKE '%v%' THEN left(w, length(w) - 1) || 'i' ELSE w END",
+        f"CASE {_ending(stem.LONG_ENDINGS, 1)} ELSE w END",
+        f"CASE {_ending(stem.MIDDLE_ENDINGS, 1)} ELSE w END",
+        f"CASE {ion} {last} ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({m} > 1 OR ({m} = 1 AND NOT {short('left(w, length(w) - 1)', 'left(f, length(f) - 1)')})) THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {_measure('f')} > 1 THEN left(w, length(w) - 1) ELSE w END",
+    ]
+    plain = "regexp_full_match(word, '[a-z]{3,}')"
+    out = [f"p0 AS (SELECT *, {_SHAPE} AS f FROM (SELECT DISTINCT lower(raw) AS word, lower(raw) AS w FROM toks) WHERE {plain})"]
+    for k, step in enumerate(steps):
+        made = f"SELECT word, {step} AS w FROM p{k}"
+        if k == 1:  # a dot marks words that lost -ed or -ing, which the next step repairs
+            made = f"SELECT word, replace(w, '.', '') AS w, w LIKE '%.' AS lost FROM ({made})"
+        elif k == 2:
+            made = f"SELECT word, CASE WHEN lost THEN {step} ELSE w END AS w FROM p{k}"
+        out.append(f"p{k + 1} AS (SELECT *, {_SHAPE} AS f FROM ({made}))")
+    return ",\n".join(out)
+
+
+ORACLES["porter_words"] = _sql(TEXT, _stem_steps(), """
+stemmed AS (SELECT lower(raw) AS word, count(*) AS num FROM toks GROUP BY 1),
+named AS (SELECT s.word, num, coalesce(p.w, s.word) AS stem FROM stemmed s LEFT JOIN p9 p USING (word)),
+ids AS (SELECT stem, row_number() OVER (ORDER BY stem) - 1 AS id FROM (SELECT DISTINCT stem FROM named))""", """
+SELECT id, word, stem, num FROM named JOIN ids USING (stem)""")
 ORACLES["sentiment"] = _sql(TEXT, SCORES, "SELECT doc_id, sent, round(polr, 6) AS polr, round(subj, 6) AS subj FROM moods")
 ORACLES["sentence_record"] = _sql(TEXT, NODES, TILES, SCORES, """
 grafs AS (
@@ -385,6 +441,9 @@ comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.
 ORACLES["scc"] = _sql(*REACH, "SELECT sender AS name, component FROM comp JOIN ids USING (id)")
 ORACLES["scc_sizes"] = _sql(*REACH, "SELECT component, count(*) AS num FROM comp GROUP BY component")
 
+ORACLES["reply_graph_vertices"] = _sql(MSG, REPLY, CONV, IDS, EDGES, """
+SELECT id, CASE WHEN id IN (SELECT replier FROM edges) THEN sender END AS sender
+FROM ids WHERE id IN (SELECT replier FROM edges) OR id IN (SELECT sender FROM edges)""")
 ORACLES["scc_topics"] = _sql(
     """topics AS (
   SELECT event_id, user_id * 1000 + k AS topic, CASE WHEN k % 10 <> 0 AND k % 3 <> 0 THEN event_id - 1 - k END AS parent
@@ -432,19 +491,25 @@ ORACLES["textrank_ranks_window"] = _sql(
 )
 
 
-def _phrases(flag: str, word: str, having: str) -> str:
+def _phrases(flag: str, word: str, having: str, cut: str = "") -> str:
     return f"""
 flagged AS (
-  SELECT t.doc_id, t.num, t.raw, t.pos, r.rank FROM toks t JOIN word_rank r ON t.doc_id = r.doc_id AND t.root = r.root AND t.keep = 1 {flag}),
+  SELECT t.doc_id, t.sent, t.num, t.raw, t.pos, r.rank FROM toks t JOIN word_rank r ON t.doc_id = r.doc_id AND t.root = r.root AND t.keep = 1 {flag}),
 islands AS (SELECT *, num - row_number() OVER (PARTITION BY doc_id ORDER BY num) AS island FROM flagged),
 spans AS (
   SELECT doc_id, string_agg({word}, ' ' ORDER BY num) AS phrase, min(num) AS start, round(sum(rank), 9) AS rank
-  FROM islands GROUP BY doc_id, island {having}),
+  FROM islands GROUP BY doc_id, island {cut} {having}),
 phrases AS (SELECT doc_id, phrase, arg_max(rank, start) AS rank FROM spans GROUP BY 1, 2)"""
 
 
 ORACLES["textrank_phrases"] = _sql(*RANKED, _phrases("", "lower(raw)", "HAVING bool_or(starts_with(pos, 'N'))"), """
 SELECT doc_id, phrase, round(rank / sum(rank) OVER (PARTITION BY doc_id), 6) AS norm_rank FROM phrases""")
+ORACLES["textrank_sentence_phrases"] = _sql(*RANKED, _phrases("", "lower(raw)", "HAVING bool_or(starts_with(pos, 'N'))", ", sent"), """
+SELECT doc_id, phrase, round(rank / sum(rank) OVER (PARTITION BY doc_id), 6) AS norm_rank FROM phrases""")
+ORACLES["phrase_walk"] = _sql(TEXT, """
+islands AS (
+  SELECT *, num - row_number() OVER (PARTITION BY doc_id ORDER BY num) AS island FROM toks WHERE keep = 1)""", """
+SELECT doc_id, string_agg(raw, ' ' ORDER BY num) AS phrase, min(num) AS start, bool_or(starts_with(pos, 'N')) AS noun FROM islands GROUP BY doc_id, island""")
 ORACLES["textrank_summary"] = _sql(
     *RANKED,
     "floors AS (SELECT doc_id, median(level) AS floor FROM word_rank GROUP BY doc_id)",
@@ -470,3 +535,4 @@ SELECT word, count(*) AS num
 FROM (SELECT unnest(string_split(line, ' ')) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
 GROUP BY word"""
 ORACLES["stream_running_counts"] = ORACLES["stream_word_counts"]
+ORACLES["stream_changed_totals"] = ORACLES["stream_fold_counts"] = ORACLES["stream_word_counts"]

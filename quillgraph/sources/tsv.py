@@ -60,3 +60,8 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clicks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=CLICK, quote="")
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    """Rows as headerless tab-separated lines, without quotes; a null is an empty field."""
+    df.write.mode("overwrite").csv(path, sep="\t", header=False, quote="", emptyValue="")

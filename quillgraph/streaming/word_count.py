@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 BATCH_INTERVAL = "5 seconds"
+#: session settings that state with a time-to-live needs
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def file_lines(spark: SparkSession, path: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -56,6 +58,61 @@ def changed_totals(lines: DataFrame, sink: Callable[[DataFrame, int], None]) ->
     return word_counts(lines).writeStream.outputMode("update").foreachBatch(sink)
 
 
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The last values of each key from a folder of changed rows, one sub-folder a batch (``batch_id``).
+
+    A batch that is run again replaces its own folder, so a replay changes nothing; what a batch writes is in
+    proportion to the keys it touched, not to all keys.
+    """
+    values = [c for c in written.columns if c not in (*keys, "batch_id")]
+    return written.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
+
+
+def keyed_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for the changed rows of each batch, read back by ``latest``."""
+    return lambda changed, batch_id: changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def compact(written: DataFrame, keys: list[str], path: str) -> None:
+    """Write the last values of each key as one batch, that of the last one seen, to a new folder ``path``."""
+    last = written.agg(F.max("batch_id")).first()[0]
+    if last is not None:
+        latest(written, keys).write.parquet(f"{path}/batch_id={last}")
+
+
+def fold_with_state(lines: DataFrame, fold: Callable[[list[int], int | None], int], *, ttl_ms: int | None = None) -> DataFrame:
+    """(word, num): as ``fold_counts``, on keyed state with a native time-to-live.
+
+    Needs the RocksDB state store (``ROCKSDB``), which keeps state on disk and not in the heap.  With
+    ``ttl_ms`` a word's total is forgotten that long after it was last written, whether or not the word comes
+    again.
+    """
+
+    class Fold(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.total = handle.getValueState("total", "num long", ttl_ms) if ttl_ms else handle.getValueState("total", "num long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new = [int(n) for pdf in rows for n in pdf["n"]]
+            last = self.total.get()
+            total = fold(new, last[0] if last is not None else None)
+            self.total.update((total,))
+            yield pd.DataFrame({"word": [key[0]], "num": [total]})
+
+        def close(self) -> None:
+            pass
+
+    parts = split_words(lines).mapInPandas(_partial_counts, "word string, n long")
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return parts.groupBy("word").transformWithStateInPandas(Fold(), "word string, num long", "Update", mode)
+
+
+def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts = batch["word"].value_counts()
+        yield pd.DataFrame({"word": counts.index, "n": counts.to_numpy()})
+
+
 def fold_counts(
     lines: DataFrame,
     fold: Callable[[list[int], int | None], int],
@@ -68,11 +125,6 @@ def fold_counts(
     partial counts and not every occurrence.  ``expire_after_ms`` drops words not seen for
     that long; by default they stay for good.
     """
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = batch["word"].value_counts()
-            yield pd.DataFrame({"word": counts.index, "n": counts.to_numpy()})
-
     def update(key, values, state):
         word = key[0]
         if state.hasTimedOut:
@@ -86,7 +138,7 @@ def fold_counts(
         yield pd.DataFrame({"word": [word], "num": [total]})
 
     timeout = "NoTimeout" if expire_after_ms is None else "ProcessingTimeTimeout"
-    parts = split_words(lines).mapInPandas(partial, "word string, n long")
+    parts = split_words(lines).mapInPandas(_partial_counts, "word string, n long")
     return parts.groupBy("word").applyInPandasWithState(update, "word string, num long", "num long", "update", timeout)
 
 

@@ -102,3 +102,52 @@ def test_every_batch_is_kept(spark, tmp_path):
     for r in found.collect():
         total[r.word] += r.num
     assert total == Counter(TOTAL)
+
+
+def test_keyed_sink_holds_the_totals_after_two_batches_and_a_replay(spark, tmp_path):
+    """Only changed words are written; the last value of each is the total, and a batch run again changes nothing."""
+    src, state, out = tmp_path / "in", tmp_path / "state", str(tmp_path / "out")
+    sink, batches = wc.keyed_sink(out), {}
+
+    def keep(changed, batch_id):
+        batches[batch_id] = changed.collect()
+        sink(changed, batch_id)
+
+    for name, text in (("1.txt", FIRST), ("2.txt", SECOND)):
+        drop(src, name, text)
+        finish(wc.changed_totals(wc.file_lines(spark, str(src)), keep), state)
+    read = lambda folder: spark.read.schema("word string, num long").parquet(folder)
+    totals = lambda folder: {r.word: r.num for r in wc.latest(read(folder), ["word"]).collect()}
+    assert totals(out) == TOTAL
+    written = [{r.word for r in rows} for _, rows in sorted(batches.items()) if rows]
+    assert written == [{"a", "b"}, {"b", "c", ""}]
+    for batch_id, rows in batches.items():
+        if rows:
+            sink(spark.createDataFrame(rows), batch_id)
+    assert totals(out) == TOTAL
+    wc.compact(read(out), ["word"], str(tmp_path / "small"))
+    assert totals(str(tmp_path / "small")) == TOTAL and read(str(tmp_path / "small")).count() == len(TOTAL)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    before = {k: spark.conf.get(k, None) for k in wc.ROCKSDB}
+    for k, v in wc.ROCKSDB.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("ttl_ms", "after"), [(None, {"a": 2, "b": 1, "c": 1, "": 2}), (600_000, {"a": 2, "b": 1, "c": 1, "": 2}), (1, {"a": 2, "b": 1, "c": 1, "": 2})])
+def test_fold_with_state(spark, tmp_path, rocksdb, ttl_ms, after):
+    """The largest count of a batch, over a restart; and sums, which an expired state forgets."""
+    src, seen, sums = tmp_path / "in", {}, {}
+    for name, text in (("1.txt", FIRST), ("2.txt", SECOND)):
+        drop(src, name, text)
+        for fold, found, state in ((lambda new, last: max([*new, last or 0]), seen, "a"), (lambda new, last: sum(new) + (last or 0), sums, "b")):
+            folded = wc.fold_with_state(wc.file_lines(spark, str(src)), fold, ttl_ms=ttl_ms)
+            writer = folded.writeStream.outputMode("update").foreachBatch(lambda df, _, to=found: to.update({r.word: r.num for r in df.collect()}))
+            finish(writer, tmp_path / f"state-{state}")
+    assert seen == after
+    assert sums == {"a": 2, "b": 1 if ttl_ms == 1 else 2, "c": 1, "": 2}
