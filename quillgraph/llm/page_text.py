@@ -2,7 +2,8 @@
 
 For every element: characters, linked characters, tags and linked tags below it give a
 link-adjusted number of characters per tag (CETD, Sun, Song and Liao, 2011).  The element
-with the largest sum of its children's densities holds the article; beside the path from the
+with the largest sum of its block children's densities holds the article (a bold word inside a long
+paragraph is no part of the page's layout); beside the path from the
 body to it, an element counts as text if it is at least as dense as the least dense one on
 that path.  Menus, notices, forms, comments and the like, known by their tags, roles and class
 words, are taken out, but only as far as ``_dropped`` says: densities are measured first.
@@ -54,21 +55,26 @@ HOLDERS = ("article", "main")
 
 
 class _Tree(HTMLParser):
-    """Elements as parallel lists; a parent always comes before its children."""
+    """Elements as parallel lists; a parent always comes before its children.
+
+    The places of open elements are kept by tag, so no start or end tag looks through the open ones.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.doubt, self.items = ["body"], [-1], [TEXT], [[]]
         self.open = [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body"):
             return
         if tag in BLOCK:
-            self._close({"p"}, {"button", "table", "td", "th"})
+            self._close(("p",), ("button", "table", "td", "th"))
         if tag in CLOSES:
             names, ends = CLOSES[tag]
-            self._close(set(names.split()), set(ends.split()))
+            self._close(names.split(), ends.split())
         node, above = len(self.tag), self.open[-1]
         self.tag.append(tag)
         self.parent.append(above)
@@ -76,6 +82,9 @@ class _Tree(HTMLParser):
         self.items.append([])
         self.items[above].append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -84,34 +93,34 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             return
-        if tag in BLOCK:
-            self._close({tag}, set())
-        elif any(self.tag[n] == tag for n in self._inline()):
-            self._close({tag}, set())
+        if tag in BLOCK or self._last(tag) > self.blocks[-1]:
+            self._close((tag,), ())
 
     def handle_data(self, data: str) -> None:
         self.items[self.open[-1]].append(data)
 
-    def _inline(self) -> Iterator[int]:
-        for n in reversed(self.open):
-            yield n
-            if self.tag[n] in BLOCK:
-                return
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
 
-    def _close(self, names: set, ends: set) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] in names:
-                del self.open[k:]
-                return
-            if self.tag[self.open[k]] in ends:
-                return
+    def _close(self, names, ends) -> None:
+        """Close the innermost open element of ``names`` with all inside, unless one of ``ends`` is inside of it."""
+        k = max(map(self._last, names))
+        if not k or any(self._last(x) > k for x in ends):
+            return
+        for node in self.open[k:]:
+            self.at[self.tag[node]].pop()
+        del self.open[k:]
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
 
     def _doubt(self, tag: str, attrs: list) -> int:
         if tag in NOT_TEXT:
             return NEVER
         if tag in HOLDERS or tag in HEADING:
             return TEXT
-        inside = any(self.tag[n] in HOLDERS for n in self.open)
+        inside = any(map(self._last, HOLDERS))
         if tag in FRAME or (tag == "header" and not inside):
             return FRAMING
         doubt = DOUBTFUL if tag in FORMS else TEXT
@@ -126,6 +135,16 @@ class _Tree(HTMLParser):
         return doubt
 
 
+#: what opens a tag, an end tag, a comment or the like
+MARKUP = re.compile(r"<[A-Za-z/!?]")
+
+
+def _closed(html: str) -> str:
+    """The page without a tag or comment that its end cuts off: after the last > nothing can close one."""
+    cut = MARKUP.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def _name_words(value: str) -> set:
     """The words of class names, each name up to a word like no, has or with."""
     out = set()
@@ -138,7 +157,7 @@ def _name_words(value: str) -> set:
 
 
 def densities(tag: list, parent: list, chars: list) -> tuple[list[float], list[float]]:
-    """(density, sum of the children's densities) of every element, children before parents.
+    """(density, sum of the block children's densities) of every element, children before parents.
 
     ``chars`` are the characters directly in each element.
     """
@@ -162,7 +181,7 @@ def densities(tag: list, parent: list, chars: list) -> tuple[list[float], list[f
             base = math.log(c[i] / max(1, c[i] - lc[i]) * lc[i] + body * c[i] + math.e)
             ratio = max(1.0, c[i] / links * tags / link_tags)
             density[i] = c[i] / tags * math.log(ratio) / max(1.0, math.log(base))
-        if i:
+        if i and tag[i] in BLOCK:
             sums[parent[i]] += density[i]
     return density, sums
 
@@ -219,7 +238,7 @@ def _dropped(tree: _Tree, chars: list, never: list) -> tuple[list[bool], list[bo
 def main_text(html: str) -> str:
     """Blocks of the article joined by a blank line; empty if the page has no text."""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(_closed(html))
     tree.close()
     tag, parent, items = tree.tag, tree.parent, tree.items
     never = _inherited([d == NEVER for d in tree.doubt], parent)
@@ -237,10 +256,6 @@ def main_text(html: str) -> str:
     while k >= 0:
         path.append(k)
         k = above[k]
-    holders = [k for k in path if tag[live[k]] in HOLDERS]
-    if holders:  # kept whole: its heading and short paragraphs are less dense than one long paragraph
-        best = holders[-1]
-        path = path[path.index(best) :]
     least, beside = min(density[k] for k in path), set(path[1:])
     chosen = {live[best]} | {
         i for k, i in enumerate(live) if above[k] in beside and k not in beside and k != best and not doubtful[i] and density[k] >= least > 0
