@@ -1,9 +1,11 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside them.
 
 Equal vectors are one class.  Centroids are fitted on a bounded sample; every class lives in
-the cell of its nearest centroid and also visits the cells (of lower number, so each pair
-of cells meets once) whose centroid is nearly as near.  A cell is cut into blocks of bounded
-size and every pair of blocks is one task, which returns link counts and one spanning forest
+the cell of its nearest centroid and also visits the cells whose centroid is nearly as near.  Of two
+linked vectors at home in different cells, at most half their distance can lie on each side of the plane
+between the centroids, so at least one of them is near enough to visit the other; they are compared
+in the cell of lower number if they can meet there, else in the other.  A cell is cut into blocks of
+bounded size and every pair of blocks is one task, which returns link counts and one spanning forest
 of its links, never the pairs.
 """
 
@@ -25,6 +27,8 @@ CELL_ROWS = 2000
 MAX_CELLS = 1024
 BLOCK_ROWS = 2048
 PARTITIONS = 8
+#: rows compared with all centroids at once
+BATCH_ROWS = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -64,19 +68,48 @@ def centroids(classes: DataFrame, width: int, cells: int, *, max_sample: int = 2
     return centers
 
 
-def _placed(classes: DataFrame, centers: np.ndarray, width: int, margin: float) -> DataFrame:
-    """(cell, home, cid, m, vector): each class in its own cell (home) and in those it visits."""
+def _visits(near: np.ndarray, centers: np.ndarray, least: float, margin: float | None) -> np.ndarray:
+    """(row, cell): the home of every row and the cells it visits, from its cosines to all centroids."""
+    home = near.argmax(axis=1)
+    behind = near.max(axis=1, keepdims=True) - near
+    if margin is None:
+        apart = np.sqrt(np.maximum(0.0, (centers * centers).sum(axis=1)[:, None] + (centers * centers).sum(axis=1) - 2 * centers @ centers.T))
+        reach = np.sqrt(2 * (1 - least)) / 2 * apart[home] + 1e-9
+    else:
+        reach = margin
+    visits = behind <= reach
+    visits[np.arange(len(home)), home] = True
+    return visits
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near = _unit(batch["vector"].tolist(), width) @ centers.T
-            home = near.argmax(axis=1)
-            visits = (near >= near.max(axis=1, keepdims=True) - margin) & (np.arange(len(centers)) < home[:, None])
-            visits[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(visits)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "home": cell == home[row], "cid": batch["cid"].to_numpy()[row], "m": batch["m"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row]})
 
-    return classes.select("cid", "m", "vector").mapInPandas(per_batch, "cell int, home boolean, cid long, m long, vector array<float>")
+def _placed(classes: DataFrame, centers: np.ndarray, width: int, least: float, margin: float | None) -> DataFrame:
+    """(cell, home, cid, m, vector, lower): each class in its own cell (home) and in those it visits.
+
+    At home it carries the cells of lower number that it visits.
+    """
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_ROWS):
+                batch = whole.iloc[at : at + BATCH_ROWS]
+                near = _unit(batch["vector"].tolist(), width) @ centers.T
+                home, visits = near.argmax(axis=1), _visits(near, centers, least, margin)
+                row, cell = np.nonzero(visits)
+                lower = [np.flatnonzero(v[:h]) for v, h in zip(visits, home)]
+                none = np.zeros(0, dtype=np.int64)
+                yield pd.DataFrame(
+                    {
+                        "cell": cell.astype(np.int32),
+                        "home": home[row].astype(np.int32),
+                        "cid": batch["cid"].to_numpy()[row],
+                        "m": batch["m"].to_numpy()[row],
+                        "vector": batch["vector"].to_numpy()[row],
+                        "lower": [lower[r] if c == home[r] else none for r, c in zip(row, cell)],
+                    }
+                )
+
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("cid", "m", "vector").mapInPandas(per_batch, f"cell int, home int, cid long, m long, vector {kind}, lower array<int>")
 
 
 def _block_pairs(placed: DataFrame) -> DataFrame:
@@ -84,12 +117,13 @@ def _block_pairs(placed: DataFrame) -> DataFrame:
 
     Residents meet residents (i <= j) and visitors; visitors of a cell do not meet there.
     """
-    counted = placed.groupBy("cell", "home").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("blocks"))  # two rows a cell
+    at_home = F.col("home") == F.col("cell")
+    counted = placed.groupBy("cell", at_home.alias("own")).agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("blocks"))  # two rows a cell
     sizes = counted.groupBy("cell").agg(
-        F.coalesce(F.max(F.when(F.col("home"), F.col("blocks"))), F.lit(0)).alias("own"),
-        F.coalesce(F.max(F.when(~F.col("home"), F.col("blocks"))), F.lit(0)).alias("guests"),
+        F.coalesce(F.max(F.when(F.col("own"), F.col("blocks"))), F.lit(0)).alias("own"),
+        F.coalesce(F.max(F.when(~F.col("own"), F.col("blocks"))), F.lit(0)).alias("guests"),
     )
-    at = F.pmod(F.xxhash64("cid", "cell"), F.when(F.col("home"), F.col("own")).otherwise(F.col("guests"))).cast("int")
+    at = F.pmod(F.xxhash64("cid", "cell"), F.when(at_home, F.col("own")).otherwise(F.col("guests"))).cast("int")
     rows = placed.join(F.broadcast(sizes), "cell").withColumn("at", at)  # at most MAX_CELLS rows
     key = lambda i, j, visit, side: F.struct(i.alias("i"), j.alias("j"), F.lit(visit).alias("visit"), side.alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -97,8 +131,22 @@ def _block_pairs(placed: DataFrame) -> DataFrame:
     among = F.transform(upto(F.col("own")), lambda k: key(F.least(here, k), F.greatest(here, k), False, F.when(here <= k, 0).otherwise(1)))
     hosts = F.transform(upto(F.col("guests")), lambda k: key(here, k, True, F.lit(0)))
     visits = F.transform(upto(F.col("own")), lambda k: key(k, here, True, F.lit(1)))
-    dealt = F.when(F.col("home"), F.concat(among, hosts)).otherwise(visits)
-    return rows.select("cell", "cid", "m", "vector", F.explode(dealt).alias("k")).select("cell", "cid", "m", "vector", "k.*")
+    dealt = F.when(at_home, F.concat(among, hosts)).otherwise(visits)
+    kept = ["cell", "home", "cid", "m", "vector", "lower"]
+    return rows.select(*kept, F.explode(dealt).alias("k")).select(*kept, "k.*")
+
+
+def _met_before(group: pd.DataFrame, hosts: np.ndarray, guests: np.ndarray) -> np.ndarray:
+    """(host, guest): whether they meet in the guest's home, which has the lower number, since the host visits it."""
+    homes, of_guest = np.unique(group["home"].to_numpy()[guests], return_inverse=True)
+    lower = group["lower"].to_numpy()[hosts]
+    owner = np.repeat(np.arange(len(hosts)), [len(x) for x in lower])
+    cells = np.concatenate(lower).astype(np.int64) if len(lower) else np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+    known = homes[place] == cells
+    seen = np.zeros((len(hosts), len(homes)), dtype=bool)
+    seen[owner[known], place[known]] = True
+    return seen[:, of_guest]
 
 
 def _compare(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -107,12 +155,15 @@ def _compare(pairs: DataFrame, width: int, least: float) -> DataFrame:
     def per_pair(group: pd.DataFrame) -> pd.DataFrame:
         cid, m, side = group["cid"].to_numpy(), group["m"].to_numpy(), group["side"].to_numpy()
         unit, size = _unit(group["vector"].tolist(), width), group["vector"].map(len).to_numpy()
-        same = not group["visit"].iloc[0] and group["i"].iloc[0] == group["j"].iloc[0]
+        visit = bool(group["visit"].iloc[0])
+        same = not visit and group["i"].iloc[0] == group["j"].iloc[0]
         one = np.arange(len(cid)) if same else np.flatnonzero(side == 0)
         two = one if same else np.flatnonzero(side == 1)
         close = (unit[one] @ unit[two].T >= least) & (size[one][:, None] == size[two][None, :])
         if same:
             np.fill_diagonal(close, False)
+        if visit and close.any():
+            close &= ~_met_before(group, one, two)
         counts = np.zeros(len(cid), dtype=np.int64)
         counts[one] += close @ m[two]
         if not same:
@@ -137,7 +188,7 @@ def _compare(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return pairs.groupBy("cell", "i", "j", "visit").applyInPandas(per_pair, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.9, margin: float = 0.15) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, least: float = 0.9, margin: float | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do
@@ -146,10 +197,12 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.9, margin: float = 0
     row.  A row without an id that links with nothing is kept.  Other columns are not read; an
     empty table gives an empty table.
 
-    Every link found is exact in double precision; links between cells are found if one vector
-    is within ``margin`` of its best cosine to the other's centroid (see README for recall).
+    Links are exact in double precision, and none is lost.  With a ``margin``, vectors visit only cells whose
+    centroid's cosine is within it of their best one: fewer copies, and a link between cells is found
+    only if one of its vectors visits the other's home (see README for recall).
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     rows = computed(rows, ok=usable(F.col("vector")), h1=F.xxhash64("vector"), h2=F.hash("vector"))
     grouped = rows.filter("ok").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
@@ -158,7 +211,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.9, margin: float = 0
     if shape[0]:
         cells = max(1, min(MAX_CELLS, -(-shape[0] // CELL_ROWS)))
         centers = centroids(classes, shape[1], cells)
-        made = durable(_compare(_block_pairs(durable(_placed(classes, centers, shape[1], margin))), shape[1], least))
+        made = durable(_compare(_block_pairs(durable(_placed(classes, centers, shape[1], least, margin))), shape[1], least))
         counts = made.filter("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
         roots = components(made.filter("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
         inside = classes.select("cid", "h1", "h2", "m", "least").join(counts, "cid", "left").join(roots, "cid", "left")
