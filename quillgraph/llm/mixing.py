@@ -93,7 +93,7 @@ def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colum
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(ord, ends): for every source the running sum of its quota over the shards.
+    """(ord, node, end): for every source and shard the running sum of the source's quota up to this shard.
 
     ``quotas`` is one row with ``q``, the quotas of the sources in order.  Shards are equal to
     one draw in size.  ``shards`` must be a power of two.
@@ -121,19 +121,32 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         )
         nodes = split.select("all", F.explode(halves).alias("h")).select("h.node", "h.q", "all")
     each = nodes.select("node", F.posexplode("q").alias("ord", "q"))
-    ends = F.sum("q").over(W.partitionBy("ord").orderBy("node"))
-    return each.withColumn("end", ends).groupBy("ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    return each.select("ord", "node", F.sum("q").over(W.partitionBy("ord").orderBy("node")).alias("end"))
 
 
-def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, shard_words: int = 1 << 22, max_shards: int = 4096, seed: int = 11) -> DataFrame:
+def _dealt(walked: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_name, _block, _draws): the draws of each block with their shards.
+
+    A draw goes to the shard whose run of the source's walk it lies in: as many shards end at or before it.
+    Draws of blocks and ends of shards are narrow rows, few against the documents.
+    """
+    draws = walked.select("ord", F.explode("_walked").alias("at"), F.lit(1).alias("kind"), "_name", "_block")
+    edges = ends.select("ord", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast("long").alias("_block"))
+    upto = W.partitionBy("ord").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    placed = edges.unionByName(draws).withColumn("shard", F.count_if(F.col("kind") == 0).over(upto).cast("int")).filter("kind = 1")
+    each = F.collect_list(F.struct(F.col("at").alias("draw"), "shard"))
+    return placed.groupBy("_name", "_block").agg(F.transform(F.sort_array(each), lambda d: F.struct(d["shard"].alias("shard"), d["draw"].alias("draw"))).alias("_draws"))
+
+
+def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, shard_words: int = 1 << 22, seed: int = 11) -> DataFrame:
     """``docs`` with size, source_size, target, copies and draws; columns of these names are replaced.
 
     ``draws`` has one (shard, draw) for each copy of the row in the mix; ``copies`` is their
     number, at most ``most``.  A null source is a source of its own; null and empty texts have
     size 0.  Equal rows fall into the same block and are drawn as separate rows.  The last,
     partly used block of a source is cut where its target is nearest.  An empty table gives an
-    empty table.  Shards are the power of two (``max_shards`` at most) that holds about
-    ``shard_words`` words each.
+    empty table.  Shards are the power of two that holds about
+    ``shard_words`` words each, so their number follows the corpus.
     """
     keep = [c for c in docs.columns if c not in _OWN]
     size = F.size(words(F.col("text"))).cast("long")
@@ -143,7 +156,7 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     rows = computed(docs, _size=size, _key=key, _name=name, _block=F.pmod(key, F.lit(buckets)))
     blocks = durable(rows.groupBy("_name", "_block").agg(F.sum("_size").alias("_words")))
     total = blocks.agg(F.coalesce(F.sum("_words"), F.lit(0))).first()[0]
-    shards = min(max_shards, 1 << max(0, math.ceil(math.log2(max(1, total / shard_words)))))
+    shards = 1 << max(0, math.ceil(math.log2(max(1, total / shard_words))))
     named = blocks.groupBy("_name").agg(F.sum("_words").alias("source_size"), F.count(F.lit(1)).alias("_blocks"))
     source = F.when(F.col("_name") != "n", F.substring("_name", 2, 1 << 30))
     wanted = targets(named.withColumn("source", source).drop("_blocks", "_name"), weights, most)
@@ -159,9 +172,8 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     ends = shard_quotas(one_row, shards, seed)
     whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_full")), lambda e: (e - 1) * F.col("_blocks") + F.col("_at"))
     walked = F.concat(F.when(F.col("_full") > 0, whole).otherwise(F.array().cast("array<bigint>")), F.when(begun, F.array(F.col("_full") * F.col("_blocks") + F.col("_at"))).otherwise(F.array().cast("array<bigint>")))
-    shard = lambda d: F.size(F.filter("ends", lambda e: e <= d))
-    drawn = placed.join(ends, "ord").withColumn("_walked", walked)
-    drawn = drawn.select("_name", "_block", "source_size", "target", "_full", "_rest", "_before", F.transform("_walked", lambda d: F.struct(shard(d).alias("shard"), d.alias("draw"))).alias("_draws"))
+    drawn = placed.join(_dealt(placed.withColumn("_walked", walked), ends), ["_name", "_block"], "left")
+    drawn = drawn.select("_name", "_block", "source_size", "target", "_full", "_rest", "_before", "_draws")
     within = W.partitionBy("_name", "_block").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     met = rows.join(drawn, ["_name", "_block"]).withColumn("_upto", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     partly = begun & (F.col("_before") + F.col("_upto") + F.col("_size") / 2 <= F.col("_rest"))
@@ -170,13 +182,31 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     return met.select(*keep, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), draws.alias("draws"))
 
 
+def copies(planned: DataFrame, *keep: str, seed: int = 11, by: str = "doc_id") -> DataFrame:
+    """The mix drawn from a ``plan``: a row with the ``keep`` columns for every copy with its ``shard`` and ``draw``, in hash order inside a shard."""
+    rows = planned.select(*keep, by, F.explode("draws").alias("_d")).select(*keep, F.col(by).alias("_by"), "_d.shard", "_d.draw")
+    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "draw", "_by"), "_by").drop("_by")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for every copy with its ``shard`` and ``draw``, in hash order inside a shard.
 
     Columns of these names are replaced; all others of ``docs`` are kept as they are.
     """
     boxed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
-    drawn = plan(boxed, **options).select("_row", F.explode("draws").alias("_d"))
-    rows = drawn.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "draw")], "_d.shard", "_d.draw")
-    seed = F.lit(options.get("seed", 11))
-    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(seed, "draw", "doc_id"), "doc_id")
+    drawn = copies(plan(boxed, **options), "_row", seed=options.get("seed", 11))
+    return drawn.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "draw")], "shard", "draw")
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, shards.
+
+    The mix is drawn, and ``taken`` sums the words of the row's copies in it; ``shards`` are the shards they
+    went to, in order.  Rows that were not drawn take 0.  Texts are not carried along.
+    """
+    planned = plan(docs.select("doc_id", "text", "source"), **options).select("doc_id", "size", "source_size", "target", "draws")
+    planned = durable(planned.withColumn("_row", F.monotonically_increasing_id()))
+    drawn = copies(planned, "_row", "size", seed=options.get("seed", 11)).groupBy("_row")
+    found = drawn.agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    met = planned.join(found, "_row", "left")
+    return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
