@@ -12,7 +12,7 @@ from quillgraph.llm import (
 from quillgraph.llm.common import remainder
 from quillgraph.sources.tables import read_table
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 10
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.taken(docs)
 
 
 def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
