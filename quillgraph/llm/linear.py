@@ -6,7 +6,7 @@ blocks' gradients, and the sums (one vector a partition) come back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 BLOCK = "kind string, column binary, value binary, start binary, y binary"
 PARTITIONS = 8
+#: examples are packed into no more partitions, so a round brings at most so many vectors to the driver
+MAX_PARTITIONS = 1024
 
 
 def block(kind: str, rows: list[tuple[list, list]], y: list) -> dict:
@@ -53,7 +55,7 @@ def sums(blocks: DataFrame, w: np.ndarray, part: Callable[[str, Examples, np.nda
                 total += part(r.kind, Examples(r), w)
         yield pd.DataFrame({"total": [total.tolist()]})
 
-    # bounded: PARTITIONS vectors of the length of the model; summed in a fixed order
+    # bounded: at most MAX_PARTITIONS vectors of the length of the model; summed in a fixed order
     rows = blocks.mapInPandas(per_partition, "total array<double>").toPandas()["total"]
     return np.sum(np.sort(np.stack([np.asarray(x, dtype=float) for x in rows]), axis=0), axis=0) if len(rows) else np.zeros(size)
 
@@ -62,13 +64,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int, memory: int = 10, tolerance: float = 1e-4) -> np.ndarray:
-    """Limited-memory BFGS with step halving; one call of ``objective`` (value, gradient) is one job.
+def descent(size: int, rounds: int, memory: int = 10, tolerance: float = 1e-4) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Limited-memory BFGS with step halving: yields points, is sent (value, gradient) there, returns the minimum.
 
-    Stops after ``rounds`` calls, or when no component of the gradient exceeds ``tolerance``.
+    Stops after ``rounds`` points, or when no component of the gradient exceeds ``tolerance``.
     """
     w = np.zeros(size)
-    value, gradient = objective(w)
+    value, gradient = yield w
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     calls = 1
     while calls < rounds and np.abs(gradient).max() > tolerance:
@@ -84,7 +86,7 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], size:
         rate, slope = 1.0 if steps else min(1.0, 1.0 / np.abs(gradient).sum()), gradient @ direction
         while calls < rounds:
             after = w - rate * direction
-            new_value, new_gradient = objective(after)
+            new_value, new_gradient = yield after
             calls += 1
             if new_value <= value - 1e-4 * rate * slope:
                 break
@@ -95,3 +97,23 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], size:
             steps = [*steps[1 - memory :], (s, y)]
         w, value, gradient = after, new_value, new_gradient
     return w
+
+
+def minimise_all(objectives: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], count: int, size: int, rounds: int) -> list[np.ndarray]:
+    """``count`` minima at once: one call of ``objectives``, which takes a point for each, is one job."""
+    walks = [descent(size, rounds) for _ in range(count)]
+    points, going = [next(w) for w in walks], set(range(count))
+    while going:
+        found = objectives(points)
+        for k in sorted(going):
+            try:
+                points[k] = walks[k].send(found[k])
+            except StopIteration as end:
+                points[k] = end.value
+                going.discard(k)
+    return points
+
+
+def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int) -> np.ndarray:
+    """The minimum of one objective; one call is one job."""
+    return minimise_all(lambda points: [objective(points[0])], 1, size, rounds)[0]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import labelled_sample
-from quillgraph.llm.linear import BLOCK, PARTITIONS, Examples, block, minimise, sigmoid, sums
+from quillgraph.llm.linear import BLOCK, MAX_PARTITIONS, PARTITIONS, Examples, block, minimise, minimise_all, sigmoid, sums
 from quillgraph.session import durable
 
 STEPS = 24
@@ -100,16 +100,17 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def packed(docs: DataFrame, positives: DataFrame) -> DataFrame:
     """Blocks of all rows of ``docs`` (kinds unl0, unl1) and of those with an id in ``positives`` (pos0, pos1).
 
-    ``positives`` is a bounded sample of distinct ids, so it is broadcast.
+    ``positives`` is a bounded sample of distinct ids, so it is broadcast.  The distinct vectors, far fewer
+    than the texts, decide the number of partitions.
     """
-    partitions = max(PARTITIONS, -(-docs.count() // PARTITION_ROWS))
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = marked.join(F.broadcast(positives.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")
     rows = marked.select("text", half.alias("half"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = rows.mapInPandas(_vectors, "kind string, vector binary").groupBy("kind", "vector").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.repartition(partitions, F.xxhash64("kind", "vector")).sortWithinPartitions("kind", "vector")
-    return durable(spread.mapInPandas(_pack, BLOCK))
+    counts = durable(rows.mapInPandas(_vectors, "kind string, vector binary").groupBy("kind", "vector").agg(F.count(F.lit(1)).alias("n")))
+    partitions = min(MAX_PARTITIONS, max(PARTITIONS, -(-counts.count() // PARTITION_ROWS)))
+    merged = counts.coalesce(partitions).sortWithinPartitions("kind", "vector")
+    return durable(merged.mapInPandas(_pack, BLOCK))
 
 
 def fit(
@@ -120,18 +121,20 @@ def fit(
     max_positives: int = 20_000,
     ridge: float = 1e-3,
     rounds: int = 60,
+    prior_slack: float = 0.01,
 ) -> np.ndarray:
     """Weights with the intercept last.
 
     All rows of ``docs`` are the unlabelled side, and at most about ``max_positives`` documents
     labelled 1 (where ``usable`` holds), a hash sample, the trusted one.  Without a trusted
-    positive the weights are 0 (score 0.5).
+    positive the weights are 0 (score 0.5).  At most ``prior_slack`` is taken off the estimated prior.
     """
     positives = labelled_sample(labels, "quality", max_positives, _and(F.col("quality") == 1, usable))
     if positives.isEmpty():
         return np.zeros(SIZE)
     blocks = packed(docs, positives)
-    prior = estimate_prior(blocks, *[minimise(lambda w, h=half: _contrast(blocks, w, ridge, h), SIZE, rounds) for half in "01"])
+    halves = minimise_all(lambda points: _contrast(blocks, points, ridge), 2, SIZE, rounds)
+    prior = estimate_prior(blocks, *halves, prior_slack)
     return minimise(lambda w: _risk(blocks, w, prior, ridge), SIZE, rounds)
 
 
@@ -150,28 +153,31 @@ def _side(kind: str, own: np.ndarray) -> np.ndarray:
     return np.r_[own, none] if kind.startswith("pos") else np.r_[none, own]
 
 
-def _contrast(blocks: DataFrame, w: np.ndarray, ridge: float, half: str) -> tuple[float, np.ndarray]:
-    """Value and gradient of telling positives from unlabelled ones on one half, both weighing the same."""
+def _contrast(blocks: DataFrame, points: list[np.ndarray], ridge: float) -> list[tuple[float, np.ndarray]]:
+    """For each half, value and gradient of telling positives from unlabelled ones there, both weighing the same."""
+    width = 2 * (SIZE + 2)
 
     def part(kind: str, e: Examples, w: np.ndarray) -> np.ndarray:
-        if not kind.endswith(half):
-            return np.zeros(2 * (SIZE + 2))
-        z, y = e.margins(w), float(kind.startswith("pos"))
-        return _side(kind, np.r_[e.back(e.y * (sigmoid(z) - y), SIZE), e.y @ np.logaddexp(0.0, -z if y else z), e.y.sum()])
+        z, y = e.margins(w[SIZE:] if kind.endswith("1") else w[:SIZE]), float(kind.startswith("pos"))
+        own = _side(kind, np.r_[e.back(e.y * (sigmoid(z) - y), SIZE), e.y @ np.logaddexp(0.0, -z if y else z), e.y.sum()])
+        return np.r_[np.zeros(width), own] if kind.endswith("1") else np.r_[own, np.zeros(width)]
 
-    total = sums(blocks, w, part, 2 * (SIZE + 2))
-    value, gradient = _ridge(w, ridge)
-    for side in (total[: SIZE + 2], total[SIZE + 2 :]):
-        value, gradient = value + side[SIZE] / max(1.0, side[-1]) / 2, gradient + side[:SIZE] / max(1.0, side[-1]) / 2
-    return value, gradient
+    total = sums(blocks, np.concatenate(points), part, 2 * width)
+    out = []
+    for w, half in zip(points, (total[:width], total[width:])):
+        value, gradient = _ridge(w, ridge)
+        for side in (half[: SIZE + 2], half[SIZE + 2 :]):
+            value, gradient = value + side[SIZE] / max(1.0, side[-1]) / 2, gradient + side[:SIZE] / max(1.0, side[-1]) / 2
+        out.append((value, gradient))
+    return out
 
 
-def estimate_prior(blocks: DataFrame, w0: np.ndarray, w1: np.ndarray) -> float:
+def estimate_prior(blocks: DataFrame, w0: np.ndarray, w1: np.ndarray, slack: float = 0.01) -> float:
     """The least ratio, over score thresholds, of the unlabelled share above to the positive share above.
 
     The mean over the halves of all texts, each scored by the weights of the other half, which
     have not seen it.  Both shares carry a deviation bound, so a threshold with few rows above
-    does not decide.  Two standard errors, 0.01 at most, are taken off: with a prior that is too
+    does not decide.  Two standard errors, ``slack`` at most, are taken off: with a prior that is too
     high the risk is least if everything is accepted, one a little low costs little.
     """
     width = 2 * SCORE_BINS
@@ -184,7 +190,7 @@ def estimate_prior(blocks: DataFrame, w0: np.ndarray, w1: np.ndarray) -> float:
     total = sums(blocks, np.r_[w0, w1], part, 2 * width)
     prior = np.mean([_best_bin(x[:SCORE_BINS], x[SCORE_BINS:]) for x in (total[:width], total[width:])])
     n_unl = max(1.0, (total[SCORE_BINS:width].sum() + total[width + SCORE_BINS :].sum()) / 2)
-    return float(np.clip(prior - min(0.01, 2 * np.sqrt(prior * (1 - prior) / n_unl)), 0.001, 0.995))
+    return float(np.clip(prior - min(slack, 2 * np.sqrt(prior * (1 - prior) / n_unl)), 0.001, 0.995))
 
 
 def _best_bin(pos: np.ndarray, unl: np.ndarray) -> float:
