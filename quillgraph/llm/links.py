@@ -20,19 +20,24 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = durable(edges.distinct())
-    seen = None
     while True:
         edges = durable(_small_star(_large_star(edges)))
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _all_stars(edges):
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        seen = mark
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every vertex either points once, at a vertex that points nowhere, or does not point at all."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("points")), F.struct(F.col("v").alias("x"), F.lit(0).alias("points")))).alias("e")).select("e.*")
+    wrong = (F.sum("points") > 1) | ((F.sum("points") == 1) & (F.min("points") == 0))
+    return ends.groupBy("x").agg(wrong.alias("wrong")).filter("wrong").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Repeated edges may come out; the small stars take them away."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

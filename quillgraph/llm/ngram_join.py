@@ -14,8 +14,12 @@ Which pairs are counted:
    enough in size and in non-unique n-grams, are candidates.
 3. *Groups.*  A large group of near copies would have a pair for every two members.  While many
    candidates are left, each n-gram has a pivot among its members and each member is only counted
-   against one of its pivots; members that are in one component by then need no pair.  What is
-   left, between different components, is counted in full.  Components are thus those of all links.
+   against one of its pivots; members that are in one component by then need no pair.
+4. *Blocks.*  What is left, between different components, is counted in full.  N-grams with few open
+   pairs give them as rows.  Classes tied by crowded n-grams are a candidate group; its classes are
+   dealt to blocks of bounded size, a task gets two blocks, counts their overlaps fragment by fragment
+   into one small matrix, gives up pairs that can no longer reach the threshold, and returns a
+   spanning forest of the links.  Components are thus those of all links.
 
 N-grams are 64-bit hashes of whole words; so are class ids, hashes of the whole set.
 """
@@ -23,7 +27,7 @@ N-grams are 64-bit hashes of whole words; so are class ids, hashes of the whole
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import semi_join
 from quillgraph.llm.links import components
-from quillgraph.operators.skew import salted_join
+from quillgraph.llm.word_hash import Words, runs
+from quillgraph.operators.skew import lookup_join, salted_join
 from quillgraph.session import durable
 
 WORDS = 5
@@ -43,70 +48,30 @@ FRAGMENTS = 8
 #: candidates per prefix n-gram above which pivots are used first
 PAIRS_PER_ROW = 4
 BINS = 64
-_PIECE = 1 << 18
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_IS_GAP = np.zeros(256, dtype=bool)
-_IS_GAP[[32, *range(9, 14)]] = True
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as far as needed so far."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, _INVERSE)], dtype=np.uint64)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a byte string, by differences of one running polynomial sum."""
-    gap = _IS_GAP[raw]
-    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    up, down = _POWERS.upto(len(raw))
-    running = np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw]) * up, dtype=np.uint64)
-    before = np.where(start > 0, running[start - 1], np.uint64(0))
-    return _mix((running[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * _STEP)
+#: classes and n-grams of a block of a candidate group, about
+BLOCK_CLASSES = 512
+BLOCK_TOKENS = 1 << 20
+#: n-grams compared at once in a block pair
+_COLUMNS = 4096
+#: characters of the texts a task holds as n-grams at once
+_PIECE = 1 << 22
+WORD_HASHES = Words(b" \t\n\x0b\x0c\r")
 
 
 def shingles(text: str) -> np.ndarray:
     """The text's set of n-gram hashes in rising order; fewer words than one n-gram count as one."""
-    raw, parts, k = text.encode(), [], 0
-    while k < len(raw):
-        cut = _GAP.search(raw, k + _PIECE)
-        stop = cut.start() if cut else len(raw)
-        parts.append(_word_hashes(np.frombuffer(raw, np.uint8, stop - k, k)))
-        k = stop
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    n = len(words)
-    if n == 0:
-        return words
-    width = min(n, WORDS)
-    out = words[: n - width + 1] + np.uint64(width)
-    for i in range(1, width):
-        out = out * _BASE + words[i : n - width + 1 + i]
-    return np.unique(_mix(out))
+    words = WORD_HASHES.spans(text.encode())[0]
+    return np.unique(runs(words, min(len(words), WORDS))) if len(words) else words
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches cut into pieces of about ``_PIECE`` characters, whatever the session's batch size is."""
+    for batch in batches:
+        size = batch["text"].map(len).to_numpy(dtype=np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // _PIECE, prepend=0))
+        for start, stop in zip(np.r_[0, cut], np.r_[cut, len(batch)]):
+            if stop > start:
+                yield batch.iloc[start:stop]
 
 
 def class_id(tokens: np.ndarray) -> int:
@@ -131,12 +96,12 @@ def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, fp) of every row: size of its set and class, null for texts without words."""
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingles(t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"],
-                    "text_hash": batch["text_hash"],
+                    "doc_id": batch["doc_id"].to_numpy(),
+                    "text_hash": batch["text_hash"].to_numpy(),
                     "n": [len(s) for s in sets],
                     "fp": pd.Series([class_id(s) if len(s) else None for s in sets], dtype="Int64"),
                 }
@@ -152,12 +117,12 @@ def alive_classes(docs: DataFrame) -> DataFrame:
 
     The prefix of a set in hash order has ``n - needed(n) + slack(n)`` n-grams; linked sets share
     at least the smaller slack of the two within both prefixes.  N-grams met in two classes of a
-    batch are settled there and leave it as one row, so a very common one makes a row a batch.
+    piece of a batch are settled there and leave it as one row, so a very common one makes a row a piece.
     """
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(_pieces(batches)):
             seen, fps, sizes, prefixes = set(), [], [], []
             for text in batch["text"]:
                 tokens = shingles(text)
@@ -193,7 +158,7 @@ def alive_classes(docs: DataFrame) -> DataFrame:
 
 def _token_sets(docs: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [s for s in map(shingles, batch["text"]) if len(s)]
             yield pd.DataFrame({"fp": pd.Series([class_id(s) for s in sets], dtype="int64"), "tokens": [s.view(np.int64) for s in sets]})
 
@@ -201,17 +166,18 @@ def _token_sets(docs: DataFrame) -> DataFrame:
 
 
 def ordered_sets(docs: DataFrame, classes: DataFrame, fragments: int) -> DataFrame:
-    """(fp, n, s, shared) of the alive classes: ``shared`` holds the s n-grams that other alive
-    classes have too, as (level, token, fragment) in the global order.
+    """(fp, n, s, tokens, cuts, outline) of the alive classes: ``tokens`` are the s n-grams that other alive
+    classes have too, in the global order, and ``cuts`` where each fragment ends in them.
 
     The order is by level, the logarithm of the number of classes in quarter steps, then by
     hash.  The fragments cut it where each has the same share of all occurrences.
     """
     alive = durable(alive_classes(docs).join(classes, "fp").select("fp", "doc_id"))
     texts = semi_join(docs.select("doc_id", "text"), alive.select("doc_id").distinct(), ["doc_id"])
-    sets = semi_join(_token_sets(texts), alive.select("fp"), ["fp"])
-    sets = durable(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens")))
-    each = sets.select("fp", "n", F.explode("tokens").alias("token"))
+    sets = durable(semi_join(_token_sets(texts), alive.select("fp"), ["fp"]))
+    if sets.count() > alive.count():  # an id stands on several rows
+        sets = durable(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")))
+    each = sets.select("fp", F.explode("tokens").alias("token"))
     level = F.floor(4 * F.log2(F.col("df").cast("double"))).cast("int")
     known = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", "df", level.alias("level"))
     loads = {r["level"]: r["load"] for r in known.groupBy("level").agg(F.sum("df").alias("load")).collect()}  # at most 256 levels
@@ -223,10 +189,14 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, fragments: int) -> DataFra
     load = F.array(*[F.lit(float(loads.get(k, 0))) for k in range(len(edges))])
     place = F.get(first, F.col("level")) + (F.col("token") / F.lit(float(1 << 64)) + 0.5) * F.get(load, F.col("level"))
     fragment = F.least(F.lit(fragments - 1), F.floor(place * fragments / total).cast("int"))
-    met = each.join(known, "token").select("fp", "n", F.struct("level", "token", fragment.alias("fragment")).alias("x"))
-    found = met.groupBy("fp").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("x")).alias("shared"))
-    found = found.withColumn("s", F.size("shared")).filter(F.col("s") >= needed(F.col("n")))
-    return durable(found.withColumn("outline", _outline(F.transform("shared", lambda x: x["token"]))))
+    # inside a level the fragment rises with the token, so level and fragment in one number keep the order
+    met = each.join(known, "token").select("fp", F.struct((F.col("level") * fragments + fragment).alias("at"), "token").alias("x"))
+    found = met.groupBy("fp").agg(F.sort_array(F.collect_list("x")).alias("x")).join(sets.select("fp", F.size("tokens").alias("n")), "fp")
+    upto = lambda k: F.size(F.filter("x", lambda x: x["at"] % fragments <= k))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), upto)
+    found = found.withColumn("s", F.size("x")).filter(F.col("s") >= needed(F.col("n")))
+    found = found.select("fp", "n", "s", F.transform("x", lambda x: x["token"]).alias("tokens"), cuts.alias("cuts"))
+    return durable(found.withColumn("outline", _outline(F.col("tokens"))))
 
 
 def _outline(tokens: Column) -> Column:
@@ -272,36 +242,56 @@ def join_components(sets: DataFrame) -> DataFrame:
     """(id, root): components of the links between the classes of ``sets``."""
     spark = sets.sparkSession
     take = (F.col("n") - needed(F.col("n")) + 1) - (F.col("n") - F.col("s"))
-    postings = durable(sets.select("fp", "n", "s", F.explode(F.slice("shared", F.lit(1), take)).alias("x")).select("fp", "n", "s", "x.token"))
-    of_fragment = lambda k: F.transform(F.filter("shared", lambda x: x["fragment"] == k), lambda x: x["token"])
+    prefixes = durable(sets.select("fp", "n", "s", F.slice("tokens", F.lit(1), take).alias("prefix")))
+    start = lambda k: F.lit(0) if not k else F.get("cuts", F.lit(k - 1))
+    of_fragment = lambda k: F.slice("tokens", start(k) + 1, F.get("cuts", F.lit(k)) - start(k))
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("fragment"), of_fragment(k).alias("tokens")) for k in range(FRAGMENTS)]))
     segments = sets.select("fp", parts.alias("p")).select("fp", "p.fragment", "p.tokens").filter(F.size("tokens") > 0)
-    rows = postings.count()
+    rows = sets.agg(F.coalesce(F.sum(take), F.lit(0))).first()[0]
     links, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, root long")
     before, tries = None, 0
     while True:
-        placed = postings.join(roots, postings["fp"] == roots["id"], "left").select("token", "fp", "n", "s", F.coalesce("root", "fp").alias("root"))
-        placed = durable(_open(placed))
+        placed = durable(_open(_with_roots(prefixes, roots)) if tries else _met(prefixes))
         left = placed.select("token", "open").distinct().agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
         if not left:
             return roots
-        last = tries > 0 and (left <= PAIRS_PER_ROW * rows or left > 0.7 * before)
-        pairs = _rest(placed) if last else _to_pivot(placed, tries)
-        found = durable(count_overlaps(outlines_allow(pairs, sets), segments))
+        # a block pair takes BLOCK_CLASSES open pairs for each row it moves, so pivots stop where blocks are cheap
+        last = left <= PAIRS_PER_ROW * rows * (BLOCK_CLASSES if tries else 1) or (tries > 0 and left > 0.7 * before)
+        if last:
+            found = durable(_rest(placed, sets, segments))
+        else:
+            found = durable(count_overlaps(outlines_allow(_to_pivot(placed, tries), sets), segments))
         if not found.isEmpty():
             links = durable(links.unionByName(found))
             roots = components(links)
         if last:
             return roots
-        postings = placed.select("token", "fp", "n", "s")  # an n-gram in one component stays in one
         before, tries = left, tries + 1
 
 
+def _postings(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select("fp", "n", "s", "root", F.explode("prefix").alias("token"))
+
+
+def _with_roots(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The prefix n-grams of every class with its component, which joins the classes before they are taken apart."""
+    met = prefixes.join(roots, prefixes["fp"] == roots["id"], "left")
+    return _postings(met.select("fp", "n", "s", "prefix", F.coalesce("root", "fp").alias("root")))
+
+
+def _met(prefixes: DataFrame) -> DataFrame:
+    """As ``_open`` while every class is a component of its own: members of n-grams that two classes have."""
+    postings = _postings(prefixes.withColumn("root", F.col("fp")))
+    members = F.count(F.lit(1)).cast("double")
+    per_token = postings.groupBy("token").agg((members * (members - 1) / 2).alias("open"), F.max("fp").alias("most"), members.alias("members"))
+    return postings.join(per_token.filter("open > 0"), "token")
+
+
 def _open(placed: DataFrame) -> DataFrame:
-    """Members of n-grams with more than one component, with ``most`` (the largest) and ``open`` pairs."""
+    """Members of n-grams with more than one component, with ``most`` (the largest), ``open`` pairs and ``members``."""
     per_root = placed.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("c"))
     members, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
-    per_token = per_root.groupBy("token").agg(((members * members - squares) / 2).alias("open"), F.max_by("root", F.struct("c", "root")).alias("most"))
+    per_token = per_root.groupBy("token").agg(((members * members - squares) / 2).alias("open"), F.max_by("root", F.struct("c", "root")).alias("most"), members.alias("members"))
     return placed.join(per_token.filter("open > 0"), "token")
 
 
@@ -321,21 +311,132 @@ def _to_pivot(placed: DataFrame, tries: int) -> DataFrame:
     return _distinct(best.select("a", "x.*"))
 
 
-def _rest(placed: DataFrame) -> DataFrame:
-    """All candidates between components: members outside an n-gram's largest component with all others."""
+def _rest(placed: DataFrame, sets: DataFrame, segments: DataFrame) -> DataFrame:
+    """Links (a, b) that tie all components together that have links between them."""
+    crowded = F.col("open") > PAIRS_PER_ROW * F.col("members")
+    few = count_overlaps(outlines_allow(_few_pairs(placed.filter(~crowded)), sets), segments)
+    many = durable(placed.filter(crowded).select("token", "fp", "root"))
+    return few if many.isEmpty() else few.unionByName(_block_links(many, sets))
+
+
+def _few_pairs(placed: DataFrame) -> DataFrame:
+    """Candidates between components, some a row: members outside an n-gram's largest component with all others."""
     one = placed.filter(F.col("root") != F.col("most")).select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("root").alias("root_a"))
     two = placed.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b"), "most")
     once = (F.col("root_b") == F.col("most")) | (F.col("a") < F.col("b"))
     return _distinct(one.join(two, "token").filter((F.col("root_a") != F.col("root_b")) & once & _may_link("a", "b")))
 
 
+def _candidate_groups(placed: DataFrame) -> DataFrame:
+    """(fp, root, grp, inside): classes tied by n-grams; ``inside`` are those of the group's largest component."""
+    first = placed.groupBy("token").agg(F.min("fp").alias("first"))
+    ties = placed.join(first, "token").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+    grouped = components(ties).withColumnRenamed("root", "grp")
+    known = placed.select("fp", "root").distinct().join(grouped, placed["fp"] == grouped["id"], "left").select("fp", "root", F.coalesce("grp", "fp").alias("grp"))
+    known = durable(known)
+    sizes = known.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("n"))
+    met = lookup_join(known, most.drop("n"), ["grp"], by=["fp"], counts=most.select("grp", "n"))
+    return met.select("fp", "root", "grp", (F.col("root") == F.col("most")).alias("inside"))
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Classes dealt to the pairs of blocks (grp, cells, i, j) they take part in, with their side.
+
+    A cell holds classes of one group that are alike in size, inside or outside of the group's largest
+    component.  Cells of one size or the next one meet, but for two inside cells.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.34)).cast("int")
+    rows = rows.withColumn("cell", 2 * band + F.col("inside").cast("int"))
+    load = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("s") / BLOCK_TOKENS)
+    cells = durable(rows.groupBy("grp", "cell").agg(F.ceil(load).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")))
+    one, two = (cells.select("grp", F.col("cell").alias(x), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
+    meets = (F.col("a") <= F.col("b")) & (F.floor(F.col("b") / 2) - F.floor(F.col("a") / 2) <= 1) & ~((F.col("a") % 2 == 1) & (F.col("b") % 2 == 1))
+    met = one.join(two, "grp").filter(meets)  # a group has few cells: one for each size and side
+    side = lambda x, y, k: F.struct(F.col(x).alias("cell"), F.struct("a", "b").alias("cells"), F.lit(k).alias("side"), F.col(f"blocks_{x}").alias("own"), F.col(f"blocks_{y}").alias("other"))
+    ends = F.when(F.col("a") == F.col("b"), F.array(side("a", "b", 2))).otherwise(F.array(side("a", "b", 0), side("b", "a", 1)))
+    ends = met.select("grp", F.explode(ends).alias("e")).select("grp", "e.*")
+    dealt = lookup_join(rows, ends, ["grp", "cell"], by=["fp"], counts=cells.select("grp", "cell", "n"))
+    here = F.pmod(F.xxhash64("fp"), "own").cast("int")
+    dealt = dealt.withColumn("at", here).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    low = F.when(F.col("side") == 0, F.col("at")).when(F.col("side") == 1, F.col("k")).otherwise(F.least("at", "k"))
+    high = F.when(F.col("side") == 0, F.col("k")).when(F.col("side") == 1, F.col("at")).otherwise(F.greatest("at", "k"))
+    kind = F.when(F.col("side") < 2, F.col("side")).when(F.col("at") == F.col("k"), F.lit(2)).otherwise((F.col("at") > F.col("k")).cast("int"))
+    return dealt.select("grp", "cells", low.alias("i"), high.alias("j"), kind.alias("side"), "fp", "root", "n", "tokens", "cuts")
+
+
+def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """A spanning forest (a, b) of the links between the components of each candidate group."""
+    rows = _candidate_groups(placed).join(sets.select("fp", "n", "s", "tokens", "cuts"), "fp")
+    return _block_pairs(rows).groupBy("grp", "cells", "i", "j").applyInPandas(_forest, "a long, b long")
+
+
+def _forest(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of two blocks (sides 0 and 1) or of one (side 2).
+
+    Overlaps are counted by fragment, as products of incidence matrices; after each, pairs that cannot
+    reach the threshold with all that is left are given up, and classes without a pair leave.
+    """
+    side, fp, root = (block[c].to_numpy() for c in ("side", "fp", "root"))
+    n, size = block["n"].to_numpy().astype(np.int64), block["tokens"].map(len).to_numpy().astype(np.int64)
+    tokens, cuts = block["tokens"].to_numpy(), block["cuts"].to_numpy()
+    one = np.flatnonzero(side != 1)
+    two = np.flatnonzero(side != 0)
+    need = -(-3 * (n[one][:, None] + n[two][None, :]) // 7)
+    overlap = np.zeros(need.shape, dtype=np.int64)
+    done = np.zeros(len(fp), dtype=np.int64)
+    open_ = root[one][:, None] != root[two][None, :]
+    for k in range(FRAGMENTS):
+        left = size - done
+        open_ &= overlap + np.minimum(left[one][:, None], left[two][None, :]) >= need
+        if not open_.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        a, b = ([tokens[x][done[x] : cuts[x][k]] for x in ids] for ids in (one[rows], two[cols]))
+        overlap[np.ix_(rows, cols)] += _common(a, b)
+        done = np.array([c[k] for c in cuts], dtype=np.int64)
+    r, c = np.nonzero(open_ & (overlap >= need))
+    r, c = one[r], two[c]
+    tree, last = np.arange(len(fp)), None
+    while last is None or (tree != last).any():
+        last = tree.copy()
+        np.minimum.at(tree, r, last[c])
+        np.minimum.at(tree, c, last[r])
+        tree = tree[tree]
+    tied = np.flatnonzero(tree != np.arange(len(fp)))
+    return pd.DataFrame({"a": fp[tied], "b": fp[tree[tied]]})
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``a`` shares with each of ``b``; values of an array differ."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    flat = [np.concatenate(x) for x in (a, b)]
+    shared = np.intersect1d(*flat)
+    at, row = [], []
+    for values, x in zip(flat, (a, b)):
+        place = np.searchsorted(shared, values)
+        known = np.flatnonzero(shared[np.minimum(place, len(shared) - 1)] == values) if len(shared) else np.zeros(0, np.int64)
+        order = known[np.argsort(place[known], kind="stable")]
+        at.append(place[order])
+        row.append(np.repeat(np.arange(len(x)), [len(v) for v in x])[order])
+    for start in range(0, len(shared), _COLUMNS):  # bounded: a block's rows times _COLUMNS
+        marks = []
+        for place, r, x in zip(at, row, (a, b)):
+            lo, hi = np.searchsorted(place, [start, start + _COLUMNS])
+            mark = np.zeros((len(x), min(_COLUMNS, len(shared) - start)), dtype=np.float32)
+            mark[r[lo:hi], place[lo:hi] - start] = 1
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
 def _distinct(pairs: DataFrame) -> DataFrame:
     low = F.col("a") < F.col("b")
     end = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
     return pairs.select(end("a", "b").alias("a"), end("b", "a").alias("b"), end("n_a", "n_b").alias("n_a"), end("n_b", "n_a").alias("n_b")).distinct()
 
 
-def join(docs: DataFrame, *, fragments: int = FRAGMENTS) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, first_hash.
 
     Two documents link at a Jaccard similarity of 0.75 or more of their distinct 5-word
@@ -347,7 +448,7 @@ def join(docs: DataFrame, *, fragments: int = FRAGMENTS) -> DataFrame:
     rows = durable(digest(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     classes = durable(rows.filter("n > 0").groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("rows")).withColumn("doc_id", F.col("first.doc_id")))
-    roots = join_components(ordered_sets(docs, classes.select("fp", "doc_id"), fragments))
+    roots = join_components(ordered_sets(docs, classes.select("fp", "doc_id"), FRAGMENTS))
     inside = classes.join(roots, classes["fp"] == roots["id"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     labels = inside.join(inside.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("first_hash"))
     hot = classes.select("fp", F.col("rows").alias("n"))
