@@ -2,15 +2,18 @@
 
 import collections
 import itertools
+import math
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decision_list, mixing, ngram_join, packing, page_text, pu_quality, sharding, token_counts, toxicity, vector_dedup
-from quillgraph.llm.linear import Examples, minimise
+from quillgraph.llm import decision_list, mixing, ngram_join, packing, page_text, pu_quality, sharding, token_counts, toxicity, vector_dedup, word_hash
+from quillgraph.llm.linear import Examples, descent, minimise, minimise_all
 from quillgraph.llm.links import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,7 +114,16 @@ def test_rules_without_labels_or_rows(docs, empty, labels, no_labels):
 def test_minimise_finds_a_quadratic_minimum():
     a = np.diag([1.0, 50.0, 400.0])
     want = np.array([1.0, -2.0, 0.5])
-    got = minimise(lambda w: ((w - want) @ a @ (w - want) / 2, a @ (w - want)), 3, 100, tolerance=1e-9)
+    objective = lambda w: ((w - want) @ a @ (w - want) / 2, a @ (w - want))
+    got = minimise(objective, 3, 100)
+    both = minimise_all(lambda points: [objective(points[0]), objective(-points[1])], 2, 3, 1)
+    assert (both[0] == 0).all() and (both[1] == 0).all()  # one call each
+    walk = descent(3, 100, tolerance=1e-9)
+    point = next(walk)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            point = walk.send(objective(point))
+    got = end.value.value
     assert np.allclose(got, want, atol=1e-6)
 
 
@@ -168,6 +180,26 @@ def test_pu_quality_takes_all_texts_as_unlabelled(spark, monkeypatch):
     assert seen["unl0"] + seen["unl1"] == 25_000 and seen["pos0"] + seen["pos1"] == 300 and len(seen) == 4
 
 
+def test_pu_risk_and_gradient_by_hand(spark):
+    """The non-negative risk over packed blocks against a plain sum over 200 texts, and its slope."""
+    rng = random.Random(4)
+    texts = [prose(k, rng.randint(0, 40)) + rng.choice(["", " # | #", " 12 34", " A. B!"]) for k in range(200)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    positives = spark.createDataFrame([(k, 1) for k in range(0, 200, 5)], "doc_id long, y int")
+    blocks = pu_quality.packed(docs, positives)
+    w = np.random.default_rng(2).normal(size=pu_quality.SIZE) / 5
+    margin = np.array([w[pu_quality.columns(t)].sum() for t in texts])
+    pos = margin[::5]
+    for prior in (0.3, 0.99):  # the second makes the negative part vanish
+        left = np.logaddexp(0, margin).mean() - prior * np.logaddexp(0, pos).mean()
+        want = prior * np.logaddexp(0, -pos).mean() + max(0.0, left) + 1e-3 * (w[:-1] ** 2).sum() / 2
+        value, gradient = pu_quality._risk(blocks, w, prior, 1e-3)
+        assert value == pytest.approx(want)
+        direction = np.random.default_rng(3).normal(size=pu_quality.SIZE)
+        up, down = (pu_quality._risk(blocks, w + e * direction, prior, 1e-3)[0] for e in (1e-5, -1e-5))
+        assert gradient @ direction == pytest.approx((up - down) / 2e-5, rel=1e-4)
+
+
 def test_pu_quality_edge_rows(docs, rows, empty, labels, no_labels):
     weights = pu_quality.fit(docs, labels)
     got = pu_quality.scored(clashing(docs, "score", "kind"), weights)
@@ -259,10 +291,11 @@ def edited(base, rng, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("pairs_per_row", [4, 0])
-def test_ngram_join_of_near_groups(spark, monkeypatch, pairs_per_row):
-    """Groups around the threshold, chains, a shared passage; with pivots from the start and without."""
+@pytest.mark.parametrize(("pairs_per_row", "block_classes"), [(4, 512), (0, 512), (0, 7)])
+def test_ngram_join_of_near_groups(spark, monkeypatch, pairs_per_row, block_classes):
+    """Groups around the threshold, chains, a shared passage; with pivots from the start and without, blocks large and small."""
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", pairs_per_row)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block_classes)
     rng = random.Random(9)
     base, passage = prose(50, 200), prose(51, 60)
     texts = [edited(base, rng, rng.randint(0, 9)) for _ in range(60)]
@@ -276,6 +309,48 @@ def test_ngram_join_of_near_groups(spark, monkeypatch, pairs_per_row):
     assert joined(spark.createDataFrame(rows, DOCS).repartition(5)) == plain_components(rows)
 
 
+def test_block_forest_ties_what_brute_force_links():
+    """3,000 near copies around the threshold, in blocks as the operator deals them: the same components, few rows."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 120)
+    sets = []
+    for k in range(3000):
+        lost = rng.random(120) < rng.choice([0.05, 0.14, 0.3])
+        sets.append(np.unique(np.r_[base[~lost], rng.integers(0, 1 << 60, lost.sum())]))
+    # fragments cut one global order: here by value
+    edges = [int((1 << 60) * (k + 1) / ngram_join.FRAGMENTS) for k in range(ngram_join.FRAGMENTS)]
+    cuts = [np.searchsorted(s, edges).tolist() for s in sets]
+    frame = pd.DataFrame({"fp": range(3000), "root": range(3000), "n": [len(s) for s in sets], "tokens": sets, "cuts": cuts})
+    vocabulary = {t: k for k, t in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    mark = np.zeros((3000, len(vocabulary)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        mark[k, [vocabulary[t] for t in s.tolist()]] = 1
+    both = (mark @ mark.T).astype(np.int64)
+    size = np.array([len(s) for s in sets])
+    links = 7 * both >= 3 * (size[:, None] + size[None, :])
+
+    def roots(pairs):
+        parent = list(range(3000))
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in pairs:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(x) for x in range(3000)]
+
+    found, block = [], 500
+    for i in range(0, 3000, block):
+        for j in range(i, 3000, block):
+            rows = frame.iloc[i : i + block].assign(side=2) if i == j else pd.concat([frame.iloc[i : i + block].assign(side=0), frame.iloc[j : j + block].assign(side=1)])
+            made = ngram_join._forest(rows)
+            assert len(made) < 2 * block
+            found += list(zip(made["a"], made["b"]))
+    assert roots([(int(a), int(b)) for a, b in found]) == roots(np.argwhere(np.triu(links, 1)).tolist())
+
+
 def test_keep_first(docs, rows):
     got = sorted((tuple(r) for r in ngram_join.keep_first(clashing(docs, "n", "fp")).select("doc_id", "text").collect()), key=str)
     want, seen = [], set()
@@ -289,7 +364,7 @@ def test_keep_first(docs, rows):
 def test_shingles_of_pieces(monkeypatch):
     text = prose(7, 400)
     whole = ngram_join.shingles(text)
-    monkeypatch.setattr(ngram_join, "_PIECE", 16)
+    monkeypatch.setattr(word_hash, "_PIECE", 16)
     assert (ngram_join.shingles(text) == whole).all() and len(whole) == len(ngram_set(text))
 
 
@@ -354,6 +429,27 @@ def test_mix_is_dealt_to_equal_shards(spark):
         assert run == sorted(run)
 
 
+def test_taken_comes_from_the_drawn_mix(spark, docs, rows, empty, monkeypatch):
+    data = [(k, prose(k, 12), "en", f"s{k % 4}", 0) for k in range(600)] + [(None, "a b", None, None, None)] * 2 + [(5, None, None, "s1", None)]
+    frame = spark.createDataFrame(data, DOCS)
+    drawn = collections.defaultdict(list)
+    for r in mixing.mix(frame, shard_words=700).collect():
+        drawn[(r["doc_id"], r["text"])].append(r["shard"])
+    got = mixing.taken(clashing(frame, "size", "shards"), shard_words=700).collect()
+    assert len(got) == len(data)
+    seen = collections.defaultdict(list)
+    texts = {d: t for d, t, *_ in data if t is not None}
+    for r in got:
+        assert r["taken"] == r["size"] * len(r["shards"]) and r["shards"] == sorted(r["shards"])
+        seen[(r["doc_id"], texts.get(r["doc_id"]) if r["size"] else None)] += r["shards"]
+    assert {k: sorted(v) for k, v in seen.items() if v} == {k: sorted(v) for k, v in drawn.items()}
+    assert mixing.taken(empty).count() == 0
+    quotas = mixing.shard_quotas  # a tree that deals nothing leaves no mix, and the result shows it
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: quotas(*a).filter("node < 2"))
+    wrong = mixing.taken(frame, shard_words=700).collect()
+    assert [r["shards"] for r in wrong] != [r["shards"] for r in got] and max(max(r["shards"], default=0) for r in wrong) <= 2
+
+
 def test_hypergeometric(spark):
     n = 4000
     u = [((k + 0.5) / n) for k in range(n)]
@@ -392,13 +488,33 @@ def test_vector_near_duplicates(spark, monkeypatch, cell_rows, block_rows):
     data += [(200, data[0][1]), (201, data[0][1]), (202, None), (203, [0.0] * 16), (204, [float("nan")] * 16), (205, [None] * 16)]
     data += [(206, [float("inf")] * 16), (207, [1.0, 2.0]), (208, [1.0, 2.0]), (209, []), (None, data[1][1]), (3, data[3][1])]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({"cell": F.lit(1), "m": F.lit("x"), "label": F.lit(0)})
-    got = sorted((tuple(r) for r in vector_dedup.near_duplicates(frame, margin=2.0).collect()), key=str)
-    assert got == plain_links(data)
-    found = sum(r["n_links"] for r in vector_dedup.near_duplicates(frame).collect())
+    for margin in (2.0, None):
+        got = sorted((tuple(r) for r in vector_dedup.near_duplicates(frame, margin=margin).collect()), key=str)
+        assert got == plain_links(data)
+    doubles = frame.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted((tuple(r) for r in vector_dedup.near_duplicates(doubles).collect()), key=str) == got
+    found = sum(r["n_links"] for r in vector_dedup.near_duplicates(frame, margin=0.15).collect())
     assert found >= 0.9 * sum(n for _, n, *_ in got)
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [16, 64])
+def test_visits_lose_no_pair_at_the_threshold(width):
+    """Pairs at cosine 0.9 among 1,024 cells: every one meets, and a pair that can meet twice is told apart."""
+    rng = np.random.default_rng(width)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centers, x = unit(rng.normal(size=(1024, width))), unit(rng.normal(size=(400, width)))
+    aside = rng.normal(size=x.shape)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    for margin, least_recall in ((None, 1.0), (0.15, 0.9)):
+        near = [v @ centers.T for v in (x, y)]
+        home = [n.argmax(axis=1) for n in near]
+        seen = [vector_dedup._visits(n, centers, 0.9 - 1e-12, margin) for n in near]
+        rows = np.arange(len(x))
+        meets = seen[0][rows, home[1]] | seen[1][rows, home[0]]
+        assert meets.mean() >= least_recall
+
+
 # tokens
 
 def test_token_counts(spark, docs, rows, empty):
@@ -500,3 +616,79 @@ def test_shards(docs, rows, limit, spark):
 
 def test_shards_of_nothing(empty):
     assert sharding.shard(empty, 100).count() == 0
+
+
+DEEP = {
+    "nested blocks": "<div>" * 100_000 + "x" + "</div>" * 100_000,
+    "open inline tags": "<p>" + "<span>" * 100_000 + "x",
+    "blocks in a table in a paragraph": "<p><table><tr><td>" + "<div><p>x" * 30_000,
+    "open lists": "<ul>" + "<li>x<ul>" * 30_000,
+    "tags cut off": "<p>x</p>" + "<a " * 100_000,
+    "open comments": "<p>x</p>" + "<!-- " * 100_000,
+    "open attributes": "<p>x</p>" + '<a b="' * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_pages_take_time_in_proportion(name):
+    start = time.perf_counter()
+    assert page_text.main_text(DEEP[name]).startswith("x")
+    assert time.perf_counter() - start < 15  # seconds; quadratic work takes minutes
+
+
+def plain_density(node, body):
+    """(density, sum over block children) of a nested (tag, own characters, children), straight from the definition."""
+
+    def below(n, linked=False):
+        tag, own, children = n
+        linked = linked or tag == "a"
+        parts = [below(c, linked) for c in children]
+        chars, links = own + sum(p[0] for p in parts), (own if linked else 0) + sum(p[1] for p in parts)
+        tags = len(children) + sum(p[2] for p in parts)
+        link_tags = sum(1 for c in children if linked or c[0] == "a") + sum(p[3] for p in parts)
+        return chars, links, tags, link_tags
+
+    def density(n, linked):
+        chars, links, tags, link_tags = below(n, linked)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - links) * links + body * chars + math.e)
+        ratio = max(1.0, chars / max(1, links) * max(1, tags) / max(1, link_tags))
+        return chars / max(1, tags) * math.log(ratio) / max(1.0, math.log(base))
+
+    out = []
+
+    def walk(n, linked):
+        inside = linked or n[0] == "a"
+        out.append((density(n, inside), sum(density(c, inside or c[0] == "a") for c in n[2] if c[0] in page_text.BLOCK)))
+        for c in n[2]:
+            walk(c, inside)
+
+    walk(node, False)
+    return out, below(node)
+
+
+def test_densities_by_definition():
+    rng = random.Random(11)
+
+    def grow(depth):
+        children = [grow(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return (rng.choice(["div", "p", "a", "b", "section", "span"]), rng.choice([0, 3, 40, 400]), children)
+
+    for _ in range(20):
+        root = ("body", 5, [grow(4) for _ in range(3)])
+        tags, parents, chars = [], [], []
+
+        def listed(n, above):
+            tags.append(n[0])
+            parents.append(above)
+            chars.append(n[1])
+            here = len(tags) - 1
+            for c in n[2]:
+                listed(c, here)
+
+        listed(root, -1)
+        total, links, *_ = plain_density(root, 0.0)[1]
+        want, _ = plain_density(root, links / max(1, total))
+        got = list(zip(*page_text.densities(tags, parents, chars)))
+        assert got == [pytest.approx(w) for w in want]
