@@ -11,18 +11,18 @@ from quillgraph.session import durable
 _ROW_BITS = (1 << 33) - 1
 
 
-def dense_ids(values: DataFrame, key: str, id_name: str = "id", *, first: int = 0, partitions: int | None = None) -> DataFrame:
+def dense_ids(values: DataFrame, key: str, id_name: str = "id", *, first: int = 0, partitions: int | None = None, counts: str | None = None) -> DataFrame:
     """One row per distinct non-null ``key`` with an id ``first, first+1, ...`` in key order.
 
     The keys are range-sorted; an id is the row's place in its partition plus the sizes
     of the partitions before it, so no task ever holds the whole list.  The sorted keys
     are made durable first: sizes and places then come from the same sort.  The result
-    also has ``n``, the number of input rows of the key.
+    also has ``n``, the number of input rows of the key, or the sum of their ``counts``.
     """
     spark = values.sparkSession
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = values.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.filter(F.col(key).isNotNull()).groupBy(key).agg((F.sum(counts) if counts else F.count(F.lit(1))).alias("n"))
     placed = durable(
         counts.repartitionByRange(partitions, key)
         .sortWithinPartitions(key)
