@@ -8,8 +8,10 @@ shuffled, so a vertex many others point at costs no more than the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ from quillgraph.operators.skew import PART, HotKeys, count_keys, lookup_join, sa
 from quillgraph.session import durable
 
 CHANGED = "changed"
+#: edges that one task may walk, some MB
+SMALL_LINKS = 1 << 16
+#: trimming goes on while it leaves less than this share of the edges
+TRIM_WORTH = 0.95
 
 
 def vertices_of(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -250,18 +256,21 @@ def _written_out(tree: DataFrame) -> DataFrame:
 
 
 def strongly_connected_components(
-    vertices: DataFrame, edges: DataFrame, *, max_rounds: int | None = None, rounds_per_stage: int = 3
+    vertices: DataFrame, edges: DataFrame, *, max_rounds: int | None = None, rounds_per_stage: int = 3, small_links: int = SMALL_LINKS
 ) -> DataFrame:
     """(id, component): the lowest vertex id of each strongly connected component.
 
-    An outer round: (1) vertices without a way in or out are components of their own;
-    (2) the smallest labels spread until stable, along the edges and against them at once;
-    (3) a vertex that got one label from both sides lies on a cycle with the label's
+    An outer round: (1) vertices without a way in or out leave as components of their own, again and again as long
+    as that takes away a share of the edges; (2) the smallest labels spread until stable, along the edges and
+    against them at once; (3) a vertex that got one label from both sides lies on a cycle with the label's
     vertex: it belongs to that component and leaves.  Of the rest only edges between
     vertices with the same two labels stay, no component crosses the others.  Vertices are
     numbered anew in the order of a hash: with the ids themselves a long chain in id order would lose one
     vertex per round, hashes cut it into pieces, and labels are plain numbers.
 
+    Labels need as many rounds as the longest way has edges.  Once (1) has left ``small_links`` edges at most, a
+    number that does not grow with the graph, the rest is a depth-first walk in one task instead.
+
     ``max_rounds`` bounds the outer rounds; what is then left keeps its own id.
     """
     links = durable(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
@@ -277,24 +286,26 @@ def strongly_connected_components(
         one = hot.join(links.withColumnRenamed("src", "id"), at[0], by=["dst"]).withColumnRenamed("id", "src")
         return hot.join(one.withColumnRenamed("dst", "id"), at[1], by=["src"]).withColumnRenamed("id", "dst")
 
-    rest = names.select(F.col("v").alias("id"))
     found: list[DataFrame] = []
-    done = 0
+    done, size = 0, links.count()
     while max_rounds is None or done < max_rounds:
         done += 1
         # 1. trim
-        ways = degrees(links).filter((F.col("in_degree") > 0) & (F.col("out_degree") > 0)).select("id")
-        trimmed = durable(rest.join(ways.withColumn("inner", F.lit(True)), "id", "left"))
-        found.append(trimmed.filter(F.col("inner").isNull()).select("id", F.col("id").alias("root")))
-        rest = trimmed.filter("inner").select("id")
-        if rest.isEmpty():
+        before = None
+        while size and (before is None or size > small_links and size < TRIM_WORTH * before):
+            ways = degrees(links).filter((F.col("in_degree") > 0) & (F.col("out_degree") > 0)).select("id")
+            links = durable(both_ends(ways).select("src", "dst"))
+            before, size = size, links.count()
+        if not size:
+            break
+        if max_rounds is None and size <= small_links:
+            found.append(durable(links.repartition(1).mapInPandas(_walked, "id long, root long")))
             break
         # 2. labels from both sides
-        inner = both_ends(rest).select("src", "dst")
-        there = inner.select("src", "dst", F.lit(True).alias("forth"))
-        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("forth"))
+        there = links.select("src", "dst", F.lit(True).alias("forth"))
+        back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("forth"))
         labels, _ = pregel(
-            rest.select("id", F.col("id").alias("above"), F.col("id").alias("below")),
+            vertices_of(links).select("id", F.col("id").alias("above"), F.col("id").alias("below")),
             there.unionByName(back),
             hot=hot,
             send={"a": F.when(F.col("forth"), F.col("above")), "b": F.when(~F.col("forth"), F.col("below"))},
@@ -306,20 +317,54 @@ def strongly_connected_components(
         # 3. take out what agrees
         agree = F.col("above") == F.col("below")
         found.append(labels.filter(agree).select("id", F.col("above").alias("root")))
-        left = labels.filter(~agree)
         same = (F.col("src_above") == F.col("dst_above")) & (F.col("src_below") == F.col("dst_below"))
-        links = durable(both_ends(left, "above", "below").filter(same).select("src", "dst"))
-        rest = left.select("id")
-    else:
-        found.append(rest.select("id", F.col("id").alias("root")))
-    members = found[0]
-    for more in found[1:]:
-        members = members.unionByName(more)
-    members = durable(members.withColumnRenamed("id", "v").join(names, "v").select("id", "root"))
+        links = durable(both_ends(labels.filter(~agree), "above", "below").filter(same).select("src", "dst"))
+        size = links.count()
+    members = names
+    if found:
+        roots = found[0]
+        for more in found[1:]:
+            roots = roots.unionByName(more)
+        members = names.join(roots.withColumnRenamed("id", "v"), "v", "left")
+    # who is in none of them has no way in or out, or is left over
+    members = durable(members.select("id", (F.coalesce("root", "v") if found else F.col("v")).alias("root")))
     lowest = members.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n"))
     return salted_join(members, lowest.drop("n"), ["root"], by=["id"], counts=lowest.select("root", "n")).select("id", "component")
 
 
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, root) of the ends of a few links (src, dst): Tarjan's walk, with a list for the way back."""
+    rows = pd.concat([pd.DataFrame({"src": [], "dst": []}, dtype="int64"), *batches])
+    ids, ends = np.unique(rows[["src", "dst"]].to_numpy(), return_inverse=True)
+    src, dst = ends.reshape(-1, 2).T
+    order = np.argsort(src, kind="stable")
+    nexts, stops = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist()
+    at, seen, low, root, kept, count = stops[:-1], [-1] * len(ids), [0] * len(ids), [-1] * len(ids), [], 0
+    for start in range(len(ids)):
+        way = [start] if seen[start] < 0 else []
+        while way:
+            v = way[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                kept.append(v)
+            if at[v] < stops[v + 1]:
+                w = nexts[at[v]]
+                at[v] += 1
+                if seen[w] < 0:
+                    way.append(w)
+                elif root[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            way.pop()
+            if low[v] == seen[v]:
+                while root[v] < 0:
+                    root[kept.pop()] = v
+            elif way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+    yield pd.DataFrame({"id": ids, "root": ids[np.array(root, dtype=np.int64)]})
+
+
 def _hash_order(ids: DataFrame) -> DataFrame:
     """(id, v): vertices numbered in the order of a hash of their ids."""
     key = F.struct(F.xxhash64("id").alias("h"), "id").alias("key")

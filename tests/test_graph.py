@@ -109,6 +109,34 @@ def test_strongly_connected_components(graph, links):
     assert gr.named(found, names).count() == N
 
 
+def _sizes(vertices, edges, **options):
+    return {r.id: r.component for r in gr.strongly_connected_components(vertices, edges, **options).collect()}
+
+
+def test_components_by_labels_and_by_a_walk(spark, graph):
+    vertices, edges = graph
+    assert _sizes(vertices, edges, small_links=0) == _sizes(vertices, edges)
+
+
+def test_components_at_the_end_of_long_ways_need_no_round_an_edge(spark, monkeypatch):
+    """A cycle of 300 with a tail of 50: its labels would take some 300 rounds."""
+    monkeypatch.setattr(gr, "pregel", lambda *a, **k: pytest.fail("labels"))
+    ways = [(v, (v + 1) % 300) for v in range(300)] + [(v, v + 1) for v in range(299, 350)] + [(None, 4), (7, 7)]
+    edges = spark.createDataFrame(ways, "src long, dst long")
+    found = _sizes(spark.createDataFrame([(400,), (3,)], "id long"), edges)
+    assert found == {v: 0 if v < 300 else v for v in [*range(351), 400]}
+    assert _sizes(spark.range(3), edges.limit(0)) == {0: 0, 1: 1, 2: 2}
+
+
+def test_trimming_goes_on_while_it_pays(spark, monkeypatch):
+    """A tree of ways into one cycle is gone before any label is sent."""
+    sent, pregel = [], gr.pregel
+    monkeypatch.setattr(gr, "pregel", lambda v, e, **k: (sent.append(e.count()), pregel(v, e, **k))[1])
+    ways = [(v, (v - 1) // 2) for v in range(1, 127)] + [(0, 200), (200, 0)]
+    found = _sizes(spark.range(1), spark.createDataFrame(ways, "src long, dst long"), small_links=0)
+    assert found == {v: 0 if v == 200 else v for v in [*range(127), 200]} and sent == [4]
+
+
 def test_pregel_with_a_round_limit(graph):
     vertices, edges = graph
     start = vertices.select("id", F.when(F.col("id") == 20, 0).alias("hops"))
