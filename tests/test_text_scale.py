@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import arrow_text as at
 from quillgraph.operators import text as tt
 from quillgraph.operators import textrank as tr
+from quillgraph.plans.catalog import QUERIES
 from quillgraph.streaming import word_count as wc
 
 ROWS = [(1, "Boats drift under wide bridges. Boats rest."), (2, ""), (3, None), (3, "Boats drift. Boats sink"), (None, "Wide rivers, wide boats"),
@@ -50,6 +51,16 @@ def test_words_with_ids_are_not_stored(both, monkeypatch):
     assert tt.graf_nodes(tt.numbered(plain, vocab)).count() > 0
 
 
+def test_stem_counts_shuffle_no_text(spark, both, monkeypatch, tmp_path):
+    docs, plain, tokened = both
+    first = lambda word: F.substring(word, 1, 2)
+    want = rows(tt.word_table(tt.stem_table(tokened, stemmer=first)).groupBy("id", "word", "stem").agg(F.count(F.lit(1)).alias("num")))
+    monkeypatch.setattr(tt, "_in_blocks", lambda *a, **k: pytest.fail("texts dealt to blocks"))
+    assert rows(tt.stem_counts(plain, stemmer=first)) == rows(tt.stem_counts(tokened, stemmer=first)) == want != Counter()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["porter_words"](spark, str(tmp_path)).agg(F.sum("num")).first()[0] == tt.token_rows(plain).count()
+
+
 def test_term_counts_in_rows(both):
     docs, _, _ = both
     want = tt.term_counts(tt.plain_words(docs)).select("doc_id", "word", "num")
