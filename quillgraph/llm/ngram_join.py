@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import semi_join
+from quillgraph.llm.common import semi_join, small
 from quillgraph.llm.links import components
 from quillgraph.llm.word_hash import Words, runs
 from quillgraph.operators.skew import lookup_join, salted_join
@@ -224,11 +224,30 @@ def outlines_allow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(linked(most, F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
 
 
-def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, n_a, n_b) that are linked: overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("fp").alias("a"), "fragment", F.col("tokens").alias("of_a"))
-    right = segments.select(F.col("fp").alias("b"), "fragment", F.col("tokens").alias("of_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("part"))
+def _segments(sets: DataFrame) -> DataFrame:
+    """(fp, fragment, tokens): the n-grams of each set that fall into each fragment, where there are any."""
+    start = lambda k: F.lit(0) if not k else F.get("cuts", F.lit(k - 1))
+    of_fragment = lambda k: F.slice("tokens", start(k) + 1, F.get("cuts", F.lit(k)) - start(k))
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("fragment"), of_fragment(k).alias("tokens")) for k in range(FRAGMENTS)]))
+    return sets.select("fp", parts.alias("p")).select("fp", "p.fragment", "p.tokens").filter(F.size("tokens") > 0)
+
+
+def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, n_a, n_b) that are linked: overlaps by fragment, summed per pair.
+
+    Only the n-grams of classes in a pair are moved: pairs counted small go to the sets, otherwise both sides
+    take the classes that they need from one shuffle of the sets.
+    """
+    pairs = durable(pairs)
+    few = small(pairs)
+    of = lambda end: pairs.select(F.col(end).alias("fp")).distinct()
+    one, two = of("a"), of("b")
+    known = sets.select("fp", "tokens", "cuts")
+    left = _segments(known if few else known.join(one, "fp", "left_semi")).select(F.col("fp").alias("a"), "fragment", F.col("tokens").alias("of_a"))
+    right = _segments(known.join(F.broadcast(two) if few or small(two) else two, "fp", "left_semi"))
+    right = right.select(F.col("fp").alias("b"), "fragment", F.col("tokens").alias("of_b"))
+    met = (F.broadcast(pairs) if few else pairs).join(left, "a").join(right, ["b", "fragment"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("part"))
     whole = partial.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("part").alias("overlap"))
     return whole.filter(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -243,10 +262,6 @@ def join_components(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     take = (F.col("n") - needed(F.col("n")) + 1) - (F.col("n") - F.col("s"))
     prefixes = durable(sets.select("fp", "n", "s", F.slice("tokens", F.lit(1), take).alias("prefix")))
-    start = lambda k: F.lit(0) if not k else F.get("cuts", F.lit(k - 1))
-    of_fragment = lambda k: F.slice("tokens", start(k) + 1, F.get("cuts", F.lit(k)) - start(k))
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("fragment"), of_fragment(k).alias("tokens")) for k in range(FRAGMENTS)]))
-    segments = sets.select("fp", parts.alias("p")).select("fp", "p.fragment", "p.tokens").filter(F.size("tokens") > 0)
     rows = sets.agg(F.coalesce(F.sum(take), F.lit(0))).first()[0]
     links, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, root long")
     before, tries = None, 0
@@ -258,9 +273,9 @@ def join_components(sets: DataFrame) -> DataFrame:
         # a block pair takes BLOCK_CLASSES open pairs for each row it moves, so pivots stop where blocks are cheap
         last = left <= PAIRS_PER_ROW * rows * (BLOCK_CLASSES if tries else 1) or (tries > 0 and left > 0.7 * before)
         if last:
-            found = durable(_rest(placed, sets, segments))
+            found = durable(_rest(placed, sets))
         else:
-            found = durable(count_overlaps(outlines_allow(_to_pivot(placed, tries), sets), segments))
+            found = durable(count_overlaps(outlines_allow(_to_pivot(placed, tries), sets), sets))
         if not found.isEmpty():
             links = durable(links.unionByName(found))
             roots = components(links)
@@ -311,10 +326,10 @@ def _to_pivot(placed: DataFrame, tries: int) -> DataFrame:
     return _distinct(best.select("a", "x.*"))
 
 
-def _rest(placed: DataFrame, sets: DataFrame, segments: DataFrame) -> DataFrame:
+def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that tie all components together that have links between them."""
     crowded = F.col("open") > PAIRS_PER_ROW * F.col("members")
-    few = count_overlaps(outlines_allow(_few_pairs(placed.filter(~crowded)), sets), segments)
+    few = count_overlaps(outlines_allow(_few_pairs(placed.filter(~crowded)), sets), sets)
     many = durable(placed.filter(crowded).select("token", "fp", "root"))
     return few if many.isEmpty() else few.unionByName(_block_links(many, sets))
 
@@ -367,7 +382,8 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the links between the components of each candidate group."""
-    rows = _candidate_groups(placed).join(sets.select("fp", "n", "s", "tokens", "cuts"), "fp")
+    groups = durable(_candidate_groups(placed))
+    rows = sets.select("fp", "n", "s", "tokens", "cuts").join(F.broadcast(groups) if small(groups) else groups, "fp")
     return _block_pairs(rows).groupBy("grp", "cells", "i", "j").applyInPandas(_forest, "a long, b long")
 
 

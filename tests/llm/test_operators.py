@@ -309,6 +309,27 @@ def test_ngram_join_of_near_groups(spark, monkeypatch, pairs_per_row, block_clas
     assert joined(spark.createDataFrame(rows, DOCS).repartition(5)) == plain_components(rows)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_overlaps_move_only_classes_in_pairs(spark, monkeypatch, few):
+    rng = random.Random(4)
+    tokens = {k: sorted(rng.sample(range(47), 40)) for k in range(30)}
+    cuts = lambda t: [sum(x < 7 * (k + 1) for x in t) for k in range(ngram_join.FRAGMENTS)]
+    sets = spark.createDataFrame([(k, t, cuts(t)) for k, t in tokens.items()], "fp long, tokens array<long>, cuts array<int>")
+    chosen = [(a, b) for a in (1, 2, 3, 4, 5, 6) for b in (7, 8)]
+    pairs = spark.createDataFrame([(a, b, 40, 40) for a, b in chosen], "a long, b long, n_a int, n_b int")
+    moved, segments = [], ngram_join._segments
+
+    def seen(rows):
+        moved.append(rows.count())
+        return segments(rows)
+
+    monkeypatch.setattr(ngram_join, "_segments", seen)
+    monkeypatch.setattr(ngram_join, "small", lambda rows: few)
+    found = {tuple(r) for r in ngram_join.count_overlaps(pairs, sets).collect()}
+    assert found == {(a, b) for a, b in chosen if 7 * len(set(tokens[a]) & set(tokens[b])) >= 3 * 80}
+    assert sorted(moved) == ([2, 30] if few else [2, 6])
+
+
 def test_block_forest_ties_what_brute_force_links():
     """3,000 near copies around the threshold, in blocks as the operator deals them: the same components, few rows."""
     rng = np.random.default_rng(3)
