@@ -1,5 +1,6 @@
 """Texts that are tagged on the way: the same results, in bounded pieces, with nothing stored."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,35 @@ def test_words_with_ids_are_not_stored(both, monkeypatch):
     assert tt.graf_nodes(tt.numbered(plain, vocab)).count() > 0
 
 
+def test_texts_with_ids_are_shuffled_once(spark, both, capsys):
+    docs, plain, tokened = both
+    lexicon = spark.createDataFrame([("wide", 0.5, 1.0)], "word string, polr double, subj double")
+    vocab = tt.vocabulary(plain).localCheckpoint()
+    for made in (tt.numbered(plain, vocab), tt.stem_table(tokened), tt.sentence_records(plain, lexicon, vocab=vocab)):
+        assert made.collect()
+        made.explain("formatted")
+        plan = capsys.readouterr().out
+        nodes = re.findall(r"[ -]Exchange \((\d+)\)", plan.split("Initial Plan")[0])
+        moved = [re.search(rf"^\({k}\) Exchange\s*\nInput \[\d+\]: (.*)", plan, re.M)[1] for k in nodes]
+        assert sum("paras" in columns or "toks" in columns for columns in moved) == 1, plan
+
+
+def test_every_text_of_a_block_has_its_dictionary(spark, monkeypatch):
+    """Blocks of many texts, cut into batches of one row: only the first row of a block brings its words."""
+    monkeypatch.setattr(tt, "BLOCKS_A_PARTITION", 1)
+    docs = spark.createDataFrame([(k, f"boats drift number{k % 7}") for k in range(200)] + [(None, None), (7, "")], "doc_id long, text string")
+    plain = tt.untagged(docs)
+    vocab = tt.vocabulary(plain)
+    rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = tt.graf_nodes(tt.numbered(plain, vocab)).select("root", "node_id", "keep").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    ids = {r["root"]: r["node_id"] for r in vocab.collect()}
+    assert len(got) == 600 and all(r["node_id"] == (ids[r["root"]] if r["keep"] else 0) for r in got) and ids
+
+
 def test_stem_counts_shuffle_no_text(spark, both, monkeypatch, tmp_path):
     docs, plain, tokened = both
     first = lambda word: F.substring(word, 1, 2)
