@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,40 @@ def test_walk_equals_the_column_form(ranked):
     assert walked == sorted(map(tuple, tr.phrase_spans(ranked).collect())) and len(walked) == 3
 
 
+def test_walk_shuffles_only_words_of_shared_keys(spark, ranked, capsys):
+    walked = tr.walked_spans(ranked)
+    walked.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out and walked.count() == 3
+    docs = spark.createDataFrame([(1, "Old graph of data"), (2, "New nodes"), (2, "New nodes"), (None, "Wide graph"), (None, "of data")], "doc_id long, text string")
+    got = sorted(map(str, tr.walked_spans(tr.ranked_tokens(tt.with_tokens(docs))).collect()))
+    one = [(1, "Old graph", 0, True), (1, "data", 3, True), (2, "New", 0, True), (2, "New nodes", 0, True), (2, "nodes", 1, True)]
+    assert [r for r in got if "doc_id=None" not in r] == sorted(f"Row(doc_id={d}, phrase='{p}', start={s}, noun={n})" for d, p, s, n in one)
+    assert any("doc_id=None" in r for r in got)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_a_walk_goes_on_over_batches(size):
+    """Whatever the batches, the same runs: a Python walk over the rows, and no object for a key."""
+    rng = random.Random(size)
+    rows = []
+    for doc in [1, 2, None, 3]:
+        for num in range(rng.choice([1, 12])):
+            rows += [(doc, num, f"w{num}", rng.choice(["NN", "JJ"]), rng.random() < 0.7)] * rng.choice([1, 1, 2])
+    want, run, last = [], [], None
+    for r in [*rows, ("end", 0, "", "NN", False)]:
+        if run and not (r[4] and r[0] == last[0] and r[1] == last[1] + 1):
+            want.append((run[0][0], " ".join(x[2] for x in run), run[0][1], any(x[3] == "NN" for x in run)))
+            run = []
+        run, last = [*run, r] if r[4] else [], r
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    walk, got = uf.PhraseWalk(), []
+    for k in range(0, len(rows), size):
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows[k : k + size]), kinds)]
+        got += walk.eval(pa.record_batch(columns, ["doc", "num", "raw", "pos", "kept"]))
+    got = pa.concat_tables([*got, *walk.terminate()])
+    assert list(zip(*[c.to_pylist() for c in got.columns])) == want and want
+
+
 def test_phrases_that_end_with_their_sentence(spark):
     docs = spark.createDataFrame([(1, "Old graph. New data! Of the. Systems"), (2, "Graph of data. Nodes")], "doc_id long, text string")
     ranked = tr.ranked_tokens(tt.with_tokens(docs))
