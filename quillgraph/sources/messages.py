@@ -43,14 +43,24 @@ def decode_parsed(lines: DataFrame) -> DataFrame:
     return raw.withColumn("graf", F.transform("graf", word)).withColumn("tile", F.transform("tile", pair))
 
 
+def _inlined(parsed: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """One row per struct of an array column: (id, names).
+
+    The outer form and a filter on the elements: the inner form makes the optimizer add a filter on the array
+    below it, which writes and reads the sentences' JSON again.
+    """
+    rows = parsed.select("id", F.explode_outer(column).alias("_e")).filter(F.col("_e").isNotNull())
+    return rows.select("id", *[F.col("_e")[n].alias(n) for n in names])
+
+
 def parsed_nodes(parsed: DataFrame) -> DataFrame:
     """Every word of every parsed sentence: (id, node_id, raw, root, pos, keep, num)."""
-    return parsed.select("id", F.inline("graf"))
+    return _inlined(parsed, "graf", ["node_id", "raw", "root", "pos", "keep", "num"])
 
 
 def parsed_edges(parsed: DataFrame) -> DataFrame:
     """Every tile with two real ids, in both directions: (id, node0, node1)."""
-    pairs = parsed.select("id", F.inline("tile")).filter((F.col("n0") > 0) & (F.col("n1") > 0))
+    pairs = _inlined(parsed, "tile", ["n0", "n1"]).filter((F.col("n0") > 0) & (F.col("n1") > 0))
     ends = F.array(
         F.struct(F.col("n0").alias("node0"), F.col("n1").alias("node1")),
         F.struct(F.col("n1").alias("node0"), F.col("n0").alias("node1")),

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.sources import mail_pages, tsv
@@ -117,3 +118,16 @@ def test_character_references(spark):
     }
     rows = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert [r.got for r in rows.select(unescape(F.col("t")).alias("got")).collect()] == list(cases.values())
+
+
+@pytest.mark.parametrize("made", [src.parsed_nodes, src.parsed_edges])
+def test_parsed_sentences_are_read_once(spark, made):
+    """No filter below the rows of words or tiles writes and reads the JSON of a sentence again."""
+    graf = "array<struct<node_id:long,raw:string,root:string,pos:string,keep:int,num:int>>"
+    records = spark.createDataFrame(
+        [("1", 2, "x", 0.0, 0.0, [(1, "Big", "big", "JJ", 1, 0), (2, "data", "data", "NN", 1, 1)], [(1, 2)]), ("2", 0, "y", 0.0, 0.0, [], [])],
+        f"id string, size int, sha1 string, polr double, subj double, graf {graf}, tile array<struct<n0:long,n1:long>>",
+    ).repartition(2)
+    found = made(src.decode_parsed(src.parsed_lines(records)))
+    assert found.count() == 2
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
