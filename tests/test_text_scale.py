@@ -119,3 +119,47 @@ def test_partial_counts_come_once_per_word():
     batches = [pd.DataFrame({"word": ["a", "b", "a"]}), pd.DataFrame({"word": ["a", "c"]})]
     got = pd.concat(wc._partial_counts(iter(batches)))
     assert sorted(zip(got["word"], got["n"])) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_forms_are_tagged_together_as_one_by_one():
+    """Each rule is asked of all distinct words at once, and gives what it gives word by word."""
+    stems = ["", "b", "Bo", "wid", "Wid", "runn", "STUD", "walk", "glass", "church", "x", "İz", "ΟΔΟΣ", "é", "7", "a7", "_", "_A", "Z", "Z~", "ﬁn", "d's", "10-Ton"]
+    ends = ["", "s", "es", "ies", "ing", "ed", "ly", "est", "er", "ous", "ness", "tion", "ize", "ify", "ss", "us", "is", "S", "ING", "ches", "xes"]
+    words = sorted({a + b for a in stems for b in [*ends, *(e for _, _, found in at._SUFFIXES for e in found)]} - {""} | set(at._CLOSED) | {w.title() for w in at._CLOSED})
+    start, later, low, root = at.tag_forms(pa.array(words))
+    got = [(at._TAGS[s], at._TAGS[x], w, r) for s, x, w, r in zip(start, later, low.to_pylist(), root.to_pylist())]
+    tags = [(at.tag_word(w, w.lower(), True), at.tag_word(w, w.lower(), False), w.lower()) for w in words]
+    assert got == [(s, x, w, at.lemma_word(w, x)) for s, x, w in tags] == [(s, x, w, at.lemma_word(w, s)) for s, x, w in tags]
+    assert len({x for _, x, _, _ in got}) == len(at._TAGS)
+
+
+def test_packed_texts_give_what_lists_of_words_give(spark):
+    texts = ["Boats drift. !!! Wide-bridges can't sink?\n\n__ of _x9", "", None, "...", " . Two  words", "çé ١٢ a_b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(tt.tx.blocks(F.col("text")).alias("p"))
+    got = docs.select(tt._split(F.col("p")).alias("lists"), tt.tx.packed(F.col("p")).alias("packed")).toArrow().combine_chunks()
+    tagged = at.tagger()
+    lists, packed = (tagged(got.column(c).chunk(0)).to_pylist() for c in ("lists", "packed"))
+    assert packed == lists and [x is None for x in packed] == [x is None for x in texts] and packed[0][2]["sent"] == 2
+    old = docs.select(F.transform(tt.tx.sentences(F.col("p")), lambda s: F.regexp_extract_all(s, F.lit(tt.tx.WORD), F.lit(0))).alias("lists"))
+    assert [r["lists"] for r in old.collect()] == got.column("lists").to_pylist()
+
+
+def test_edges_are_made_where_ids_are_looked_up(spark, both):
+    """Words with ids come back from Python only if something asks for them: not for edges."""
+    _, plain, tokened = both
+    for texts in (plain, tokened):
+        words, stems = tt.numbered(texts, tt.vocabulary(texts)), tt.stem_table(texts)
+        for one, other in ((tt.graf_edges(words), tt.graf_edges(words.select("*"))), (tt.link_edges(stems), tt.link_edges(stems.select("*"))),
+                           (tt.graf_edges(words, distinct=True), tt.graf_edges(words.select("*"), distinct=True))):
+            assert rows(one) == rows(other) != Counter()
+            plan, longer = (df._jdf.queryExecution().optimizedPlan().toString() for df in (one, other))
+            assert "graf" not in plan and "graf" in longer
+
+
+def test_scores_are_broadcast_if_small(spark, both, monkeypatch):
+    _, plain, _ = both
+    lexicon = spark.createDataFrame([("wide", 0.5, 1.0), ("boats", -1.0, 0.5), (None, 9.0, 9.0)], "word string, polr double, subj double")
+    vocab = tt.vocabulary(plain)
+    small = rows(tt.sentence_records(plain, lexicon, vocab=vocab))
+    monkeypatch.setattr(tt, "fits_broadcast", lambda df: False)
+    assert rows(tt.sentence_records(plain, lexicon, vocab=vocab)) == small != Counter()
